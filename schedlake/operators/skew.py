@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 #: A key is hot above this share of the rows, so at most ``1 / HOT_SHARE`` keys are hot.
 HOT_SHARE = 0.005
+#: Fewer rows than this never make a key hot.
+HOT_LEAST = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = 100_000) -> list:
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_LEAST) -> list:
     """Keys that hold more than ``share`` of the non-null rows and more than ``least`` rows.
 
     One aggregation combined before its shuffle. The list is bounded by ``1 / share`` whatever
