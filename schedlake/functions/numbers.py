@@ -11,7 +11,7 @@ NUMBER = r"\A\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*\z"
 
 def blank_trim(text: Column) -> Column:
     """Strip white space of every kind at both ends (``trim`` strips spaces only)."""
-    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def is_number(text: Column) -> Column:
@@ -34,3 +34,8 @@ def percent(part: Column, whole: Column) -> Column:
     """Percentage to one place, 0 where the whole is 0."""
     exact = part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
     return F.coalesce(F.floor(exact * 1000 + 0.5) / 10, F.lit(0.0))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value`` evaluated once: inside lambdas Spark repeats a shared expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
