@@ -37,8 +37,12 @@ def value_type(cell: Column) -> Column:
 
 
 def canonical_value(cell: Column) -> Column:
-    """A cell reduced to what it says: 80 and 80.00 agree; empty is null."""
-    return let(F.nullif(blank_trim(cell), F.lit("")), lambda body: F.coalesce(to_number(body).cast("string"), body))
+    """A cell reduced to what it says: 80 and 80.00 are both 80; empty is null."""
+
+    def written(body: Column) -> Column:
+        return let(to_number(body), lambda n: F.when((n == F.floor(n)) & (F.abs(n) < 1e15), n.cast("bigint").cast("string")).otherwise(F.coalesce(n.cast("string"), body)))
+
+    return let(F.nullif(blank_trim(cell), F.lit("")), written)
 
 
 def exports(xer_table: DataFrame, revision: DataFrame) -> DataFrame:
