@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schedlake.functions.numbers import blank_trim
-from schedlake.operators.skew import lookup
-from schedlake.session import cut
+from schedlake.operators.skew import hot_keys, lookup
+from schedlake.session import cut, store
 
 
 @dataclass(frozen=True)
@@ -119,23 +119,20 @@ def orphan_cascade(tables: dict[str, Table], references: list[Reference], below:
         state = record_states(tables[r.child], [r.field])
         if not tables[r.child].deleted_refers:
             state = state.where("NOT gone")
-        edges[r] = state.select(F.col("key").alias("record_key"), F.col(r.field).alias("fk"), F.date_format("first_at", "yyyy-MM").alias("period")).where(
-            "fk IS NOT NULL"
+        links = store(
+            state.select(F.col("key").alias("record_key"), F.col(r.field).alias("fk"), F.date_format("first_at", "yyyy-MM").alias("period")).where("fk IS NOT NULL")
         )
+        edges[r] = (links, hot_keys(links, "fk"))  # read in every round, so built once
     seen = direct.select("table_name", "record_key").distinct()
     front, level = seen, 0
-    parents = {r.parent for r in graph}
-    while True:
+    live = [r[0] for r in front.select("table_name").distinct().collect()]
+    while steps := [r for r in graph if r.parent in live]:
         level += 1
-        live = [r[0] for r in front.select("table_name").distinct().collect()]  # bounded by the number of tables
-        steps = [r for r in graph if r.parent in live]
-        if not steps or not parents.intersection(live):
-            return result
         hit = []
         for r in steps:
             bad = front.where(F.col("table_name") == r.parent).select(F.col("record_key").alias("t_key"))
             hit.append(
-                lookup(edges[r], "fk", bad, "t_key", "inner").select(
+                lookup(edges[r][0], "fk", bad, "t_key", "inner", edges[r][1]).select(
                     F.lit(r.child).alias("table_name"), F.lit(r.field).alias("field_name"), "record_key", "period"
                 )
             )
@@ -143,10 +140,12 @@ def orphan_cascade(tables: dict[str, Table], references: list[Reference], below:
             F.min("field_name").alias("field_name"), F.min("period").alias("period")
         )
         new = cut(new.join(seen, ["table_name", "record_key"], "left_anti"))
-        if not new.limit(1).count():
+        live = [r[0] for r in new.select("table_name").distinct().collect()]  # bounded by the number of tables
+        if not live:
             return result
         result = result.unionByName(
             new.select("table_name", "field_name", "record_key", F.lit(None).cast("string").alias("reason"), "period", F.lit(level).alias("level"))
         )
         front = new.select("table_name", "record_key")
-        seen = cut(seen.unionByName(front))
+        seen = seen.unionByName(front)
+    return result

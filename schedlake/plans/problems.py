@@ -54,7 +54,6 @@ def _tables(spark: SparkSession, folder: str) -> dict[str, orphans.Table]:
         "task": orphans.Table("task", table(spark, folder, "task"), "task_id", deleted_refers=False),
         "project": orphans.Table("project", table(spark, folder, "project"), "proj_id"),
         "calendar": orphans.Table("calendar", table(spark, folder, "calendar"), "clndr_id"),
-        "projwbs": orphans.Table("projwbs", table(spark, folder, "projwbs"), "wbs_id", deleted_at=None),
     }
 
 
@@ -63,13 +62,11 @@ REFERENCES = [
     orphans.Reference("taskpred", "pred_proj_id", "project"),
     orphans.Reference("task", "clndr_id", "calendar"),
 ]
-#: The foreign keys an orphan's absence runs down, besides the reported ones.
+#: The foreign keys an orphan's absence runs down. Broken parent links within a tree are problem 5's.
 BELOW = [
     *REFERENCES,
     orphans.Reference("taskpred", "task_id", "task"),
     orphans.Reference("task", "proj_id", "project"),
-    orphans.Reference("task", "wbs_id", "projwbs"),
-    orphans.Reference("projwbs", "parent_wbs_id", "projwbs"),
 ]
 
 
@@ -81,8 +78,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_cascade(spark: SparkSession, folder: str) -> DataFrame:
     """Orphans per table, field, month and level: 0 direct, above 0 inherited from an orphaned record."""
-    reported = [*REFERENCES, *(r for r in BELOW if r.child in ("task", "projwbs") and r.field != "clndr_id")]
-    found = orphans.orphan_cascade(_tables(spark, folder), reported, BELOW)
+    found = orphans.orphan_cascade(_tables(spark, folder), BELOW)
     return found.groupBy("table_name", "field_name", "period", "level", F.coalesce("reason", F.lit("inherited")).alias("reason")).agg(
         F.count("*").alias("n_records")
     )
@@ -148,11 +144,11 @@ def _wbs_sql() -> str:
 def _tree_sql(name: str, src: str, rank: str) -> str:
     """Chains walked upward until a root or a repeated node."""
     return f"""{name}_walk AS (
-    SELECT id, id AS at, parent, [id] AS seen, false AS looped FROM {src}
+    SELECT id, id AS cur, parent, [id] AS seen, false AS looped FROM {src}
     UNION ALL
     SELECT w.id, s.id, s.parent, list_append(w.seen, s.id), list_contains(w.seen, s.id)
     FROM {name}_walk w JOIN {src} s ON s.id = w.parent WHERE NOT w.looped),
-  {name}_end AS (SELECT id, arg_max(at, len(seen)) AS last, arg_max(seen, len(seen)) AS seen, bool_or(looped) AS looped FROM {name}_walk GROUP BY id),
+  {name}_end AS (SELECT id, arg_max(cur, len(seen)) AS last, arg_max(seen, len(seen)) AS seen, bool_or(looped) AS looped FROM {name}_walk GROUP BY id),
   {name}_done AS (SELECT id, looped, CASE WHEN looped THEN -1 ELSE len(seen) - 1 END AS depth,
     CASE WHEN looped THEN (SELECT arg_min(x, {rank}) FROM (SELECT unnest(seen[list_position(seen, last):]) AS x)) ELSE last END AS root,
     looped AND list_position(seen, last) = 1 AS on_loop FROM {name}_end)"""
@@ -192,7 +188,7 @@ UNION ALL SELECT 'programme', id, root, CAST(depth AS INTEGER), CASE WHEN on_loo
     WHEN depth = 0 AND parent IS NOT NULL THEN 'dangling' WHEN stored IS DISTINCT FROM root THEN 'wrong_root' ELSE 'ok' END
   FROM p_done JOIN prog USING (id)""",
     "p5_descendants": f"""WITH RECURSIVE {_wbs_sql()}, {_tree_sql("w", "wbs", "CAST(x AS BIGINT)")}, {_tree_sql("p", "prog", "x")},
-  whole AS (SELECT 'projwbs' AS tree_name, w.id, w.at, len(w.seen) - 1 AS n FROM w_walk w JOIN w_done d ON d.id = w.id WHERE NOT d.looped
-    UNION ALL SELECT 'programme', w.id, w.at, len(w.seen) - 1 FROM p_walk w JOIN p_done d ON d.id = w.id WHERE NOT d.looped)
-SELECT tree_name, at AS node_id, id AS descendant_id, CAST(n AS INTEGER) AS distance FROM whole WHERE n > 0""",
+  whole AS (SELECT 'projwbs' AS tree_name, w.id, w.cur, len(w.seen) - 1 AS n FROM w_walk w JOIN w_done d ON d.id = w.id WHERE NOT d.looped
+    UNION ALL SELECT 'programme', w.id, w.cur, len(w.seen) - 1 FROM p_walk w JOIN p_done d ON d.id = w.id WHERE NOT d.looped)
+SELECT tree_name, cur AS node_id, id AS descendant_id, CAST(n AS INTEGER) AS distance FROM whole WHERE n > 0""",
 }
