@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from schedlake.plans import problems
+from schedlake.plans import problems, tasks
 
-_PARTS = (problems,)
+_PARTS = (problems, tasks)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
