@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from schedlake.plans import problems, shelf, tasks
+from schedlake.plans import exports, problems, shelf, tasks
 
-_PARTS = (problems, tasks, shelf)
+_PARTS = (problems, tasks, shelf, exports)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
