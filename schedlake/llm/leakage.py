@@ -40,8 +40,8 @@ LOOKALIKES = str.maketrans("аеорсухікмтвнјѕԁԛԝһАЕОРСУХ
 class WordReader:
     """Words of a text with the span of the token they stand in; tokens are cached."""
 
-    def __init__(self, cache: int = 500_000) -> None:
-        self.cache, self.seen = cache, {}
+    def __init__(self, cache: int = 500_000, longest: int = 64) -> None:
+        self.cache, self.longest, self.seen = cache, longest, {}
 
     def token(self, token: str) -> tuple[str, ...]:
         got = self.seen.get(token)
@@ -56,9 +56,10 @@ class WordReader:
                     like = text.translate(LOOKALIKES)
                     text = like if like.isascii() else text
             got = tuple(_WORD.findall(text.casefold().replace("'", "").replace("’", "")))
-            if len(self.seen) >= self.cache:
-                self.seen.clear()
-            self.seen[token] = got
+            if len(token) <= self.longest:
+                if len(self.seen) >= self.cache:
+                    self.seen.clear()
+                self.seen[token] = got
         return got
 
     def words(self, text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -196,10 +197,10 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     A passage is at least 25 of the item's own words in its order, small edits apart; case,
     accents, punctuation, markup, layout and look-alike letters do not count. Stock sentences
-    shared by items are not own words. Null and short texts hold nothing. An item of fewer own
-    words cannot leak.
+    shared by items are not own words. Null and short texts hold nothing, rows without a
+    doc_id are left out. An item of fewer own words cannot leak.
     """
-    texts = documents.where(F.length("text") > 2 * LEAST_WORDS).select("doc_id", "text")
+    texts = documents.where((F.length("text") >= 2 * LEAST_WORDS - 1) & F.col("doc_id").isNotNull()).select("doc_id", "text")
 
     def search(own: dict[int, list[str]]) -> DataFrame:
         shared = documents.sparkSession.sparkContext.broadcast(own)
@@ -221,9 +222,8 @@ def remove_leaks(documents: DataFrame, found: DataFrame, drop_share: float = 0.5
     Columns of ``documents`` with the new text, and ``cut_chars``; documents without a leak pass
     unchanged.
     """
-    spans = found.groupBy(F.col("doc_id").alias("l_id")).agg(F.array_sort(F.collect_set(F.struct("first_char", "end_char"))).alias("spans"))
+    spans = found.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set(F.struct("first_char", "end_char"))).alias("__spans"))
 
-    @F.pandas_udf("struct<text string, cut_chars int>")
     def cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
         for t, ss in zip(text, spans, strict=True):
@@ -237,7 +237,8 @@ def remove_leaks(documents: DataFrame, found: DataFrame, drop_share: float = 0.5
             out.append((new, len(t) - len(new)))
         return pd.DataFrame(out, columns=["text", "cut_chars"])
 
-    joined = documents.join(spans, F.col("doc_id") == F.col("l_id"), "left").drop("l_id")
-    clean = joined.where("spans IS NULL").drop("spans").withColumn("cut_chars", F.lit(0))
-    hit = joined.where("spans IS NOT NULL").withColumn("c", cut("text", "spans")).where(F.col("c.cut_chars") < drop_share * F.length("text"))
-    return clean.unionByName(hit.withColumns({"text": F.col("c.text"), "cut_chars": F.col("c.cut_chars")}).select(*clean.columns))
+    joined = documents.drop("cut_chars").join(spans, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    clean = joined.where("__spans IS NULL").drop("__spans").withColumn("cut_chars", F.lit(0))
+    cutter = F.pandas_udf(cut, "text string, cut_chars int")
+    hit = joined.where("__spans IS NOT NULL").withColumn("__cut", cutter("text", "__spans")).where(F.col("__cut.cut_chars") < drop_share * F.length("text"))
+    return clean.unionByName(hit.withColumns({"text": F.col("__cut.text"), "cut_chars": F.col("__cut.cut_chars")}).select(*clean.columns))

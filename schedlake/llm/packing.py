@@ -59,7 +59,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def token_items(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = tokens.TOKENIZER) -> DataFrame:
     """``(doc_id, part_no, n_tokens)``: texts as items; one above the capacity as full parts and a rest.
 
-    Null and empty texts hold no tokens and make no item.
+    Null and empty texts hold no tokens and make no item; rows without a doc_id are left out.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,7 +70,7 @@ def token_items(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str =
                 out += [(doc, k, capacity) for k in range(full)] + [(doc, full, rest)] * bool(rest)
             yield pd.DataFrame(out, columns=["doc_id", "part_no", "n_tokens"])
 
-    some = documents.where(F.octet_length("text") > 0).select("doc_id", "text")
+    some = documents.where((F.octet_length("text") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "text")
     return some.mapInPandas(run, "doc_id bigint, part_no int, n_tokens int")
 
 

@@ -14,12 +14,12 @@ def names(spark: SparkSession, folder: str) -> DataFrame:
     """All task and WBS names as (record_source, record_id, text)."""
     task = table(spark, folder, "task").select(F.lit("task").alias("record_source"), F.col("task_id").alias("record_id"), F.col("task_name").alias("text"))
     wbs = table(spark, folder, "projwbs").select(F.lit("projwbs").alias("record_source"), F.col("wbs_id").alias("record_id"), F.col("wbs_name").alias("text"))
-    return task.unionByName(wbs)
+    return task.unionByName(wbs).where("record_id IS NOT NULL")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records whose name was read in the wrong encoding, restorable or not."""
-    return mojibake.restore_names(names(spark, folder)).select("record_source", "record_id").where("record_id IS NOT NULL").distinct()
+    return mojibake.restore_names(names(spark, folder)).select("record_source", "record_id").distinct()
 
 
 def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
