@@ -182,8 +182,8 @@ def working_days(week: Column, exceptions: Column, first: Column, last: Column)
     """
     a, b = F.unix_date(first), F.unix_date(last)
     # Day 0 (1970-01-01) was a Thursday: weekday 5 counted from Sunday as 1.
-    fall = lambda d: F.aggregate(F.filter(week, lambda w: w["works"]), F.lit(0).cast("bigint"), lambda n, w: n + F.floor((d + 11 - w["day"]) / 7))
-    plain = fall(b + F.lit(0)) - fall(a - F.lit(1))
+    fall = lambda d: F.aggregate(F.filter(week, lambda w: w["works"]), F.lit(0).cast("bigint"), lambda n, w: n + F.floor((d + 5 - w["day"]) / 7))
+    plain = fall(b) - fall(a - F.lit(1))
     offset = F.lit(dt.date(1970, 1, 1).toordinal() - _EPOCH)
     inside = F.filter(exceptions, lambda e: (e["serial"] - offset >= a) & (e["serial"] - offset <= b))
     lasts = F.filter(

@@ -40,7 +40,10 @@ HEADER = {"version": 1, "exported_on": 2, "export_type": 3, "login": 4, "user_na
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(file_id, content, length)`` of export files; a file above the read cap is listed with null content."""
+    """``(file_id, content, length)`` of export files; a file above the read cap is listed with null content.
+
+    Spark's file reader passes over files of no bytes.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = files.where(F.col("length") <= READ_CAP).select(F.col("path").alias("file_id"), "content", "length")
     big = files.select("path", "length").where(F.col("length") > READ_CAP)

@@ -19,7 +19,8 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
 
 def export_stream(spark: SparkSession, path: str, files_per_trigger: int = 200) -> DataFrame:
     """A stream of raw export files."""
-    return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_trigger).load(path)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
 def ingest_batch(target: str) -> Callable[[DataFrame, int], None]:
