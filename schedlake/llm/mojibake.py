@@ -144,27 +144,23 @@ _LOST = re.compile("�|[ÃÂ](?=[?\xa0])|â€(?![\\w\x80-
 
 
 @lru_cache(maxsize=100_000)
-def _from_utf8(run: str, all_of_it: bool) -> str | None:
-    """What a run says if its bytes are UTF-8, wholly or else in valid stretches; None if never."""
-    partial = None
+def _from_utf8(run: str) -> tuple[frozenset[str], frozenset[str]]:
+    """What a run says if its bytes, by any charset, are UTF-8: wholly, and only in valid stretches."""
+    whole, part = set(), set()
     for charset in READ_CHARSETS:
         data = _encode(run, charset)
         if data is None or len(data) != len(run):
             continue
         try:
-            whole = data.decode("utf-8")
+            whole.add(data.decode("utf-8"))
         except UnicodeDecodeError:
-            if partial is None and not all_of_it and _UTF8_RUN.search(data):
-                # Bytes outside valid stretches keep the character they were read as.
-                out, at = [], 0
-                for m in _UTF8_RUN.finditer(data):
-                    out += [run[at : m.start()], m[0].decode("utf-8")]
-                    at = m.end()
-                partial = "".join([*out, run[at:]])
-            continue
-        if len(whole) < len(run):
-            return whole
-    return partial
+            # Bytes outside valid stretches keep the character they were read as.
+            out, at = [], 0
+            for m in _UTF8_RUN.finditer(data):
+                out += [run[at : m.start()], m[0].decode("utf-8")]
+                at = m.end()
+            part.add("".join([*out, run[at:]]))
+    return frozenset(x for x in whole if len(x) < len(run)), frozenset(part - {run})
 
 
 @lru_cache(maxsize=100_000)
@@ -216,7 +212,10 @@ class Restorer:
         spans = self._runs(text)
         if not spans:
             return None
-        return self._utf8(text, spans, True) or self._single_byte(text, spans) or self._utf8(text, spans, False)
+        found = [x for x in (self._utf8(text, spans, 0), self._single_byte(text, spans)) if x is not None]
+        if found:
+            return max(found, key=self.model.logp)
+        return self._utf8(text, spans, 1)
 
     def _runs(self, text: str) -> list[tuple[int, int]]:
         """Non-ASCII stretches that a suspect segment touches."""
@@ -226,11 +225,13 @@ class Restorer:
         segments = self.model.suspect(_codes(text))
         return [(s, e) for s, e in marks if any(a < e and s < b for a, b in segments)]
 
-    def _utf8(self, text: str, spans: list[tuple[int, int]], whole: bool) -> str | None:
+    def _utf8(self, text: str, spans: list[tuple[int, int]], kind: int) -> str | None:
+        """Runs read as UTF-8 (kind 0: wholly, 1: in stretches), each as the likeliest of its readings."""
         out, at, hit = [], 0, False
         for s, e in spans:
-            better = _from_utf8(text[s:e], whole) if e - s > 1 else None
-            if better is not None and self._gain(text, s, e, better) > 0:
+            options = [(self._gain(text, s, e, x), x) for x in _from_utf8(text[s:e])[kind]] if e - s > 1 else []
+            gain, better = max(options, default=(0.0, ""))
+            if gain > 0:
                 out += [text[at:s], better]
                 at, hit = e, True
         return "".join([*out, text[at:]]) if hit else None
@@ -283,9 +284,10 @@ class Restorer:
 def detect(records: DataFrame, model: PairModel) -> DataFrame:
     """Garbled rows of ``records`` with ``restored`` (null where the text can't be had back).
 
-    ``records`` has a column text; all its columns are kept. Null, empty and pure ASCII texts
-    are never garbled and never reach Python.
+    ``records`` has a column text; all its columns are kept, but one named restored is
+    replaced. Null, empty and pure ASCII texts are never garbled and never reach Python.
     """
+    records = records.drop("restored")
     shared = records.sparkSession.sparkContext.broadcast((model.n.nonzero()[0], model.n.nonzero()[1], model.n[model.n.nonzero()]))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in records.dtypes), "restored string"])
 

@@ -26,8 +26,8 @@ BLOCK_CONTAINERS = 4096
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Container number of each item, items taken largest first.
 
-    Placing size s on level h changes the sum of squares by 2 (N[h+s] - N[h] + 1); a full or
-    an unopened container counts zero. Ties go to the fullest resulting container.
+    Placing size s on level h changes the sum of squares by 2 (N[h+s] - N[h]) + 2; opening a
+    container or closing one touches one level only. Ties go to the fullest resulting container.
     """
     level = np.zeros(capacity + 1, dtype=np.int64)
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -38,9 +38,10 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
         if s == capacity:
             into[i], made = made, made + 1
             continue
-        after, now = level[s:].copy(), level[: capacity - s + 1]
-        after[-1] = 0  # a container filled to the brim is closed
-        cost = after - now
+        now = level[: capacity - s + 1]
+        cost = 2 * (level[s:] - now) + 2
+        cost[0] = 2 * level[s] + 1
+        cost[-1] = 1 - 2 * now[-1]  # a container filled to the brim is closed
         # Only levels with an open container may take the item; level 0 is a new one.
         cost[1:][now[1:] == 0] = np.iinfo(np.int64).max
         h = len(cost) - 1 - int(np.argmin(cost[::-1]))

@@ -47,8 +47,8 @@ def successors(starts: np.ndarray, kind: np.ndarray, limit: int, overlap: int) -
     """``(next cut, piece start)`` for every token position as a cut.
 
     The piece after a cut starts ``overlap`` tokens before it and ends at the farthest position
-    within ``limit`` tokens of its start: at a sentence or line end if one lies past the cut,
-    else a word end, else any position that splits no character.
+    within ``limit`` tokens of its start: at a sentence or line end if one lies past the cut and
+    the overlap, else a word end, else any position that splits no character.
     """
     n = len(starts)
     at = np.concatenate([starts, [len(kind) - 1]])
@@ -59,7 +59,8 @@ def successors(starts: np.ndarray, kind: np.ndarray, limit: int, overlap: int) -
     cut = np.arange(n + 1)
     begin = np.where(cut == 0, 0, np.maximum(any_[np.maximum(cut - overlap, 0)], 0))
     end = np.minimum(begin + limit, n)
-    nxt = np.where(sentence[end] > cut, sentence[end], np.where(word[end] > cut, word[end], np.where(any_[end] > cut, any_[end], end)))
+    past = np.maximum(cut, begin + overlap)  # else the piece could not share its overlap with the next
+    nxt = np.where(sentence[end] > past, sentence[end], np.where(word[end] > past, word[end], np.where(any_[end] > past, any_[end], end)))
     nxt = np.where(end == n, n, nxt)
     return nxt, begin
 
