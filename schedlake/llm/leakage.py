@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from schedlake.session import spread
+
 #: Words of a seed window.
 SEED = 5
 #: Words of an item that a document must hold, and what its alignment must score.
@@ -211,7 +213,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 out = [(d, *hit) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for hit in scan(t)]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "words", "first_char", "end_char"])
 
-        return texts.mapInPandas(run, "doc_id bigint, item_id bigint, words int, first_char int, end_char int")
+        return spread(texts).mapInPandas(run, "doc_id bigint, item_id bigint, words int, first_char int, end_char int")
 
     return reduce(DataFrame.unionByName, [search(b) for b in _blocks(items)])
 

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from schedlake.session import spread
+
 #: Charsets a file may truly have used, and ones it may have been read with.
 TRUE_CHARSETS = ("cp1250", "cp1251", "cp1252", "cp437", "cp850", "cp852", "cp866", "koi8_r", "mac_roman")
 READ_CHARSETS = ("cp1252", "cp1250", "cp1251", "latin_1", "cp437", "cp850", "cp852", "cp866", "koi8_r", "mac_roman")
@@ -299,7 +301,7 @@ def detect(records: DataFrame, model: PairModel) -> DataFrame:
             keep = np.array([g for g, _ in got], dtype=bool)
             yield frame[keep].assign(restored=pd.Series([r for g, r in got if g], dtype=object, index=frame.index[keep]))
 
-    return records.where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInPandas(run, schema)
+    return spread(records.where(F.col("text").rlike(r"[^\x00-\x7f]"))).mapInPandas(run, schema)
 
 
 def fit(texts: DataFrame) -> PairModel:

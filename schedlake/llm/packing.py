@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schedlake.llm import tokens
-from schedlake.session import store
+from schedlake.session import spread, store
 
 CAPACITY = 2048
 #: Containers that one block aims at.
@@ -72,7 +72,7 @@ def token_items(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str =
             yield pd.DataFrame(out, columns=["doc_id", "part_no", "n_tokens"])
 
     some = documents.where((F.octet_length("text") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return some.mapInPandas(run, "doc_id bigint, part_no int, n_tokens int")
+    return spread(some).mapInPandas(run, "doc_id bigint, part_no int, n_tokens int")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, block_containers: int = BLOCK_CONTAINERS) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schedlake.llm import tokens
+from schedlake.session import spread
 
 LIMIT, OVERLAP = 1024, 64
 
@@ -113,4 +114,4 @@ def split_documents(
             yield pd.DataFrame(out, columns=["doc_id", "piece_no", "first_token", "n_tokens", "n_pieces", "text"])
 
     long = documents.where((F.octet_length("text") > limit) & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return long.mapInPandas(run, "doc_id bigint, piece_no int, first_token int, n_tokens int, n_pieces int, text string")
+    return spread(long).mapInPandas(run, "doc_id bigint, piece_no int, first_token int, n_tokens int, n_pieces int, text string")
