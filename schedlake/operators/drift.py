@@ -51,11 +51,12 @@ def exports(xer_table: DataFrame, revision: DataFrame) -> DataFrame:
     Columns: programme_id, rev_no, file_id, table_name, names (lower case, blanks dropped, the
     first of a repeated name), places (their 0-based positions), cells, fingerprint. Repeated
     rows count once; a table declared again in one file keeps its first declaration. Null
-    field lists or cells count as empty. Files without a revision are left out.
+    field lists or cells count as empty. Files without a revision or a
+    programme are left out.
     """
     at = F.struct("seq_no", "fields", "cells")
     first = xer_table.where("file_id IS NOT NULL AND table_name IS NOT NULL").groupBy("file_id", "table_name").agg(F.min(at).alias("x"))
-    revs = revision.where("file_id IS NOT NULL").groupBy("file_id").agg(F.min(F.struct("programme_id", "rev_no")).alias("r"))
+    revs = revision.where("file_id IS NOT NULL AND programme_id IS NOT NULL").groupBy("file_id").agg(F.min(F.struct("programme_id", "rev_no")).alias("r"))
     lowered = F.transform(F.coalesce("x.fields", F.array().cast("array<string>")), lambda f: F.lower(blank_trim(F.coalesce(f, F.lit("")))))
     rows = first.join(revs, "file_id").select(
         F.col("r.programme_id").alias("programme_id"), F.col("r.rev_no").alias("rev_no"), "file_id", "table_name",

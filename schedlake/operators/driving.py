@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from schedlake.functions.dates import minute_number
 from schedlake.session import cut
 
-LOCAL_LIMIT = 200_000
+#: Links of a group that one task may hold at once, and rows of small groups in a slot.
+LOCAL_LIMIT, SLOT_ROWS = 200_000, 100_000
 
 
 def _kind(task_type: Column, column: str) -> Column:
@@ -110,15 +111,16 @@ def walk(tasks: DataFrame, links: DataFrame, key: str, local_limit: int = LOCAL_
     edges = driving.join(own, F.col("succ_id") == F.col("o_id")).select("key", "succ_id", "pred_id")
     starts = seeds(tasks, key).select(F.col(key).alias("key"), F.col("task_id").alias("succ_id"), F.lit(None).cast("bigint").alias("pred_id"))
     rows = cut(edges.unionByName(starts).where("key IS NOT NULL"))
-    big = [r[0] for r in rows.groupBy("key").count().where(F.col("count") > local_limit).select("key").limit(10_000).collect()]
-    is_big = F.col("key").isin(big) if big else F.lit(False)
-    small = rows.where(~is_big).groupBy(F.pmod(F.xxhash64("key"), F.lit(1024)).alias("slot")).applyInPandas(
-        lambda f: _dfs(f), "key string, task_id bigint, back_links bigint"
-    )
+    big = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > local_limit).select(F.col("key").alias("big_key"))
+    has_big = bool(big.limit(1).count())
+    # A slot holds whole groups, about SLOT_ROWS rows of them, so its size does not follow the data's.
+    slots = max(1, -(-rows.count() // SLOT_ROWS))
+    few = rows.join(big, F.col("key") == F.col("big_key"), "left_anti") if has_big else rows
+    small = few.groupBy(F.pmod(F.xxhash64("key"), F.lit(slots)).alias("slot")).applyInPandas(_dfs, "key string, task_id bigint, back_links bigint")
     small = small.select(F.col("key").alias(key), "task_id", "back_links")
-    if not big:
+    if not has_big:
         return small
-    giant = rows.where(is_big)
+    giant = cut(rows.join(big, F.col("key") == F.col("big_key"), "left_semi"))
     found = fixpoint_members(giant.where("pred_id IS NULL").select(F.col("succ_id").alias("task_id")), giant.where("pred_id IS NOT NULL"))
     wide = found.join(own, F.col("task_id") == F.col("o_id")).select(F.col("key").alias(key), "task_id", F.lit(None).cast("bigint").alias("back_links"))
     return small.unionByName(wide)

@@ -114,8 +114,10 @@ def s_curve(df: DataFrame, keys: list[str]) -> DataFrame:
     span = span.withColumn("m1", F.least("m1", F.col("m0") + MONTH_CAP - 1))
     grid = span.select(*keys, "m0", F.explode(F.sequence("m0", "m1")).alias("month"))
     ends = df.select(*keys, F.explode(F.array(F.struct(F.lit("s").alias("k"), month(task_start()).alias("m")), F.struct(F.lit("f").alias("k"), month(task_finish()).alias("m")))).alias("e")).where("e.m IS NOT NULL")
-    clamped = ends.join(span, keys).select(*keys, "e.k", F.least(F.greatest("e.m", "m0"), "m1").alias("month"))
-    counts = clamped.groupBy(*keys, "month").agg(F.count_if(F.col("k") == "s").alias("starts"), F.count_if(F.col("k") == "f").alias("finishes"))
+    # Counted per month before they meet the span, so a large group sends one row a month and task.
+    ends = ends.groupBy(*keys, F.col("e.m").alias("m")).agg(F.count_if(F.col("e.k") == "s").alias("a"), F.count_if(F.col("e.k") == "f").alias("b"))
+    clamped = ends.join(span, keys).withColumn("month", F.least(F.greatest("m", "m0"), "m1"))
+    counts = clamped.groupBy(*keys, "month").agg(F.sum("a").alias("starts"), F.sum("b").alias("finishes"))
     dense = grid.join(counts, [*keys, "month"], "left").na.fill(0, ["starts", "finishes"])
     run = Window.partitionBy(*keys).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     return dense.select(*keys, (F.col("month") - F.col("m0")).alias("month_no"), "starts", "finishes", F.sum("finishes").over(run).alias("cumulative"))
