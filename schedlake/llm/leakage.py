@@ -34,13 +34,14 @@ BLOCK_WORDS = 2_000_000
 _TAG = re.compile(r"<[!/?a-zA-Z][^<>]*>|!?\]\([^()\s]*\)")
 _TOKEN = re.compile(r"\S+")
 _WORD = re.compile(r"[^\W_]+")
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
 _STOP = re.compile(r"(?<=[.!?。！？])\s+")
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухікмтвнјѕԁԛԝһАЕОРСУХІКМТВНαορνικτ", "aeopcyxikmtbhjsdqwhaeopcyxikmtbhaopvikt")
 
 
 class WordReader:
-    """Words of a text with the span of the token they stand in; tokens are cached."""
+    """Normalised words of a text, and the spans of their tokens; tokens are cached."""
 
     def __init__(self, cache: int = 500_000, longest: int = 64) -> None:
         self.cache, self.longest, self.seen = cache, longest, {}
@@ -64,22 +65,28 @@ class WordReader:
                 self.seen[token] = got
         return got
 
-    def words(self, text: str) -> tuple[list[str], list[tuple[int, int]]]:
-        """Normalised words and, for each, its token's span in the text. Markup is skipped."""
-        if "<" in text or "](" in text:
-            text = _TAG.sub(lambda m: " " * len(m[0]), text)
-        words, spans = [], []
-        for m in _TOKEN.finditer(text):
-            for w in self.token(m[0]):
-                words.append(w)
-                spans.append(m.span())
-        return words, spans
+    @staticmethod
+    def _bare(text: str) -> str:
+        """Markup blanked out, every other character in its place."""
+        return _TAG.sub(lambda m: " " * len(m[0]), text) if "<" in text or "](" in text else text
+
+    def words(self, text: str) -> list[str]:
+        """Normalised words. Markup is skipped."""
+        text = self._bare(text)
+        if text.isascii() and "&" not in text:
+            return _ASCII_WORD.findall(text.lower().replace("'", ""))
+        token = self.token
+        return [w for t in text.split() for w in token(t)]
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """For each word of ``words`` the span of the token it stands in."""
+        return [m.span() for m in _TOKEN.finditer(self._bare(text)) for _ in self.token(m[0])]
 
 
 def own_words(items: list[tuple[int, str]]) -> dict[int, list[str]]:
     """Each item's words without the stock sentences, those that several items share."""
     read = WordReader()
-    parts = {i: [tuple(read.words(s)[0]) for s in _STOP.split(t or "")] for i, t in items}
+    parts = {i: [tuple(read.words(s)) for s in _STOP.split(t or "")] for i, t in items}
     shared = Counter(s for p in parts.values() for s in set(p))
     return {i: [w for s in p if shared[s] == 1 for w in s] for i, p in parts.items()}
 
@@ -143,11 +150,11 @@ class Scanner:
 
     def __call__(self, text: str) -> list[tuple[int, int, int, int]]:
         """``(item, matched words, first char, char after the last)`` of each leak in the text."""
-        words, spans = self.read.words(text)
+        words = self.read.words(text)
         if len(words) < LEAST_WORDS or not len(self.keys):
             return []
         get = self.id.get
-        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        ids = np.array([get(w, -1) for w in words], dtype=np.int64)
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
         full = np.flatnonzero(known[SEED:] - known[:-SEED] == SEED)
         if not len(full):
@@ -155,7 +162,9 @@ class Scanner:
         key = self._keys(ids)[full]
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         hit = self.keys[at] == key
-        out = []
+        if not hit.any():
+            return []
+        out, spans = [], self.read.spans(text)
         where, who = full[hit], self.owner[at[hit]]
         for item in np.unique(who):
             own = self.items[int(item)]

@@ -20,6 +20,8 @@ from schedlake.llm import tokens
 from schedlake.session import spread
 
 LIMIT, OVERLAP = 1024, 64
+#: Tokens that a piece must be able to advance: both its ends may move back to keep a character of four bytes whole.
+LEAST_STEP = 8
 
 _WORD = re.compile(r"\s+")
 _SENTENCE = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*(?=\s|\Z)|[。！？]+[」』”]*)\s*")
@@ -99,8 +101,8 @@ def split_documents(
     give no rows, nor do rows without a doc_id. A byte-level tokenizer makes at most one token a byte, so texts of at most
     ``limit`` bytes never reach Python.
     """
-    if not 0 <= overlap < limit:
-        raise ValueError("the overlap must be shorter than the limit")
+    if not 0 <= overlap <= limit - LEAST_STEP:
+        raise ValueError(f"the overlap must be at least {LEAST_STEP} tokens shorter than the limit")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

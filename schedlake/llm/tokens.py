@@ -24,14 +24,18 @@ def load(path: str):
     return tok
 
 
-def encodings(path: str, texts):
-    """Encodings of texts, in order, batched by size; an empty text has no tokens."""
+def encodings(path: str, texts, offsets: bool = True):
+    """Encodings of texts, in order, batched by size; an empty text has no tokens.
+
+    Without ``offsets`` only the number of tokens is of use, and the work is less.
+    """
     tok, held, size = load(path), [], 0
+    encode = tok.encode_batch if offsets else getattr(tok, "encode_batch_fast", tok.encode_batch)
     for text in texts:
         held.append(text)
         size += len(text)
         if size >= BATCH_CHARS:
-            yield from tok.encode_batch(held, add_special_tokens=False)
+            yield from encode(held, add_special_tokens=False)
             held, size = [], 0
     if held:
-        yield from tok.encode_batch(held, add_special_tokens=False)
+        yield from encode(held, add_special_tokens=False)
