@@ -156,7 +156,33 @@ def _tree_sql(name: str, src: str, rank: str) -> str:
     looped AND list_position(seen, last) = 1 AS on_loop FROM {name}_end)"""
 
 
+_NUMBER = r"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*"
+_DATE = "[0-9]{4}-[0-9]{2}-[0-9]{2}( ([01][0-9]|2[0-3]):[0-5][0-9])?"
+_INSTANT = "[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]"
+_FIELD = '("[^"]*("{2}[^"]*)*"|[^",][^,]*|)'
+_COUNTS = (3, 8, 9, 10, 13)
+
 ORACLES = {
+    "p2_found": rf"""WITH l AS (SELECT line_id, file_id, line_no, regexp_replace(coalesce(line, ''), '\r$', '') AS line FROM xer_line WHERE file_id IS NOT NULL AND line_no IS NOT NULL),
+  m AS (SELECT *, split_part(line, chr(9), 1) AS head, head IN ('ERMHDR', '%T', '%F', '%R', '%E') AS mark FROM l),
+  c AS (SELECT *, sum(CAST(mark AS INTEGER)) OVER w AS grp, sum(CASE WHEN head = '%T' THEN 1 ELSE 0 END) OVER w AS tab FROM m WINDOW w AS (PARTITION BY file_id ORDER BY line_no, line_id)),
+  f AS (SELECT *, last_value(CASE WHEN head = '%F' THEN lower(substr(line, 4)) END IGNORE NULLS) OVER (PARTITION BY file_id, tab ORDER BY line_no, line_id) AS fields,
+      first_value(CASE WHEN head = '%T' THEN substr(line, 4) END) OVER (PARTITION BY file_id, tab ORDER BY line_no, line_id) AS tn FROM c),
+  g AS (SELECT arg_min(line_id, (line_no, line_id)) AS id, arg_min(head, (line_no, line_id)) AS head, arg_min(tn, (line_no, line_id)) AS tn, string_split(arg_min(fields, (line_no, line_id)), chr(9)) AS fl,
+      arg_min(line, (line_no, line_id)) AS first, string_agg(line, chr(10) ORDER BY line_no, line_id) AS body FROM f GROUP BY file_id, grp),
+  r AS (SELECT *, string_split(substr(body, CASE WHEN contains(first, chr(9)) THEN 4 ELSE 3 END), chr(9)) AS a, CASE tn WHEN 'TASK' THEN 'task_id' WHEN 'PROJWBS' THEN 'wbs_id' WHEN 'TASKPRED' THEN 'task_pred_id' END AS k FROM g WHERE head = '%R'),
+  s AS (SELECT log_id, regexp_full_match(raw, '{_FIELD}(,{_FIELD})*') AS ok, [CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END FOR x IN [y[2:] FOR y IN regexp_extract_all(',' || raw, ',{_FIELD}')]] AS a
+    FROM scan_log WHERE raw <> '{",".join(rejects.SCAN_COLUMNS)}'),
+  judged AS (
+    SELECT 'xer_line' AS record_source, id AS record_id, CASE WHEN fl IS NULL THEN 'no_fields' WHEN contains(body, chr(0)) THEN 'nul' WHEN len(a) <> len(fl) THEN 'column_count'
+      WHEN k IS NOT NULL AND list_contains(fl, k) AND NOT regexp_full_match(a[list_position(fl, k)], '{_NUMBER}') THEN 'bad_key'
+      WHEN len([i FOR i IN range(1, len(fl) + 1) IF regexp_matches(a[i], '\S') AND ((suffix(fl[i], '_cnt') AND NOT regexp_full_match(a[i], '{_NUMBER}'))
+        OR (suffix(fl[i], '_date') AND NOT (regexp_full_match(a[i], '{_DATE}') AND left(a[i], 4) <> '0000' AND try_cast(left(a[i], 10) AS DATE) IS NOT NULL)))]) > 0 THEN 'bad_value' END AS reason FROM r
+    UNION ALL SELECT 'scan_log', log_id, CASE WHEN NOT ok THEN 'broken_quote' WHEN len(a) <> 13 THEN 'column_count' WHEN NOT regexp_full_match(a[1], '0*[1-9][0-9]*') THEN 'bad_key'
+      WHEN NOT (regexp_full_match(a[2], '{_INSTANT}') AND left(a[2], 4) <> '0000' AND try_cast(left(a[2], 10) AS DATE) IS NOT NULL) OR NOT regexp_full_match(a[4], '[0-9a-fA-F]{{64}}')
+        OR {" OR ".join(f"NOT regexp_full_match(a[{i}], '[0-9]+')" for i in _COUNTS)} OR {" OR ".join(f"a[{i}] NOT IN ('true', 'false')" for i in (6, 7, 11))}
+        OR {" OR ".join(f"try_cast(a[{i}] AS HUGEINT) > try_cast(a[3] AS HUGEINT)" for i in (8, 9, 10))} THEN 'bad_value' END FROM s)
+SELECT record_source, record_id, reason FROM judged WHERE reason IS NOT NULL""",
     "p2_scans": r"""WITH s AS (SELECT * FROM scan_log
     WHERE raw <> 'file_id,scanned_at,bytes,content_hash,p6_version,starts_with_ermhdr,reaches_end_marker,nul_byte_count,trailing_nul_run,complete_bytes,tokenizer_ok,tokenizer_detail,activity_count'
       AND regexp_full_match(raw, '("[^"]*("{2}[^"]*)*"|[^",][^,]*|)(,("[^"]*("{2}[^"]*)*"|[^",][^,]*|))*')),
