@@ -66,8 +66,8 @@ def token_items(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str =
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, enc in zip(frame["doc_id"], tokens.encodings(tokenizer, frame["text"], offsets=False), strict=True):
-                full, rest = divmod(len(enc), capacity)
+            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+                full, rest = divmod(tokens.load(tokenizer).count(text), capacity)
                 out += [(doc, k, capacity) for k in range(full)] + [(doc, full, rest)] * bool(rest)
             yield pd.DataFrame(out, columns=["doc_id", "part_no", "n_tokens"])
 

@@ -46,6 +46,11 @@ def _last_at(flags: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(flags, np.arange(len(flags)), -1))
 
 
+def _char_at(starts: np.ndarray, end: int) -> np.ndarray:
+    """Character of every token position; one inside a character stands at that character's token."""
+    return np.concatenate([np.maximum.accumulate(starts), [end]]) if len(starts) else np.array([end])
+
+
 def successors(starts: np.ndarray, kind: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """``(next cut, piece start)`` for every token position as a cut.
 
@@ -54,10 +59,8 @@ def successors(starts: np.ndarray, kind: np.ndarray, limit: int, overlap: int) -
     the overlap, else a word end, else any position that splits no character.
     """
     n = len(starts)
-    at = np.concatenate([starts, [len(kind) - 1]])
-    whole = np.concatenate([[True], at[1:] != at[:-1]])
-    whole[n] = True
-    cls = np.where(whole, kind[at], -1)
+    whole = np.concatenate([starts >= 0, [True]])
+    cls = np.where(whole, kind[_char_at(starts, len(kind) - 1)], -1)
     any_, word, sentence = _last_at(whole), _last_at(cls >= 1), _last_at(cls >= 2)
     cut = np.arange(n + 1)
     begin = np.where(cut == 0, 0, np.maximum(any_[np.maximum(cut - overlap, 0)], 0))
@@ -85,7 +88,7 @@ def greedy_cuts(nxt: np.ndarray) -> np.ndarray:
 def split_text(text: str, starts: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """``(first token, token after the last, first char, char after the last)`` of each piece."""
     n = len(starts)
-    at = np.concatenate([starts, [len(text)]])
+    at = _char_at(starts, len(text))
     nxt, begin = successors(starts, boundary_classes(text), limit, overlap)
     cuts = greedy_cuts(nxt)
     return [(int(begin[c]), int(nxt[c]), int(at[begin[c]]), int(at[nxt[c]])) for c in cuts if c < n]
@@ -107,10 +110,10 @@ def split_documents(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, text, enc in zip(frame["doc_id"], frame["text"], tokens.encodings(tokenizer, frame["text"]), strict=True):
-                if len(enc) <= limit:
+            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+                starts = tokens.load(tokenizer).starts(text)
+                if len(starts) <= limit:
                     continue
-                starts = np.fromiter((o[0] for o in enc.offsets), dtype=np.int64, count=len(enc))
                 pieces = split_text(text, starts, limit, overlap)
                 out += [(doc, i, a, b - a, len(pieces), text[c:d]) for i, (a, b, c, d) in enumerate(pieces)]
             yield pd.DataFrame(out, columns=["doc_id", "piece_no", "first_token", "n_tokens", "n_pieces", "text"])

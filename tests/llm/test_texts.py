@@ -78,11 +78,19 @@ def greedy(nxt):
     return out
 
 
+def test_tokenizer_files_agree():
+    ranks, whole = tokens.load(tokens.TOKENIZER), tokens.load(tokens.TOKENIZER.replace(".tiktoken", ".json"))
+    for text in ["", "It's a test: 12 km", "Größe – 日本語 😀😀 ñ", " \n\n x  y ", "<|endoftext|>", "x" * 5000]:
+        a, b = ranks.starts(text), whole.starts(text)
+        assert len(a) == len(b) == ranks.count(text) == whole.count(text)
+        assert all(0 <= x < len(text) for x in a if x >= 0) and (not text or a[0] == 0)
+    assert ranks.starts("😀").tolist() == [0, *[-1] * (ranks.count("😀") - 1)]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="ab. \n。é😀", max_size=200), st.integers(12, 24), st.integers(0, 4))
 def test_pieces_cover_and_overlap(text, limit, overlap):
-    enc = next(iter(tokens.encodings(tokens.TOKENIZER, [text])))
-    starts = np.array([o[0] for o in enc.offsets], dtype=np.int64)
+    starts = tokens.load(tokens.TOKENIZER).starts(text)
     if not len(starts):
         return
     nxt, begin = splitting.successors(starts, splitting.boundary_classes(text), limit, overlap)
