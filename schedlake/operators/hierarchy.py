@@ -101,8 +101,11 @@ def _loops(open_: DataFrame, left: int) -> DataFrame:
 _WALK = "id string, parent string, root string, depth bigint, on_loop boolean, back_edge boolean, path array<string>, enter bigint, leave bigint"
 
 
-def _walk(frame: pd.DataFrame) -> pd.DataFrame:
-    """Depth-first search with colours over whole components, in one pass over the frame."""
+def _walk(frame: pd.DataFrame, paths: bool) -> pd.DataFrame:
+    """Depth-first search with colours over whole components, in one pass over the frame.
+
+    Paths are built only where wanted: those of a deep tree outgrow it by far.
+    """
     ids = frame["id"].tolist()
     parent = dict(zip(ids, frame["parent"].tolist(), strict=True))
     roots = dict(zip(ids, frame["root"].tolist(), strict=True))
@@ -124,7 +127,9 @@ def _walk(frame: pd.DataFrame) -> pd.DataFrame:
     for start in starts:
         if roots[start] != last_root:
             clock, last_root = 0, roots[start]
-        colour[start], depth[start], path[start], enter[start] = grey, 0, [start], clock
+        colour[start], depth[start], enter[start] = grey, 0, clock
+        if paths:
+            path[start] = [start]
         clock += 1
         stack = [(start, iter(kids.get(start, ())))]
         while stack:
@@ -135,7 +140,8 @@ def _walk(frame: pd.DataFrame) -> pd.DataFrame:
                 stack.pop()
             elif colour[child] == white:
                 colour[child], depth[child], enter[child] = grey, depth[node] + 1, clock
-                path[child] = [*path[node], child]
+                if paths:
+                    path[child] = [*path[node], child]
                 clock += 1
                 stack.append((child, iter(kids.get(child, ()))))
             elif colour[child] == grey:
@@ -152,11 +158,11 @@ def _walk(frame: pd.DataFrame) -> pd.DataFrame:
     out = []
     for i in ids:
         bad = roots[i] in looping
-        out.append((i, parent[i], roots[i], -1 if bad else depth[i], i in loop, i in back, None if bad else path[i], enter[i], leave[i]))
+        out.append((i, parent[i], roots[i], -1 if bad else depth[i], i in loop, i in back, None if bad else path.get(i), enter[i], leave[i]))
     return pd.DataFrame(out, columns=[x.split()[0] for x in _WALK.split(", ")])
 
 
-def _walk_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _walk_buckets(frames: Iterator[pd.DataFrame], paths: bool) -> Iterator[pd.DataFrame]:
     """Rows arrive sorted by root: hold one run of whole components at a time."""
     held: list[pd.DataFrame] = []
     size = 0
@@ -170,11 +176,11 @@ def _walk_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = whole["root"].iloc[-1]
         ready = whole[whole["root"] != last]
         if len(ready):
-            yield _walk(ready)
+            yield _walk(ready, paths)
         held = [whole[whole["root"] == last]]
         size = len(held[0])
     if size:
-        yield _walk(pd.concat(held, ignore_index=True))
+        yield _walk(pd.concat(held, ignore_index=True), paths)
 
 
 def _double_paths(giant: DataFrame) -> DataFrame:
@@ -198,7 +204,7 @@ def resolve(nodes: DataFrame, rank: Column | None = None, local_limit: int = LOC
     """Full hierarchy of ``nodes(id string, parent string)``, one row a node.
 
     Columns: id, parent, root, depth, on_loop, back_edge (its link closes a loop in the walk),
-    path (root to node, null below or on a loop), enter and leave (pre-order span within the
+    path (root to node, null below or on a loop, and everywhere without ``paths``), enter and leave (pre-order span within the
     root's component: b is a descendant of a iff both share a root and
     a.enter <= b.enter < a.leave; null in giant components), giant. Rows with a null id are
     left out; of repeated ids the caller keeps one. An empty table gives an empty result. A
@@ -211,7 +217,7 @@ def resolve(nodes: DataFrame, rank: Column | None = None, local_limit: int = LOC
     has_giant = bool(giants.limit(1).count())
     marked = comps.join(giants, F.col("root") == F.col("g_root"), "left") if has_giant else comps.withColumn("g_root", F.lit(None).cast("string"))
     small = marked.where("g_root IS NULL").select("id", "parent", "root")
-    walked = small.repartition("root").sortWithinPartitions("root").mapInPandas(_walk_buckets, _WALK).withColumn("giant", F.lit(False))
+    walked = small.repartition("root").sortWithinPartitions("root").mapInPandas(lambda frames: _walk_buckets(frames, paths), _WALK).withColumn("giant", F.lit(False))
     if not has_giant:
         return walked
     big = marked.where("g_root IS NOT NULL")

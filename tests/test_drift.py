@@ -1,5 +1,10 @@
+from pathlib import Path
+
+import pytest
+
 from schedlake.operators import drift
 
+DATA = Path("/root/testdata/sf0.01")
 XER = "file_id bigint, seq_no int, table_name string, fields array<string>, cells array<array<string>>"
 
 
@@ -65,3 +70,56 @@ def test_nulls_and_empties(spark):
     got = drift.changes(spark.createDataFrame(rows, XER), revisions(spark, 2)).collect()
     assert {(r["file_id"], r["change_kind"], r["field_name"]) for r in got} == {(2, "added", "a"), (2, "added", "")}
     assert drift.changes(spark.createDataFrame([], XER), revisions(spark, 1)).count() == 0
+
+
+def plain_changes(exports):
+    """The same rules said with dictionaries: exports are (programme, rev, file, table, fields, cells)."""
+    import re
+
+    number, stamp = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*"), re.compile(r"\d{4}-\d\d-\d\d \d\d:\d\d")
+
+    def kind(v):
+        v = v.strip()
+        return "number" if number.fullmatch(v) else "stamp" if stamp.fullmatch(v) else "flag" if v in ("Y", "N") else "text"
+
+    said = lambda v: None if not (v or "").strip() else float(v) if number.fullmatch(v) else v.strip()
+    out, before = set(), {}
+    for prog, _, file, table, fields, cells in sorted(exports, key=lambda e: (e[0], e[3], e[1])):
+        cols = {}
+        for i, f in enumerate(fields):
+            cols.setdefault(f.strip().lower(), [r[i] for r in cells])
+        old = before.get((prog, table))
+        before[prog, table] = cols
+        if old is None:
+            continue
+        new_names, old_names = [n for n in cols if n not in old], [n for n in old if n not in cols]
+        key = drift.ROW_KEYS[table]
+        if key in cols and key in old:
+            places = {said(k): i for i, k in enumerate(old[key])}
+            met = [(i, places[said(k)]) for i, k in enumerate(cols[key]) if said(k) in places]
+        else:
+            met = [(i, i) for i in range(min(len(next(iter(cols.values()))), len(next(iter(old.values())))))]
+        for n in list(new_names):
+            for o in list(old_names):
+                pairs = [(said(cols[n][i]), said(old[o][j])) for i, j in met]
+                pairs = [p for p in pairs if p != (None, None)]
+                if pairs and sum(a == b for a, b in pairs) / len(pairs) >= 0.8 and n in new_names:
+                    out.add((file, table, "renamed", o))
+                    new_names.remove(n)
+                    old_names.remove(o)
+        out |= {(file, table, "added", n) for n in new_names} | {(file, table, "removed", o) for o in old_names}
+        for n in set(cols) & set(old):
+            a, b = ([kind(v) for v in c[n] if v and v.strip()] for c in (old, cols))
+            if a and b and max(set(b), key=b.count) != max(set(a), key=a.count) and 2 * sum(k != max(set(a), key=a.count) for k in b) > len(b):
+                out.add((file, table, "retyped", n))
+    return out
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+def test_stored_exports_match_plain_python(spark):
+    xer, revs = spark.read.parquet(f"{DATA}/xer_table.parquet"), spark.read.parquet(f"{DATA}/revision.parquet")
+    by = {r["file_id"]: (r["programme_id"], r["rev_no"]) for r in revs.collect()}
+    rows = {(r["file_id"], r["table_name"]): r for r in sorted(xer.collect(), key=lambda r: -r["seq_no"])}
+    want = plain_changes([(*by[f], f, t, r["fields"], r["cells"]) for (f, t), r in rows.items()])
+    got = {(r["file_id"], r["table_name"], r["change_kind"], r["field_name"]) for r in drift.changes(xer, revs).collect()}
+    assert got == want and len(want) > 30
