@@ -132,7 +132,8 @@ def path_summary(tasks: DataFrame, members: DataFrame, key: str) -> DataFrame:
     state: skip without remaining tasks, unavailable without a readable early finish, error
     with a loop, else ok.
     """
-    inside = members.select(F.col("task_id").alias("m_id"), "back_links")
+    # A link across projects can make a task a member of two paths; it counts once, in its own project.
+    inside = members.groupBy(F.col("task_id").alias("m_id")).agg(F.max("back_links").alias("back_links"))
     t = tasks.where(F.col(key).isNotNull()).join(inside, F.col("task_id") == F.col("m_id"), "left")
     live = F.col("status_code") != "TK_Complete"
     ef = minute_number(F.col("early_end_date"))

@@ -195,7 +195,7 @@ def g8_path_summary(spark: SparkSession, folder: str) -> DataFrame:
 def a21_flag_agreement(spark: SparkSession, folder: str) -> DataFrame:
     """Computed members against the exported flag: both, only one."""
     tasks = tasks_now(spark, folder).where("proj_id IS NOT NULL")
-    members = driving.walk(tasks, links_now(spark, folder), "proj_id").select(F.col("task_id").alias("m_id"))
+    members = driving.walk(tasks, links_now(spark, folder), "proj_id").select(F.col("task_id").alias("m_id")).distinct()
     flagged, member = F.upper(F.trim(F.coalesce("driving_path_flag", F.lit("")))) == "Y", F.col("m_id").isNotNull()
     return tasks.join(members, F.col("task_id") == F.col("m_id"), "left").groupBy("proj_id").agg(
         F.count_if(flagged & member).alias("n_both"), F.count_if(flagged & ~member).alias("n_only_flag"), F.count_if(~flagged & member).alias("n_only_computed")
