@@ -3,7 +3,9 @@
 Adjacent character pairs are scored by their corpus mutual information. The maximum-scoring
 segments of improbable pairs are the suspect runs, and inverse mappings (encode with the
 charset that was wrongly used, decode with the one that was meant) are tried only there. A
-mapping is accepted when the restored text's pairs are far more probable in the corpus.
+mapping is accepted when the restored text's pairs are far more probable in the corpus. UTF-8
+sequences that no writing forms are cases whatever the corpus holds, and the pairs are counted
+without them, so repeated garbling does not become natural.
 
 The pair table is bounded by construction: characters no supported charset holds share one
 symbol, so it has at most ``len(ALPHABET) ** 2`` entries and is safe to collect and ship.
@@ -13,6 +15,7 @@ Detection is map-only; names may repeat or be skewed at will.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,15 +51,34 @@ def _codes(text: str) -> np.ndarray:
     return _CODE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
 
+def _own_codes(text: str) -> np.ndarray:
+    """Codes of a text with -1 for runs that are likely UTF-8 bytes, which say nothing about its language.
+
+    These are runs garbled by their own evidence, and plausible ones in texts that hold no other
+    non-ASCII run: beside one, the text was rather read as it was meant.
+    """
+    codes = _codes(text)
+    if text.isascii():
+        return codes
+    runs = [(m.start(), m.end(), *_utf8_readings(text, *m.span())) for m in _HIGH.finditer(text)]
+    alone = all(own or plausible for _, _, own, plausible in runs)
+    for s, e, own, _ in runs:
+        if own or alone:
+            codes[s:e] = -1
+    return codes
+
+
 def _count_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(_N * _N, dtype=np.int64)
     for frame in frames:
-        body = [_codes(t) for t in frame["text"] if t]
+        body = [_own_codes(t) for t in frame["text"] if t]
         if not body:
             continue
         edge = np.zeros(1, dtype=np.int32)
         line = np.concatenate([edge, *(x for c in body for x in (c, edge))]).astype(np.int64)
-        total += np.bincount(line[:-1] * _N + line[1:], minlength=_N * _N)
+        a, b = line[:-1], line[1:]
+        seen = (a >= 0) & (b >= 0)
+        total += np.bincount(a[seen] * _N + b[seen], minlength=_N * _N)
     at = np.flatnonzero(total)
     yield pd.DataFrame({"pair": at, "n": total[at]})
 
@@ -65,6 +87,7 @@ def pair_counts(texts: DataFrame) -> DataFrame:
     """``(pair, n)``: how often each pair of symbols stands side by side in ``texts(text)``.
 
     Counted per task and added up, over all rows; texts' edges are a symbol of their own.
+    Pairs that touch a run of UTF-8 bytes are left out, see ``_own_codes``.
     """
     some = texts.where("text IS NOT NULL AND text <> ''").select("text")
     return some.mapInPandas(_count_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -159,12 +182,77 @@ def _from_utf8(run: str) -> tuple[frozenset[str], frozenset[str]]:
             # Bytes outside valid stretches keep the character they were read as.
             out, at = [], 0
             for m in _UTF8_RUN.finditer(data):
+                # Letters of one script that would be a character of no supported charset are a word.
+                if _CODE[ord(m[0].decode("utf-8"))] == 1 and len({_script(c) for c in run[m.start() : m.end()]} | {""}) == 2 and run[m.start() : m.end()].isalpha():
+                    continue
                 out += [run[at : m.start()], m[0].decode("utf-8")]
                 at = m.end()
             part.add("".join([*out, run[at:]]))
     return frozenset(x for x in whole if len(x) < len(run)), frozenset(part - {run})
 
 
+#: Punctuation that may well follow a letter.
+_AFTER_LETTER = frozenset("‘’“”–—…•«»\xa0")
+
+
+@lru_cache(maxsize=100_000)
+def _script(c: str) -> str:
+    """The script of a letter, "" for any other character."""
+    return unicodedata.name(c, "").split(" ")[0] if c.isalpha() and c not in "ªºµ" and unicodedata.category(c) != "Lm" else ""
+
+
+def _odd(chars: str, before: str, after: str) -> bool:
+    """Whether no writing forms this sequence: a letter run into a sign, a sign into a letter, or against case."""
+    lead, rest = chars[0], chars[1:]
+    if not lead.isalpha():
+        # Only signs that are no punctuation: a dash or quote before a letter is common.
+        return lead not in _AFTER_LETTER and unicodedata.category(lead) in ("So", "Sm", "Sk") and any(c.isalpha() or not c.isprintable() for c in rest)
+    if lead.isupper() and before.islower():
+        return True
+    if any(not (c.isalpha() or c in _AFTER_LETTER) or (c.isalpha() and _script(c) != _script(lead)) for c in rest):
+        return True
+    return any(c in "‘“”" for c in rest) and after.isalpha()
+
+
+@lru_cache(maxsize=100_000)
+def _readings(run: str, before: str, after: str) -> tuple[frozenset[str], frozenset[str]]:
+    own, plausible = set(), set()
+    for charset in READ_CHARSETS:
+        data = _encode(run, charset)
+        if data is None or len(data) != len(run):
+            continue
+        try:
+            new = data.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        if len(new) == len(run):
+            continue
+        parts = [m.span() for m in _UTF8_RUN.finditer(data)]
+        signs = [run[a:b] for a, b in parts]
+        odd = any(_odd(run[a:b], run[a - 1] if a else before, run[b] if b < len(run) else after) for a, b in parts)
+        scripts = {_script(c) for c in new} | {_script(before), _script(after)}
+        # Control characters are no text, but bytes where wrong readings are stacked.
+        controls = any(unicodedata.category(c) == "Cc" for c in new)
+        stacked = len(parts) > 2 or not controls or bool(_from_utf8(new)[0])
+        held = stacked and all(_CODE[ord(c)] > 1 for c in new)
+        # Further scripts take three bytes or more, whose signs no single-byte writing puts side by side.
+        wide = odd and all(len(x) > 2 or _CODE[ord(c)] > 1 for x, c in zip(signs, new, strict=True)) and all(unicodedata.category(c)[0] not in "C" for c in new)
+        if (held or wide) and (len(parts) > 2 or len(scripts - {""}) <= 1):
+            (own if odd or len(parts) > 2 else plausible).add(new)
+    return frozenset(own), frozenset(plausible)
+
+
+def _utf8_readings(text: str, s: int, e: int) -> tuple[frozenset[str], frozenset[str]]:
+    """Readings of a run as UTF-8 bytes that its signs prove, and those that are merely possible.
+
+    Both hold only characters of the supported charsets (or such as take three bytes), in one
+    script with the letters beside the run.
+    """
+    if e - s < 2:
+        return frozenset(), frozenset()
+    return _readings(text[s:e], text[max(s - 1, 0) : s], text[e : e + 1])
+
+
 @lru_cache(maxsize=100_000)
 def _variants(run: str) -> dict[tuple[str, str], str]:
     """What a run becomes under each (read, true) pair of single-byte charsets that holds it."""
@@ -214,6 +302,8 @@ class Restorer:
         spans = self._runs(text)
         if not spans:
             return None
+        if any(_utf8_readings(text, s, e)[0] for s, e in spans):
+            return self._utf8(text, spans, 0)
         found = [x for x in (self._utf8(text, spans, 0), self._single_byte(text, spans)) if x is not None]
         if found:
             return max(found, key=self.model.logp)
@@ -228,12 +318,16 @@ class Restorer:
         return [(s, e) for s, e in marks if any(a < e and s < b for a, b in segments)]
 
     def _utf8(self, text: str, spans: list[tuple[int, int]], kind: int) -> str | None:
-        """Runs read as UTF-8 (kind 0: wholly, 1: in stretches), each as the likeliest of its readings."""
+        """Runs read as UTF-8 (kind 0: wholly, 1: in stretches), each as the likeliest of its readings.
+
+        A reading must make the text likelier, unless the run's own signs prove it.
+        """
         out, at, hit = [], 0, False
         for s, e in spans:
-            options = [(self._gain(text, s, e, x), x) for x in _from_utf8(text[s:e])[kind]] if e - s > 1 else []
+            own = _utf8_readings(text, s, e)[0] if kind == 0 else frozenset()
+            options = [(self._gain(text, s, e, x), x) for x in own or _from_utf8(text[s:e])[kind]] if e - s > 1 else []
             gain, better = max(options, default=(0.0, ""))
-            if gain > 0:
+            if own or gain > 0:
                 out += [text[at:s], better]
                 at, hit = e, True
         return "".join([*out, text[at:]]) if hit else None

@@ -82,3 +82,21 @@ def test_dataframe(spark):
     assert [(r["record_id"], r["restored"], r["n"]) for r in got] == [(9000, "Réception du bâtiment côté quai", 3)] * 2
     assert mojibake.restore_names(df.limit(0)).count() == 0
     assert np.isfinite(mojibake.fit(df.limit(0)).log_p).all()
+
+
+def test_repeated_garbling_stays_garbled(spark):
+    bad = {garble(t, "utf-8", "cp1252"): t for t in ("Montaż słupów", "Réception côté quai", "Survey 10 m³ sump", "client’s spares", "Проверка линии")}
+    plain = [(f"Montaz slupow {i}",) for i in range(200)] + [(t,) for t in CLEAN] * 20
+    bad |= {garble(garble(t, "utf-8", "cp1252"), "utf-8", "cp1252"): t for t in ("Réception côté quai", "Устройство с дренажа")}
+    for copies in (1, 4, 300):
+        # Repeats of one name, and a source that is wholly garbled: distinct names with the same letters.
+        rows = plain + [(b,) for b in bad] * copies + [(f"{b} {i}",) for b in bad for i in range(copies)]
+        got = {r["text"]: r["restored"] for r in mojibake.restore_names(spark.createDataFrame(rows, "text string")).collect()}
+        assert got == {**bad, **{f"{b} {i}": f"{t} {i}" for b, t in bad.items() for i in range(copies)}}
+
+
+def test_writing_that_happens_to_be_utf8_stays():
+    names = ["Paris–Évry", "AMANHÃ” ÁREA", "CAFÉ® bar", "ось Р–2", "сад", "“être”", "Проект РІ 5"]
+    counted = next(mojibake._count_pairs(iter([pd.DataFrame({"text": CLEAN + [f"{n} {i}" for n in names for i in range(300)]})])))
+    fix = mojibake.Restorer(mojibake.PairModel(counted["pair"].to_numpy(), counted["n"].to_numpy().astype(float)))
+    assert [n for n in names if fix(n)[0]] == []
