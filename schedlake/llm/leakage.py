@@ -119,6 +119,27 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int, int]:
     return score, matched, start, end
 
 
+def passages(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(matched words, start, end)`` of every passage of the item in the text, none over another.
+
+    The best alignment is taken out and the text on either side searched again. A stretch that
+    scores but has too few words is taken out too. Nothing is lost across it: it has 20 words or
+    more, and bridging those costs more than two sides below ``LEAST_WORDS`` bring.
+    """
+    out, todo = [], [(0, len(text))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < LEAST_WORDS:
+            continue
+        score, matched, s, e = align(item, text[a:b])
+        if score < LEAST_SCORE:
+            continue
+        if matched >= LEAST_WORDS:
+            out.append((matched, a + s, a + e))
+        todo += [(a, a + s), (a + e, b)]
+    return sorted(out, key=lambda x: x[1])
+
+
 class Scanner:
     """The hash set of one block of items, and the search of one text against it."""
 
@@ -170,8 +191,7 @@ class Scanner:
             own = self.items[int(item)]
             reach = len(own) + MARGIN
             for a, b in _windows(where[who == item], reach, len(ids)):
-                score, matched, s, e = align(own, ids[a:b])
-                if matched >= LEAST_WORDS and score >= LEAST_SCORE:
+                for matched, s, e in passages(own, ids[a:b]):
                     out.append((int(item), matched, spans[a + s][0], spans[a + e - 1][1]))
         return out
 

@@ -44,6 +44,19 @@ def test_leaks_by_kind(spark, items):
     assert leakage.leaks(df, its.limit(0)).count() == 0 and leakage.leaks(df.limit(0), its).count() == 0
 
 
+def test_every_passage_of_an_item_is_cut(spark, items):
+    rnd = random.Random(12)
+    words = items[3][1].split()
+    first, last, noise = " ".join(words[:30]), " ".join(words[40:75]), [passage(rnd, 60) for _ in range(4)]
+    whole = " ".join(words[:110])
+    docs = [(1, " ".join([noise[0], whole, noise[1], whole, noise[2], noise[3], passage(rnd, 300)])), (2, f"{noise[0]} {passage(rnd, 60)} {last} {noise[1]} {first} {noise[2]} {first}")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = leakage.leaks(df, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["words"]) for r in found.collect()) == [(1, 3, 110)] * 2 + [(2, 3, 30)] * 2 + [(2, 3, 35)]
+    clean = {r["doc_id"]: r["text"] for r in leakage.remove_leaks(df, found, 0.9).collect()}
+    assert set(clean) == {1, 2} and not any(f" {w} " in clean[d] for d in clean for w in (" ".join(words[8:16]), " ".join(words[50:58])))
+
+
 def test_item_blocks_give_the_same(spark, items, monkeypatch):
     df = spark.createDataFrame([(1, items[2][1]), (2, items[17][1])], "doc_id bigint, text string")
     its = spark.createDataFrame(items, "item_id bigint, text string")
