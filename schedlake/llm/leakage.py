@@ -1,6 +1,6 @@
 """Held-out passages that leaked into a corpus: who holds what, and the corpus without it.
 
-The items' word n-grams that belong to one item alone make a hash set that every task gets;
+The items' word n-grams that belong to one item or its copies alone make a hash set that every task gets;
 training token windows are scanned against it; hits are verified by aligning the item's own
 words with the text around the hit. Items go in blocks of bounded size, so the set's size
 does not depend on their number. Documents are scanned where they lie, without a shuffle.
@@ -14,6 +14,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -83,12 +84,38 @@ class WordReader:
         return [m.span() for m in _TOKEN.finditer(self._bare(text)) for _ in self.token(m[0])]
 
 
-def own_words(items: list[tuple[int, str]]) -> dict[int, list[str]]:
-    """Each item's words without the stock sentences, those that several items share."""
+def own_words(items: list[tuple[int, str]]) -> list[tuple[tuple[int, ...], list[str]]]:
+    """``(item ids, words)`` of each distinct text without its stock sentences.
+
+    Items of equal words are one entry, and an id with several texts stands in several. A
+    sentence is stock for a text if another one holds it that is no copy of it: that shares less
+    than half of the longer one's words in whole sentences, and is not contained in it or the
+    other way round.
+    """
     read = WordReader()
-    parts = {i: [tuple(read.words(s)) for s in _STOP.split(t or "")] for i, t in items}
-    shared = Counter(s for p in parts.values() for s in set(p))
-    return {i: [w for s in p if shared[s] == 1 for w in s] for i, p in parts.items()}
+    ids: dict[tuple, set[int]] = {}
+    for i, t in items:
+        ids.setdefault(tuple(w for w in (tuple(read.words(s)) for s in _STOP.split(t or "")) if w), set()).add(i)
+    texts = sorted(ids, key=lambda p: min(ids[p]))
+    whole, size = [set(p) for p in texts], [sum(map(len, set(p))) for p in texts]
+    holders: dict[tuple, list[int]] = {}
+    for k, sentences in enumerate(whole):
+        for s in sentences:
+            holders.setdefault(s, []).append(k)
+    known: dict[tuple[int, int], bool] = {}
+
+    def copies(a: int, b: int) -> bool:
+        pair = (min(a, b), max(a, b))
+        if pair not in known:
+            shared = sum(len(s) for s in whole[a] & whole[b])
+            known[pair] = 2 * shared >= max(size[a], size[b]) or shared == min(size[a], size[b])
+        return known[pair]
+
+    own: dict[tuple[str, ...], set[int]] = {}
+    for k, p in enumerate(texts):
+        stock = {s for s in whole[k] if not all(h == k or copies(k, h) for h in holders[s])}
+        own.setdefault(tuple(w for s in p if s not in stock for w in s), set()).update(ids[p])
+    return [(tuple(sorted(who)), list(words)) for words, who in own.items()]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int, int]:
@@ -141,21 +168,38 @@ def passages(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 class Scanner:
-    """The hash set of one block of items, and the search of one text against it."""
+    """The hash set of one block of items, and the search of one text against it.
 
-    def __init__(self, own: dict[int, list[str]]) -> None:
+    A window that items hold that are no copies of each other is a turn of phrase, no seed.
+    Copies share half of the shorter one's windows.
+    """
+
+    def __init__(self, own: list[tuple[tuple[int, ...], list[str]]]) -> None:
         self.read = WordReader()
-        vocabulary = sorted({w for ws in own.values() for w in ws})
+        own = [x for x in own if len(x[1]) >= LEAST_WORDS]
+        vocabulary = sorted({w for _, ws in own for w in ws})
         self.id = {w: k for k, w in enumerate(vocabulary)}
-        self.items = {i: np.array([self.id[w] for w in ws], dtype=np.int64) for i, ws in own.items() if len(ws) >= LEAST_WORDS}
-        keys, owner = [], []
-        for i, ids in self.items.items():
-            grams = np.unique(self._keys(ids))
-            keys.append(grams)
-            owner.append(np.full(len(grams), i, dtype=np.int64))
-        keys, owner = (np.concatenate(x) if x else np.array([], dtype=np.int64) for x in (keys, owner))
-        uniq, first, times = np.unique(keys, return_index=True, return_counts=True)
-        self.keys, self.owner = uniq[times == 1], owner[first[times == 1]]
+        self.members = [who for who, _ in own]
+        self.items = [np.array([self.id[w] for w in ws], dtype=np.int64) for _, ws in own]
+        #: Which words an item holds, filled for one item at a time; the last place is the unknown word -1.
+        self.mark = np.zeros(len(vocabulary) + 1, dtype=bool)
+        grams = [np.unique(self._keys(ids)) for ids in self.items]
+        keys = np.concatenate(grams) if grams else np.array([], dtype=np.int64)
+        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        order = np.argsort(keys, kind="stable")
+        uniq, first = np.unique(keys[order], return_index=True)
+        holders = np.split(owner[order], first[1:])
+        known: dict[tuple[int, int], bool] = {}
+
+        def copies(a: int, b: int) -> bool:
+            if (a, b) not in known:
+                known[a, b] = 2 * len(np.intersect1d(grams[a], grams[b], assume_unique=True)) >= min(len(grams[a]), len(grams[b]))
+            return known[a, b]
+
+        # Owners of the k-th key stand from first[k] to first[k + 1].
+        kept = [k for k, who in enumerate(holders) if len(who) == 1 or all(copies(a, b) for a, b in combinations(who.tolist(), 2))] if len(uniq) else []
+        self.keys, self.owner = uniq[kept], np.concatenate([np.array([], dtype=np.int64), *(holders[k] for k in kept)])
+        self.first = np.cumsum([0, *(len(holders[k]) for k in kept)])
 
     @staticmethod
     def _keys(ids: np.ndarray) -> np.ndarray:
@@ -185,15 +229,30 @@ class Scanner:
         hit = self.keys[at] == key
         if not hit.any():
             return []
-        out, spans = [], self.read.spans(text)
-        where, who = full[hit], self.owner[at[hit]]
-        for item in np.unique(who):
-            own = self.items[int(item)]
-            reach = len(own) + MARGIN
-            for a, b in _windows(where[who == item], reach, len(ids)):
+        out, spans = set(), None
+        places, found = full[hit], at[hit]
+        n = self.first[found + 1] - self.first[found]
+        where = np.repeat(places, n)
+        who = self.owner[np.repeat(self.first[found] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        order = np.argsort(who, kind="stable")
+        cuts = np.flatnonzero(np.diff(who[order])) + 1
+        for part in np.split(order, cuts):
+            k = int(who[part[0]])
+            own = self.items[k]
+            for a, b in _windows(where[part], len(own) + MARGIN, len(ids)):
+                if self._bound(own, ids[a:b]) < LEAST_SCORE:
+                    continue
                 for matched, s, e in passages(own, ids[a:b]):
-                    out.append((int(item), matched, spans[a + s][0], spans[a + e - 1][1]))
-        return out
+                    spans = self.read.spans(text) if spans is None else spans
+                    out |= {(item, matched, spans[a + s][0], spans[a + e - 1][1]) for item in self.members[k]}
+        return sorted(out)
+
+    def _bound(self, item: np.ndarray, text: np.ndarray) -> float:
+        """The most an alignment can score: words the item lacks cost ``EDIT`` each."""
+        self.mark[item] = True
+        total = np.concatenate([[0.0], np.cumsum(np.where(self.mark[text], 1.0, -EDIT))])
+        self.mark[item] = False
+        return float((total - np.minimum.accumulate(total)).max())
 
 
 def _windows(seeds: np.ndarray, reach: int, n: int) -> list[tuple[int, int]]:
@@ -208,18 +267,17 @@ def _windows(seeds: np.ndarray, reach: int, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _blocks(items: DataFrame) -> list[dict[int, list[str]]]:
+def _blocks(items: DataFrame) -> list[list[tuple[tuple[int, ...], list[str]]]]:
     """The held-out items, a stated query set, in blocks of at most ``BLOCK_WORDS`` words."""
     rows = items.where("item_id IS NOT NULL").select("item_id", "text").distinct().toLocalIterator()
-    own = own_words([(r[0], r[1]) for r in rows])
-    out: list[dict[int, list[str]]] = [{}]
+    out: list[list[tuple[tuple[int, ...], list[str]]]] = [[]]
     size = 0
-    for i in sorted(own):
-        if out[-1] and size + len(own[i]) > BLOCK_WORDS:
-            out.append({})
+    for who, words in sorted(own_words([(r[0], r[1]) for r in rows])):
+        if out[-1] and size + len(words) > BLOCK_WORDS:
+            out.append([])
             size = 0
-        out[-1][i] = own[i]
-        size += len(own[i])
+        out[-1].append((who, words))
+        size += len(words)
     return out
 
 
@@ -228,12 +286,13 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     A passage is at least 25 of the item's own words in its order, small edits apart; case,
     accents, punctuation, markup, layout and look-alike letters do not count. Stock sentences
-    shared by items are not own words. Null and short texts hold nothing, rows without a
+    shared by items that are no copies of each other are not own words; a passage of several
+    items is reported for each. Null and short texts hold nothing, rows without a
     doc_id are left out. An item of fewer own words cannot leak.
     """
     texts = documents.where((F.length("text") >= 2 * LEAST_WORDS - 1) & F.col("doc_id").isNotNull()).select("doc_id", "text")
 
-    def search(own: dict[int, list[str]]) -> DataFrame:
+    def search(own: list[tuple[tuple[int, ...], list[str]]]) -> DataFrame:
         shared = documents.sparkSession.sparkContext.broadcast(own)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

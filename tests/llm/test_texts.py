@@ -57,6 +57,18 @@ def test_every_passage_of_an_item_is_cut(spark, items):
     assert set(clean) == {1, 2} and not any(f" {w} " in clean[d] for d in clean for w in (" ".join(words[8:16]), " ".join(words[50:58])))
 
 
+def test_items_that_are_copies_all_leak(spark, items):
+    rnd = random.Random(15)
+    a, b = items[3][1], items[7][1]
+    edited = a.replace(a.split()[20], "other").replace(a.split()[90], "other")
+    half = a.split(". ")[0] + "."
+    more = [(103, a), (104, edited), (105, half), (7, passage(rnd, 60)), (3, a)]
+    second = more[3][1]
+    docs = [(1, f"{passage(rnd, 30)} {' '.join(a.split()[:70])} {passage(rnd, 30)}"), (2, b), (3, second), (4, f"{passage(rnd, 50)} {STOCK} {STOCK} {STOCK}")]
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([*items, *more], "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 3), (1, 103), (1, 104), (1, 105), (2, 7), (3, 7)}
+
+
 def test_item_blocks_give_the_same(spark, items, monkeypatch):
     df = spark.createDataFrame([(1, items[2][1]), (2, items[17][1])], "doc_id bigint, text string")
     its = spark.createDataFrame(items, "item_id bigint, text string")
