@@ -1,7 +1,8 @@
 """Critical-path method on a project's network: early and late times, total and free float.
 
 One project is one file, and the ingest verdict refuses files above the activity cap, so a
-project's network always fits one task; larger groups are refused here too.
+project's network mostly fits one task. A larger group is relaxed in distributed rounds, one
+for each topological level.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from schedlake.session import cut
+
 #: Fixed value: activities that one export may hold.
 ACTIVITY_CAP = 20_000
 
@@ -61,6 +64,46 @@ def network_times(tasks: list[tuple[int, float]], links: list[tuple[int, int, st
     }
 
 
+def _relax(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes(key, task_id, x)`` with x the greatest of its own and x + w over ``edges(key, src, dst, w)`` into it.
+
+    One round a topological level; nodes on or behind a loop are left out.
+    """
+    need = edges.groupBy("key", F.col("dst").alias("task_id")).agg(F.count("*").alias("need"))
+    state = cut(nodes.join(need, ["key", "task_id"], "left").select("key", "task_id", "x", F.coalesce("need", F.lit(0)).alias("need")))
+    while True:
+        # need is 0 for a node whose turn it is, -1 after it.
+        front = state.where("need = 0").select("key", F.col("task_id").alias("src"), F.col("x").alias("from_x"))
+        if not front.limit(1).count():
+            return state.where("need < 0").drop("need")
+        push = edges.join(front, ["key", "src"]).groupBy("key", F.col("dst").alias("task_id")).agg(F.count("*").alias("n"), F.max(F.col("from_x") + F.col("w")).alias("new_x"))
+        left = F.when(F.col("need") <= 0, -1).otherwise(F.col("need") - F.coalesce("n", F.lit(0)))
+        state = cut(state.join(push, ["key", "task_id"], "left").select("key", "task_id", F.greatest("x", "new_x").alias("x"), left.alias("need")))
+
+
+def giant_times(tasks: DataFrame, links: DataFrame) -> DataFrame:
+    """``network_times`` of groups of any size, of ``tasks(key, task_id, hours)`` and ``links(key, pred_id, succ_id, pred_type, lag)``."""
+    tasks = cut(tasks.dropDuplicates(["key", "task_id"]))
+    side = lambda name: tasks.select("key", F.col("task_id").alias(f"{name}_id"), F.col("hours").alias(f"{name}_hours"))
+    both = links.where("pred_id <> succ_id").join(side("pred"), ["key", "pred_id"]).join(side("succ"), ["key", "succ_id"])
+    from_start, to_finish = F.col("pred_type").isin("PR_SS", "PR_SF"), F.col("pred_type").isin("PR_FF", "PR_SF")
+    w = F.when(from_start, 0.0).otherwise(F.col("pred_hours")) + F.col("lag") - F.when(to_finish, F.col("succ_hours")).otherwise(0.0)
+    edges = cut(both.select("key", F.col("pred_id").alias("src"), F.col("succ_id").alias("dst"), w.alias("w")))
+    early = cut(_relax(tasks.select("key", "task_id", F.lit(0.0).alias("x")), edges).withColumnRenamed("x", "early").join(tasks, ["key", "task_id"]))
+    ends = early.groupBy("key").agg(F.max(F.col("early") + F.col("hours")).alias("end"))
+    at = lambda name: early.select("key", F.col("task_id").alias(name), F.col("early").alias(f"{name}_early"))
+    inner = cut(edges.join(at("src"), ["key", "src"]).join(at("dst"), ["key", "dst"]))
+    # Backwards the same rounds run on negated late starts.
+    last = early.join(ends, "key").select("key", "task_id", (F.col("hours") - F.col("end")).alias("x"))
+    late = _relax(last, inner.select("key", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).withColumn("late", F.lit(0.0) - F.col("x")).drop("x")
+    free = inner.groupBy("key", F.col("src").alias("task_id")).agg(F.min(F.col("dst_early") - F.col("w") - F.col("src_early")).alias("free"))
+    e, l, h = F.col("early"), F.col("late"), F.col("hours")
+    return early.join(late, ["key", "task_id"]).join(free, ["key", "task_id"], "left").select(
+        "key", "task_id", e.alias("early_start"), (e + h).alias("early_finish"), l.alias("late_start"), (l + h).alias("late_finish"),
+        (l - e).alias("total_float"), F.greatest(F.lit(0.0), F.coalesce("free", l - e)).alias("free_float"),
+    )
+
+
 _OUT = "key string, task_id bigint, early_start double, early_finish double, late_start double, late_finish double, total_float double, free_float double"
 
 
@@ -68,11 +111,18 @@ def schedule(tasks: DataFrame, links: DataFrame, cap: int = ACTIVITY_CAP) -> Dat
     """CPM of every group of ``tasks(key, task_id, hours)`` with ``links(key, pred_id, succ_id, pred_type, lag_hr_cnt)``.
 
     Null durations and lags are 0; unknown link types are finish-to-start; links to other groups
-    do not count; tasks on or behind a loop have no row; groups above ``cap`` tasks have none.
+    do not count; tasks on or behind a loop have no row. Groups above ``cap`` tasks are never
+    put into one task, see ``giant_times``.
     """
-    keep = tasks.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= cap).select("key")
-    left = tasks.join(keep, "key").select("key", "task_id", F.coalesce("hours", F.lit(0.0)).alias("hours"))
-    right = links.join(keep, "key").select("key", "pred_id", "succ_id", "pred_type", F.coalesce("lag_hr_cnt", F.lit(0.0)).alias("lag"))
+    sizes = cut(tasks.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")))
+
+    def part(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return (
+            tasks.join(keys, "key").select("key", "task_id", F.coalesce("hours", F.lit(0.0)).alias("hours")),
+            links.join(keys, "key").select("key", "pred_id", "succ_id", "pred_type", F.coalesce("lag_hr_cnt", F.lit(0.0)).alias("lag")),
+        )
+
+    left, right = part(sizes.where(F.col("n") <= cap).select("key"))
 
     def run(key: tuple, t: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         times = network_times(
@@ -81,7 +131,9 @@ def schedule(tasks: DataFrame, links: DataFrame, cap: int = ACTIVITY_CAP) -> Dat
         )
         return pd.DataFrame([(key[0], i, *x) for i, x in times.items()], columns=[c.split()[0] for c in _OUT.split(", ")])
 
-    return left.groupBy("key").cogroup(right.groupBy("key")).applyInPandas(run, _OUT)
+    small = left.groupBy("key").cogroup(right.groupBy("key")).applyInPandas(run, _OUT)
+    big = sizes.where(F.col("n") > cap).select("key")
+    return small.unionByName(giant_times(*part(big))) if big.limit(1).count() else small
 
 
 def critical_chains(times: dict[int, tuple], links: list[tuple[int, int, str, float]], limit: int = 10) -> list[list[int]]:

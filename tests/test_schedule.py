@@ -79,6 +79,20 @@ def test_cpm_invariants():
     assert cpm.critical_chains(chain, [(1, 2, "PR_FS", 0.0), (1, 3, "PR_FS", 0.0)])[0] == [1, 2]
 
 
+def test_cpm_of_giant_groups_is_the_same(spark):
+    rnd = random.Random(8)
+    tasks = [(k, 100 * g + i, rnd.choice([None, *map(float, range(30))])) for g, k in enumerate("abc") for i in range(30 - 12 * g)]
+    ids = {k: [t for g, t, _ in tasks if g == k] for k in "abc"}
+    links = [(k, rnd.choice(ids[k][:i]), ids[k][i], rnd.choice(["PR_FS", "PR_SS", "PR_FF", "PR_SF", None]), rnd.choice([None, -4.0, 0.0, 7.5])) for k in "abc" for i in range(1, len(ids[k])) for _ in range(2)]
+    links += [("a", 25, 24, "PR_FS", 0.0), ("a", 24, 25, "PR_FS", 0.0), ("a", 3, 3, "PR_FS", 1.0), ("b", 1, 101, "PR_FS", 9.0)]
+    t = spark.createDataFrame(tasks, "key string, task_id bigint, hours double")
+    e = spark.createDataFrame(links, "key string, pred_id bigint, succ_id bigint, pred_type string, lag_hr_cnt double")
+    rows = lambda cap: sorted(map(tuple, cpm.schedule(t, e, cap).collect()))
+    want = rows(1000)
+    assert {r[0] for r in want} == set("abc") and 24 not in {r[1] for r in want}
+    assert rows(10) == want and rows(1) == want
+
+
 TASK = "proj_id string, task_id bigint, task_type string, status_code string, early_start_date string, early_end_date string, driving_path_flag string"
 LINK = "succ_id bigint, pred_id bigint, pred_type string, lag_hr_cnt double"
 
