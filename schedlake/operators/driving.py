@@ -89,22 +89,37 @@ def _dfs(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def fixpoint_members(starts: DataFrame, driving: DataFrame) -> DataFrame:
-    """All tasks reached from ``starts(task_id)`` over driving links, in rounds of new nodes only."""
-    seen = cut(starts.select("task_id").distinct())
+    """All tasks reached from ``starts(key, task_id)`` over their group's ``driving(key, succ_id, pred_id)``, in rounds of new nodes only."""
+    seen = cut(starts.select("key", "task_id").distinct())
     front = seen
     while True:
-        new = driving.join(front, F.col("succ_id") == F.col("task_id")).select(F.col("pred_id").alias("task_id")).distinct()
-        new = cut(new.join(seen, "task_id", "left_anti"))
+        new = driving.join(front.withColumnRenamed("task_id", "succ_id"), ["key", "succ_id"]).select("key", F.col("pred_id").alias("task_id")).distinct()
+        new = cut(new.join(seen, ["key", "task_id"], "left_anti"))
         if not new.limit(1).count():
             return seen
         seen, front = cut(seen.unionByName(new)), new
 
 
+def loop_links(driving: DataFrame) -> DataFrame:
+    """The links on loops and between them: tasks without remaining predecessors or successors are peeled off in rounds."""
+    left = cut(driving)
+    n = left.count()
+    while n:
+        preds, succs = left.select("key", F.col("pred_id").alias("succ_id")).distinct(), left.select("key", F.col("succ_id").alias("pred_id")).distinct()
+        left = cut(left.join(succs, ["key", "pred_id"], "left_semi").join(preds, ["key", "succ_id"], "left_semi"))
+        n, before = left.count(), n
+        if n == before:
+            break
+    return left
+
+
 def walk(tasks: DataFrame, links: DataFrame, key: str, local_limit: int = LOCAL_LIMIT) -> DataFrame:
     """``(key, task_id, back_links)``: members of each group's driving path.
 
     ``back_links`` counts the links out of a task that close a loop in a depth-first walk with
-    seeds and predecessors in id order; null in groups walked by fixpoint.
+    seeds and predecessors in id order. In groups walked by fixpoint it counts a task's links
+    among ``loop_links`` whose predecessor has no greater id: every loop has one, no other path
+    has, but its task, and where loops meet the number, may differ from the depth-first walk.
     """
     own = tasks.select(F.col("task_id").alias("o_id"), F.col(key).alias("key"))
     driving = driving_links(tasks, links)
@@ -121,8 +136,11 @@ def walk(tasks: DataFrame, links: DataFrame, key: str, local_limit: int = LOCAL_
     if not has_big:
         return small
     giant = cut(rows.join(big, F.col("key") == F.col("big_key"), "left_semi"))
-    found = fixpoint_members(giant.where("pred_id IS NULL").select(F.col("succ_id").alias("task_id")), giant.where("pred_id IS NOT NULL"))
-    wide = found.join(own, F.col("task_id") == F.col("o_id")).select(F.col("key").alias(key), "task_id", F.lit(None).cast("bigint").alias("back_links"))
+    inner = giant.where("pred_id IS NOT NULL").select("key", "succ_id", "pred_id")
+    found = fixpoint_members(giant.where("pred_id IS NULL").select("key", F.col("succ_id").alias("task_id")), inner)
+    walked = inner.join(found.withColumnRenamed("task_id", "succ_id"), ["key", "succ_id"], "left_semi")
+    back = loop_links(walked).where("pred_id <= succ_id").groupBy("key", F.col("succ_id").alias("task_id")).agg(F.count("*").alias("back_links"))
+    wide = found.join(back, ["key", "task_id"], "left").select(F.col("key").alias(key), "task_id", F.coalesce("back_links", F.lit(0)).alias("back_links"))
     return small.unionByName(wide)
 
 

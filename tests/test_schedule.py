@@ -121,6 +121,24 @@ def test_driving_path(spark):
     assert summary["p"]["n_members"] == 4 and summary["p"]["share_pct"] == 100.0 and summary["s"]["cycle_count"] == 1 and summary["p"]["n_agreed"] == 2
 
 
+def test_giant_driving_paths_are_the_same(spark):
+    tasks, links = network(spark)
+    d = "2025-01-03 08:00"
+    more = [("u", i, "TT_Task", "TK_NotStart", "2025-01-01 08:00", "2025-01-02 17:00" if i < 13 else d, "N") for i in range(10, 14)]
+    # u: 13 is driven by 12, which drives itself by way of 11; 10 drives 11 with it. Task 4 of p is driven by u's 11 too, which is where p's path ends.
+    extra = [(13, 12, "PR_SS", 0.0), (12, 11, "PR_SS", 0.0), (11, 12, "PR_SS", 0.0), (11, 10, "PR_SS", 0.0), (1, 11, "PR_FS", 0.0)]
+    tasks, links = tasks.unionByName(spark.createDataFrame(more, TASK)), links.unionByName(spark.createDataFrame(extra, LINK))
+    rows = lambda limit: sorted(map(tuple, driving.walk(tasks, links, "proj_id", local_limit=limit).collect()))
+    want = rows(1000)
+    assert {("p", 11), ("u", 10), ("u", 11), ("u", 12)} <= {r[:2] for r in want} and ("p", 12) not in {r[:2] for r in want} and sum(r[2] for r in want) == 2
+    loops = lambda got: {k: sum(r[2] for r in got if r[0] == k) for k in "psu"}
+    for limit in (0, 3):
+        got = rows(limit)
+        assert [r[:2] for r in got] == [r[:2] for r in want] and loops(got) == loops(want)
+    state = lambda limit: {r["proj_id"]: r["state"] for r in driving.path_summary(tasks, driving.walk(tasks, links, "proj_id", local_limit=limit), "proj_id").collect()}
+    assert state(0) == state(1000) and state(0)["s"] == state(0)["u"] == "error" and state(0)["p"] == "ok"
+
+
 def test_float_mix_sums_to_a_hundred(spark):
     rows = [("a", -1.0), ("a", 1.0), ("a", 400.0), ("b", None), ("c", 0.0), ("c", None), ("c", 352.0), ("c", 352.5)]
     got = {r["k"]: (r["neg_pct"], r["ok_pct"], r["high_pct"]) for r in stats.float_mix(spark.createDataFrame(rows, "k string, h double"), ["k"], "h", 352.0).collect()}
