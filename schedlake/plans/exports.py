@@ -13,9 +13,14 @@ from schedlake.sources.tables import table
 
 
 def s1_decode_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Byte facts of the task names of each file that a single-byte file can hold."""
-    names = table(spark, folder, "task").where("task_name IS NOT NULL AND file_id IS NOT NULL")
-    latin = byte_text(F.col("task_name"))
+    """Byte facts of the task and WBS names of each file that a single-byte file can hold."""
+    names = table(spark, folder, "task").select("file_id", F.lit("task").alias("kind"), F.col("task_id").alias("id"), F.col("task_name").alias("name"))
+    # A WBS node stands in the files of its project; repeated rows of a project name a file once.
+    files = table(spark, folder, "project").select("proj_id", "file_id").distinct()
+    wbs = table(spark, folder, "projwbs").join(files, "proj_id").select("file_id", F.lit("projwbs").alias("kind"), F.col("wbs_id").alias("id"), F.col("wbs_name").alias("name"))
+    # A record loaded again under the same name stands in its file once.
+    names = names.unionByName(wbs).where("name IS NOT NULL AND file_id IS NOT NULL").distinct()
+    latin = byte_text(F.col("name"))
     facts = decode_report(latin)
     kept = names.where(~latin.rlike(r"[^\u0000-ÿ]"))
     return kept.groupBy("file_id").agg(*[F.sum(c).alias(n) for n, c in facts.items()])

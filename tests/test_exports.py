@@ -80,3 +80,13 @@ def test_streams(spark, tmp_path):
     query = jobs.windowed_counts(events).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [tuple(r) for r in spark.sql("SELECT n, value FROM counts").collect()] == [(2, 5.0)]
+
+
+def test_byte_facts_count_task_and_wbs_names(spark, tmp_path):
+    from schedlake.plans.exports import s1_decode_report
+
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save([(1, 5, "caf\u00e9"), (1, 5, "caf\u00e9"), (1, 6, None)], "file_id bigint, task_id bigint, task_name string", "task")
+    save([("p", 1), ("p", 1), ("q", 2), ("r", None)], "proj_id string, file_id bigint", "project")
+    save([(5, "p", "\u00e9\u00e9"), (8, "q", "\u00e9"), (9, "r", "\u00e9"), (10, None, "\u00e9")], "wbs_id bigint, proj_id string, wbs_name string", "projwbs")
+    assert {r["file_id"]: r["high_byte_count"] for r in s1_decode_report(spark, str(tmp_path)).collect()} == {1: 3, 2: 1}
