@@ -1,11 +1,12 @@
 """Texts decoded with the wrong character encoding: found, and restored where possible.
 
-Adjacent character pairs are scored by their corpus mutual information. The maximum-scoring
-segments of improbable pairs are the suspect runs, and inverse mappings (encode with the
-charset that was wrongly used, decode with the one that was meant) are tried only there. A
-mapping is accepted when the restored text's pairs are far more probable in the corpus. UTF-8
-sequences that no writing forms are cases whatever the corpus holds, and the pairs are counted
-without them, so repeated garbling does not become natural.
+Adjacent character pairs are scored by their corpus mutual information, counted over distinct
+texts. The maximum-scoring segments of improbable pairs are the suspect runs, and inverse
+mappings (encode with the charset that was wrongly used, decode with the one that was meant) are
+tried only there; what lies outside is neither tested nor touched. A mapping is accepted when
+the restored text's pairs are far more probable in the corpus, or when the run's own signs prove
+it to be UTF-8 bytes. A suspect run that holds replacement characters or an unfinished UTF-8
+sequence has no inverse: its text is a case that cannot be restored.
 
 The pair table is bounded by construction: characters no supported charset holds share one
 symbol, so it has at most ``len(ALPHABET) ** 2`` entries and is safe to collect and ship.
@@ -30,21 +31,22 @@ from schedlake.session import spread
 TRUE_CHARSETS = ("cp1250", "cp1251", "cp1252", "cp437", "cp850", "cp852", "cp866", "koi8_r", "mac_roman")
 READ_CHARSETS = ("cp1252", "cp1250", "cp1251", "latin_1", "cp437", "cp850", "cp852", "cp866", "koi8_r", "mac_roman")
 
-_HELD = sorted({bytes([b]).decode(c, "ignore") for c in (*TRUE_CHARSETS, *READ_CHARSETS) for b in range(128, 256)} - {""})
-#: Symbols of the pair table: 0 the edge of a text, 1 any other character, then ASCII and the charsets' characters.
-ALPHABET = ["", "�", *map(chr, range(128)), *(c for c in _HELD if c != "�")]
+_HELD = sorted({bytes([b]).decode(c, "ignore") for c in (*TRUE_CHARSETS, *READ_CHARSETS) for b in range(128, 256)} - {"", "\ufffd"})
+#: Symbols of the pair table: the edge of a text, any other character, the replacement character, then ASCII and the charsets' characters.
+ALPHABET = ["edge", "other", "\ufffd", *map(chr, range(128)), *_HELD]
+_EDGE, _OTHER, _GONE = 0, 1, 2
 _N = len(ALPHABET)
-_CODE = np.ones(0x110000, dtype=np.int32)
-for _i, _c in enumerate(ALPHABET[2:], 2):
+_CODE = np.full(0x110000, _OTHER, dtype=np.int32)
+for _i, _c in enumerate(ALPHABET[_GONE:], _GONE):
     _CODE[ord(_c)] = _i
 
-#: Pairs rarer than about this share of all pairs count as hardly associated. Garbled pairs
-#: attract each other strongly, so mutual information is discounted by this much support.
-RARE = 1e-3
-#: Bits of discounted mutual information from which a pair is natural.
-NATURAL_BITS = 8.0
+#: A symbol counts as standing in at least this share of all pairs. Garbled symbols are rare and attract
+#: each other; with the floor under their frequency a pair of them is associated only if it is common itself.
+FLOOR = 5e-3
+#: Bits of mutual information below which a pair is improbable.
+NATURAL_BITS = -1.5
 #: Mean natural-log gain a pair that a single-byte mapping must bring, and the share of pairs that must win.
-GAIN, WINS = 2.0, 0.6
+GAIN, WINS = 1.5, 0.5
 
 
 def _codes(text: str) -> np.ndarray:
@@ -52,10 +54,11 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _own_codes(text: str) -> np.ndarray:
-    """Codes of a text with -1 for runs that are likely UTF-8 bytes, which say nothing about its language.
+    """Codes of a text with -1 for what says nothing about its language.
 
-    These are runs garbled by their own evidence, and plausible ones in texts that hold no other
-    non-ASCII run: beside one, the text was rather read as it was meant.
+    These are replacement characters, runs that their own signs prove to be UTF-8 bytes, and
+    plausible ones in texts that hold no other non-ASCII run: beside one, the text was rather
+    read as it was meant.
     """
     codes = _codes(text)
     if text.isascii():
@@ -65,60 +68,62 @@ def _own_codes(text: str) -> np.ndarray:
     for s, e, own, _ in runs:
         if own or alone:
             codes[s:e] = -1
+    codes[codes == _GONE] = -1
     return codes
 
 
 def _count_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(_N * _N, dtype=np.int64)
+    total = np.zeros(_N * _N)
+    edge = np.zeros(1, dtype=np.int32)
     for frame in frames:
-        body = [_own_codes(t) for t in frame["text"] if t]
+        body = [_own_codes(t) for t in frame["text"]]
         if not body:
             continue
-        edge = np.zeros(1, dtype=np.int32)
         line = np.concatenate([edge, *(x for c in body for x in (c, edge))]).astype(np.int64)
+        text = np.repeat(np.arange(len(body)), [len(c) + 1 for c in body])
         a, b = line[:-1], line[1:]
         seen = (a >= 0) & (b >= 0)
-        total += np.bincount(a[seen] * _N + b[seen], minlength=_N * _N)
+        # A text counts once for each pair it holds.
+        once = np.unique(text[seen] * (_N * _N) + a[seen] * _N + b[seen])
+        total += np.bincount(once % (_N * _N), weights=frame["weight"].to_numpy()[once // (_N * _N)], minlength=_N * _N)
     at = np.flatnonzero(total)
     yield pd.DataFrame({"pair": at, "n": total[at]})
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
-    """``(pair, n)``: how often each pair of symbols stands side by side in ``texts(text)``.
+    """``(pair, n)``: the weight of the ``texts(text)`` that hold each pair of neighbouring symbols.
 
-    Counted per task and added up, over all rows; texts' edges are a symbol of their own.
-    Pairs that touch a run of UTF-8 bytes are left out, see ``_own_codes``.
+    A text of c copies weighs log2(1 + c): names in use again and again are better evidence
+    than single ones, yet one garbled name that fills a third of the rows does not become
+    natural by it. Summed per task and added up, over all texts; texts' edges are a symbol of
+    their own. Pairs that touch a run of UTF-8 bytes are left out, see ``_own_codes``.
     """
-    some = texts.where("text IS NOT NULL AND text <> ''").select("text")
-    return some.mapInPandas(_count_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    some = texts.where("text IS NOT NULL AND text <> ''").groupBy("text").agg(F.log2(F.count("*") + F.lit(1)).alias("weight"))
+    return some.mapInPandas(_count_pairs, "pair bigint, n double").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 class PairModel:
-    """Pair probabilities and discounted mutual information of a corpus."""
+    """Pair probabilities and mutual information of a corpus."""
 
     def __init__(self, pairs: np.ndarray, counts: np.ndarray) -> None:
         n = np.zeros(_N * _N, dtype=np.float64)
         n[pairs] = counts
         self.n = n.reshape(_N, _N)
         total = max(self.n.sum(), 1.0)
-        p = self.n / total
-        row, col = p.sum(1, keepdims=True), p.sum(0, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            pmi = np.where(p > 0, np.log2(p / (row * col)), 0.0)
-        self.info = pmi * p / (p + RARE)
+        row, col = self.n.sum(1, keepdims=True) + FLOOR * total, self.n.sum(0, keepdims=True) + FLOOR * total
+        # A text is no evidence for its own pairs: one text is taken off each count.
+        self.info = np.log2(np.maximum(self.n - 1, 0.01) * total / (row * col))
         # Additive smoothing: an unseen pair is as likely as half an occurrence.
         self.log_p = np.log((self.n + 0.5) / (self.n.sum(1, keepdims=True) + 0.5 * _N))
 
     def suspect(self, codes: np.ndarray) -> list[tuple[int, int]]:
         """Character spans of the maximum-scoring segments of improbable pairs."""
-        line = np.concatenate([[0], codes, [0]])
-        a, b = line[:-1], line[1:]
-        plain = (a < 130) & (a != 1) & (b < 130) & (b != 1)
-        score = np.where(plain, -NATURAL_BITS, NATURAL_BITS - self.info[a, b])
+        line = np.concatenate([[_EDGE], codes, [_EDGE]])
+        score = NATURAL_BITS - self.info[line[:-1], line[1:]]
         return [(max(s - 1, 0), min(e, len(codes))) for s, e in maximal_segments(score.tolist())]
 
     def logp(self, text: str) -> float:
-        line = np.concatenate([[0], _codes(text), [0]])
+        line = np.concatenate([[_EDGE], _codes(text), [_EDGE]])
         return float(self.log_p[line[:-1], line[1:]].sum())
 
 
@@ -164,9 +169,6 @@ _UTF8_RUN = re.compile(
     rb"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}"
 )
 _HIGH = re.compile(r"[^\x00-\x7f]+")
-#: A lone lead byte read as a letter before something a following byte was lost to.
-_LOST = re.compile("�|[ÃÂ](?=[?\xa0])|â€(?![\\w\x80-￿])")
-
 
 @lru_cache(maxsize=100_000)
 def _from_utf8(run: str) -> tuple[frozenset[str], frozenset[str]]:
@@ -183,7 +185,7 @@ def _from_utf8(run: str) -> tuple[frozenset[str], frozenset[str]]:
             out, at = [], 0
             for m in _UTF8_RUN.finditer(data):
                 # Letters of one script that would be a character of no supported charset are a word.
-                if _CODE[ord(m[0].decode("utf-8"))] == 1 and len({_script(c) for c in run[m.start() : m.end()]} | {""}) == 2 and run[m.start() : m.end()].isalpha():
+                if _CODE[ord(m[0].decode("utf-8"))] == _OTHER and len({_script(c) for c in run[m.start() : m.end()]} | {""}) == 2 and run[m.start() : m.end()].isalpha():
                     continue
                 out += [run[at : m.start()], m[0].decode("utf-8")]
                 at = m.end()
@@ -234,9 +236,9 @@ def _readings(run: str, before: str, after: str) -> tuple[frozenset[str], frozen
         # Control characters are no text, but bytes where wrong readings are stacked.
         controls = any(unicodedata.category(c) == "Cc" for c in new)
         stacked = len(parts) > 2 or not controls or bool(_from_utf8(new)[0])
-        held = stacked and all(_CODE[ord(c)] > 1 for c in new)
+        held = stacked and all(_CODE[ord(c)] > _GONE for c in new)
         # Further scripts take three bytes or more, whose signs no single-byte writing puts side by side.
-        wide = odd and all(len(x) > 2 or _CODE[ord(c)] > 1 for x, c in zip(signs, new, strict=True)) and all(unicodedata.category(c)[0] not in "C" for c in new)
+        wide = odd and all(len(x) > 2 or _CODE[ord(c)] > _GONE for x, c in zip(signs, new, strict=True)) and all(unicodedata.category(c)[0] not in "C" for c in new)
         if (held or wide) and (len(parts) > 2 or len(scripts - {""}) <= 1):
             (own if odd or len(parts) > 2 else plausible).add(new)
     return frozenset(own), frozenset(plausible)
@@ -253,6 +255,32 @@ def _utf8_readings(text: str, s: int, e: int) -> tuple[frozenset[str], frozenset
     return _readings(text[s:e], text[max(s - 1, 0) : s], text[e : e + 1])
 
 
+def _is_lost(text: str, s: int, e: int) -> bool:
+    """Whether a run shows that bytes are gone: replacement characters, or a UTF-8 sequence that a ? breaks off.
+
+    A letter before a question mark is also what a sentence ends with; it counts only if the
+    word goes on after the ? or the run itself is against all writing.
+    """
+    run = text[s:e]
+    if "\ufffd" in run:
+        return True
+    if text[e : e + 1] != "?" or not any(_unfinished(run[-k:], c) for c in READ_CHARSETS for k in (1, 2, 3)):
+        return False
+    return text[e + 1 : e + 2].isalpha() or _odd(run, text[max(s - 1, 0) : s], "")
+
+
+def _unfinished(run: str, charset: str) -> bool:
+    """Whether the run's bytes are the beginning of a UTF-8 sequence."""
+    data = _encode(run, charset)
+    if data is None or len(data) != len(run):
+        return False
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError as x:
+        return x.reason == "unexpected end of data"
+    return False
+
+
 @lru_cache(maxsize=100_000)
 def _variants(run: str) -> dict[tuple[str, str], str]:
     """What a run becomes under each (read, true) pair of single-byte charsets that holds it."""
@@ -289,12 +317,10 @@ class Restorer:
 
     def restore(self, text: str) -> tuple[bool, str | None]:
         now, garbled = text, False
-        for _ in range(4):  # wrong readings may be stacked
-            better = self._once(now)
-            if better is None:
-                break
+        # Wrong readings may be stacked. Each step shortens the text or makes it likelier, so this ends.
+        while (better := self._once(now)) is not None:
             now, garbled = better, True
-        if _LOST.search(now):
+        if any(_is_lost(now, s, e) for s, e in self._runs(now)):
             return True, None
         return garbled, now if garbled else None
 
@@ -349,7 +375,7 @@ class Restorer:
         return self.bounds[key]
 
     def _around(self, before: str, run: str, after: str) -> np.ndarray:
-        line = np.concatenate([_codes(before) if before else [0], _codes(run), _codes(after) if after else [0]])
+        line = np.concatenate([_codes(before) if before else [_EDGE], _codes(run), _codes(after) if after else [_EDGE]])
         return self.model.log_p[line[:-1], line[1:]]
 
     def _single_byte(self, text: str, spans: list[tuple[int, int]]) -> str | None:
@@ -357,7 +383,7 @@ class Restorer:
         runs = [text[s:e] for s, e in spans]
         if max(self._bound(text[max(s - 1, 0) : s], r, text[e : e + 1]) for (s, e), r in zip(spans, runs, strict=True)) <= GAIN:
             return None
-        line = np.concatenate([[0], _codes(text), [0]])
+        line = np.concatenate([[_EDGE], _codes(text), [_EDGE]])
         old = self.model.log_p[line[:-1], line[1:]]
         best, gain = None, GAIN
         options = [_variants(r) for r in runs]
@@ -369,7 +395,7 @@ class Restorer:
             if not touched.any():
                 continue
             fixed = "".join(chars)
-            at = np.concatenate([[0], _codes(fixed), [0]])
+            at = np.concatenate([[_EDGE], _codes(fixed), [_EDGE]])
             diff = (self.model.log_p[at[:-1], at[1:]] - old)[touched]
             mean = float(diff.mean())
             if (mean, fixed) > (gain, best or "") and mean > GAIN and (diff > 0).mean() >= WINS:

@@ -1,14 +1,16 @@
 """Texts packed into containers of fixed capacity by sum-of-squares online packing.
 
 The packer keeps ``N[h]``, the number of open containers filled to level h, and places each
-item where the sum of ``N[h] ** 2`` grows least. Blocks of items are packed apart, each with
-its own level array: a block holds a bounded number of tokens, and wastes at most what one
-level array leaves open, so the waste per container falls with the block size.
+item, as it arrives, where the sum of ``N[h] ** 2`` grows least. Blocks of items are packed
+apart, each with its own level array, so no task holds more than a block. What a block leaves
+in badly filled open containers arrives once more: these rests of all blocks are packed by the
+same rule in ever fewer blocks, so the waste does not grow with the number of blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,11 +22,15 @@ from schedlake.session import spread, store
 
 CAPACITY = 2048
 #: Containers that one block aims at.
-BLOCK_CONTAINERS = 4096
+BLOCK_CONTAINERS = 512
+#: Fill below which a container still open at the end of a block is emptied into the next pass.
+WELL_FILLED = 0.995
+
+_PLACED = "container string, doc_id bigint, part_no int, n_tokens int, offset int, open boolean"
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container number of each item, items taken largest first.
+    """Container number of each item, items taken in the order given.
 
     Placing size s on level h changes the sum of squares by 2 (N[h+s] - N[h]) + 2; opening a
     container or closing one touches one level only. Ties go to the fullest resulting container.
@@ -33,8 +39,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     into = np.full(len(sizes), -1, dtype=np.int64)
     made = 0
-    for i in np.argsort(-sizes, kind="stable"):
-        s = int(sizes[i])
+    for i, s in enumerate(sizes.tolist()):
         if s == capacity:
             into[i], made = made, made + 1
             continue
@@ -75,28 +80,47 @@ def token_items(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str =
     return spread(some).mapInPandas(run, "doc_id bigint, part_no int, n_tokens int")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, block_containers: int = BLOCK_CONTAINERS) -> DataFrame:
-    """``(container, doc_id, part_no, n_tokens, offset)`` for ``items(doc_id, part_no, n_tokens)``.
-
-    Every item lies whole in one container; ``container`` is ``block:number``. Items are
-    spread over blocks by a hash of (doc_id, part_no), so a hot document spreads too.
-    """
-    total = items.agg(F.sum("n_tokens")).first()[0] or 0
-    blocks = max(1, -(-total // (capacity * block_containers)))
+def _packed(items: DataFrame, blocks: int, capacity: int, name: str, largest_first: bool) -> DataFrame:
+    """Every item placed; ``open`` marks those whose container is not well filled at the end of its block."""
+    order = ["n_tokens", "doc_id", "part_no"] if largest_first else ["doc_id", "part_no", "n_tokens"]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n_tokens", "doc_id", "part_no"], ascending=[False, True, True], ignore_index=True)
-        box = sum_of_squares(frame["n_tokens"].to_numpy(), capacity)
-        name = frame["block"].astype(str) + ":" + pd.Series(box).astype(str)
-        offset = frame["n_tokens"].groupby(box).cumsum() - frame["n_tokens"]
-        return pd.DataFrame({"container": name, "doc_id": frame["doc_id"], "part_no": frame["part_no"], "n_tokens": frame["n_tokens"], "offset": offset})
+        frame = frame.sort_values(order, ascending=[not largest_first, True, True], ignore_index=True)
+        size = frame["n_tokens"]
+        box = sum_of_squares(size.to_numpy(), capacity)
+        fill = np.bincount(box, weights=size, minlength=1)
+        number = name + frame["block"].astype(str) + ":" + pd.Series(box).astype(str)
+        return pd.DataFrame({
+            "container": number, "doc_id": frame["doc_id"], "part_no": frame["part_no"], "n_tokens": size,
+            "offset": size.groupby(box).cumsum() - size, "open": fill[box] < WELL_FILLED * capacity,
+        })
 
     block = F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(blocks)).cast("int")
-    return items.withColumn("block", block).groupBy("block").applyInPandas(
-        run, "container string, doc_id bigint, part_no int, n_tokens int, offset int"
-    )
+    return items.withColumn("block", block).groupBy("block").applyInPandas(run, _PLACED)
 
 
-def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = tokens.TOKENIZER) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, block_containers: int = BLOCK_CONTAINERS, largest_first: bool = False) -> DataFrame:
+    """``(container, doc_id, part_no, n_tokens, offset)`` for ``items(doc_id, part_no, n_tokens)``.
+
+    Every item lies whole in one container. Items arrive in the order of doc_id and part_no,
+    and are spread over blocks by a hash of both, so a hot document spreads too. Later passes
+    know all their items and take the largest first, as does the first with ``largest_first``;
+    the last pass is one block. An empty table gives an empty result; repeated rows are items each.
+    """
+    size = lambda df: df.agg(F.sum("n_tokens")).first()[0] or 0
+    done, passes, left = [], 0, size(items)
+    while True:
+        blocks = max(1, -(-left // (capacity * block_containers)))
+        placed = store(_packed(items, blocks, capacity, f"{passes}:", largest_first or passes > 0))
+        items, before = placed.where("open").select("doc_id", "part_no", "n_tokens"), left
+        left = size(items)
+        passes += 1
+        # One block leaves nothing to gain; nor do blocks that fill hardly any container.
+        if blocks == 1 or left > 0.9 * before:
+            return reduce(DataFrame.unionByName, [*done, placed]).drop("open")
+        done.append(placed.where("NOT open"))
+
+
+def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = tokens.TOKENIZER, largest_first: bool = False) -> DataFrame:
     """Tokenize once, then pack."""
-    return pack(store(token_items(documents, capacity, tokenizer)), capacity)
+    return pack(store(token_items(documents, capacity, tokenizer)), capacity, largest_first=largest_first)

@@ -101,8 +101,8 @@ def split_documents(
 
     Consecutive pieces share ``overlap`` tokens (more where that would split a character).
     Tokens are those of the whole text. Texts of at most ``limit`` tokens, null and empty ones
-    give no rows, nor do rows without a doc_id. A byte-level tokenizer makes at most one token a byte, so texts of at most
-    ``limit`` bytes never reach Python.
+    give no rows, nor do rows without a doc_id. Where a token is known to hold a byte or more, texts of at most ``limit``
+    bytes never reach Python.
     """
     if not 0 <= overlap <= limit - LEAST_STEP:
         raise ValueError(f"the overlap must be at least {LEAST_STEP} tokens shorter than the limit")
@@ -118,5 +118,6 @@ def split_documents(
                 out += [(doc, i, a, b - a, len(pieces), text[c:d]) for i, (a, b, c, d) in enumerate(pieces)]
             yield pd.DataFrame(out, columns=["doc_id", "piece_no", "first_token", "n_tokens", "n_pieces", "text"])
 
-    long = documents.where((F.octet_length("text") > limit) & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    least = limit if tokens.bytewise(tokenizer) else 0
+    long = documents.where((F.octet_length("text") > least) & F.col("doc_id").isNotNull()).select("doc_id", "text")
     return spread(long).mapInPandas(run, "doc_id bigint, piece_no int, first_token int, n_tokens int, n_pieces int, text string")

@@ -60,6 +60,11 @@ class FileTokenizer:
         return at
 
 
+def bytewise(path: str) -> bool:
+    """Whether every token of the tokenizer holds a byte or more of the text, so a text has at most as many tokens as bytes."""
+    return not path.endswith(".json")
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> RankTokenizer | FileTokenizer:
     """The tokenizer of a file: ``.tiktoken`` holds ranks, ``.json`` a whole tokenizer.

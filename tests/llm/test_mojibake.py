@@ -28,11 +28,16 @@ def cases():
                 yield text, bad
 
 
+def fitted(names):
+    copies = pd.Series(names).value_counts()
+    counted = next(mojibake._count_pairs(iter([pd.DataFrame({"text": copies.index, "weight": np.log2(1 + copies.to_numpy())})])))
+    return mojibake.PairModel(counted["pair"].to_numpy(), counted["n"].to_numpy())
+
+
 @pytest.fixture(scope="module")
 def model():
     names = [f"{t} {i}" for t in CLEAN for i in range(300)] + [bad for _, bad in cases()]
-    counted = next(mojibake._count_pairs(iter([pd.DataFrame({"text": names})])))
-    return mojibake.PairModel(counted["pair"].to_numpy(), counted["n"].to_numpy().astype(float))
+    return fitted(names)
 
 
 def test_garbled_texts_come_back(model):
@@ -68,11 +73,31 @@ def test_segments_match_brute_force():
 
 
 def test_counts_cover_all_rows(spark):
-    rows = spark.createDataFrame([("ab",), ("ab",), (None,), ("",), ("é" * 100_000,), ("𐍈",)], "text string")
+    rows = spark.createDataFrame([("ab",), ("ab",), (None,), ("",), ("é" * 100_000,), ("𐍈",), ("a\ufffdb",)], "text string")
     counts = {r["pair"]: r["n"] for r in mojibake.pair_counts(rows).collect()}
     a, b, e = (int(mojibake._CODE[ord(c)]) for c in "abé")
     n = len(mojibake.ALPHABET)
-    assert counts[a * n + b] == 2 and counts[e * n + e] == 99_999 and sum(counts.values()) == 3 + 3 + 100_001 + 2
+    # Two copies weigh log2(3); a text counts once for a pair; what stands beside a lost character is no pair.
+    assert counts[a * n + b] == pytest.approx(np.log2(3)) and counts[e * n + e] == 1
+    assert sum(counts.values()) == pytest.approx(3 * np.log2(3) + 3 + 2 + 2)
+
+
+def test_segments_isolate(model):
+    """Segments leave nearly all rightly read runs out, also in texts that are garbled elsewhere."""
+    fix = mojibake.Restorer(model)
+    clean = [(t, len(mojibake._HIGH.findall(t)), len(fix._runs(t))) for t in CLEAN]
+    assert sum(hit for _, _, hit in clean) <= 0.1 * sum(n for _, n, _ in clean), clean
+    mixed = garble("Prüfung", "utf-8", "cp1252") + " Schlüsselkasten Höhe"
+    assert [mixed[s:e] for s, e in fix._runs(mixed)] == ["Ã¼"]
+    assert all(fix._runs(bad) for _, bad in cases())
+
+
+def test_lost_bytes_are_suspect_runs_without_an_inverse(model):
+    fix = mojibake.Restorer(model)
+    for text in ("Zone \ufffd east", "B\ufffdtiment c\ufffdt\ufffd", "Ã?tanchéité", "RéÃ?ption", "\ufffd" * 9):
+        assert fix(text) == (True, None), text
+    for text in ("Qu’est-ce?", "façade?", "AMANHÃ?"):
+        assert fix(text) == (False, None), text
 
 
 def test_dataframe(spark):
@@ -97,6 +122,5 @@ def test_repeated_garbling_stays_garbled(spark):
 
 def test_writing_that_happens_to_be_utf8_stays():
     names = ["Paris–Évry", "AMANHÃ” ÁREA", "CAFÉ® bar", "ось Р–2", "сад", "“être”", "Проект РІ 5"]
-    counted = next(mojibake._count_pairs(iter([pd.DataFrame({"text": CLEAN + [f"{n} {i}" for n in names for i in range(300)]})])))
-    fix = mojibake.Restorer(mojibake.PairModel(counted["pair"].to_numpy(), counted["n"].to_numpy().astype(float)))
+    fix = mojibake.Restorer(fitted(CLEAN + [f"{n} {i}" for n in names for i in range(300)]))
     assert [n for n in names if fix(n)[0]] == []

@@ -70,10 +70,63 @@ def test_items_that_are_copies_all_leak(spark, items):
 
 
 def test_item_blocks_give_the_same(spark, items, monkeypatch):
-    df = spark.createDataFrame([(1, items[2][1]), (2, items[17][1])], "doc_id bigint, text string")
-    its = spark.createDataFrame(items, "item_id bigint, text string")
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 300)
-    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(df, its).collect()} == {(1, 2), (2, 17)}
+    phrase = " ".join(items[1][1].split()[3:12])
+    its = [*items, (50, items[2][1].replace("1", "2", 3)), (51, f"{phrase} {items[9][1].lower().replace('a', 'e')}")]
+    docs = [(1, items[2][1]), (2, items[17][1]), (3, f"{phrase} {phrase}"), (4, its[-1][1])]
+    df, its = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(its, "item_id bigint, text string")
+    rows = lambda: sorted(map(tuple, leakage.leaks(df, its).collect()))
+    want = rows()
+    assert {r[:2] for r in want} == {(1, 2), (1, 50), (2, 17), (4, 51)}
+    for words in (120, 300, 1000):
+        monkeypatch.setattr(leakage, "BLOCK_WORDS", words)
+        assert rows() == want
+
+
+def test_shared_passages_are_reported_for_every_holder(spark, items):
+    rnd = random.Random(21)
+    long = passage(rnd, 32)
+    its = [(201, f"{passage(rnd, 90)}. {long}. {passage(rnd, 60)}."), (202, f"{passage(rnd, 80)}. {long}. {STOCK}"), (203, f"{passage(rnd, 60)} {long} {passage(rnd, 90)}"), (204, f"{passage(rnd, 60)}. {STOCK}")]
+    docs = [(1, f"{passage(rnd, 50)} {long} {passage(rnd, 50)}"), (2, f"{passage(rnd, 50)} {STOCK} {STOCK} {STOCK}"), (3, " ".join(long.split()[:20]))]
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([*items, *its], "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 201), (1, 202), (1, 203)}
+
+
+def edited(rnd, words, n):
+    """The words with n edits, none at an end: changed, missing or added words."""
+    out = list(words)
+    for at in sorted(rnd.sample(range(1, len(words) - 1), n), reverse=True):
+        kind = rnd.randrange(3)
+        out[at : at + (kind < 2)] = [] if kind == 1 else ["other"] if kind == 0 else ["more", out[at]][:1]
+    return out
+
+
+def test_recall_of_edited_passages(items):
+    """Passages of 30 words and more with up to an edit in six words are found; similar wording is not."""
+    rnd = random.Random(33)
+    sentences = [(i, [s.split() for s in t.lower().replace(".", " .").split(" . ")]) for i, t in items]
+    own = leakage.own_words([(i, [[w.strip(".") for w in s if w != "."] for s in ss]) for i, ss in sentences])
+    scan = leakage.Scanner(own, leakage.seed_keys(own))
+    tried = found = wrong = 0
+    for _ in range(300):
+        k = rnd.randrange(len(own))
+        words = own[k][1]
+        n = rnd.randrange(36, 90)
+        at = rnd.randrange(len(words) - n)
+        text = " ".join([passage(rnd, 30), *edited(rnd, words[at : at + n], rnd.randrange(n // 6 + 1)), passage(rnd, 30)])
+        hits = {h[0] for h in scan(text)}
+        tried, found, wrong = tried + 1, found + (own[k][0][0] in hits), wrong + bool(hits - {own[k][0][0]})
+        # Every third word is another: wording that is merely similar.
+        assert not scan(" ".join(w if j % 3 else "other" for j, w in enumerate(words[at : at + n])))
+    assert found >= 0.98 * tried and not wrong, (found, tried, wrong)
+
+
+def test_scripts_without_spaces(spark):
+    rnd = random.Random(3)
+    text = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(200))
+    docs = [(1, f"見出し。{text[50:90]}。終わり"), (2, text[50:70]), (3, text[::-1])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = leakage.leaks(df, spark.createDataFrame([(1, text)], "item_id bigint, text string"))
+    assert [(r["doc_id"], r["item_id"], docs[0][1][r["first_char"] : r["end_char"]]) for r in found.collect()] == [(1, 1, text[50:90])]
 
 
 @settings(max_examples=60, deadline=None)
@@ -88,7 +141,7 @@ def test_alignment_score_matches_brute_force(a, b):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="aB1 '.-_<>/&;]()\néÉа\u00ad\u200b\u1d43", max_size=60))
+@given(st.text(alphabet="aB1 '.-_<>/&;]()\néÉа\u00ad\u200b\u1d43½日の", max_size=60))
 def test_words_and_spans_agree(text):
     read = leakage.WordReader()
     assert len(read.words(text)) == len(read.spans(text))
@@ -156,7 +209,7 @@ def test_packing_is_legal_and_no_worse_than_twice(sizes):
 
 def test_packing_level_choice_matches_definition():
     rnd = np.random.default_rng(1)
-    sizes = np.sort(rnd.integers(1, 20, 200))[::-1]
+    sizes = rnd.integers(1, 20, 200)
     box = packing.sum_of_squares(sizes, 20)
     level: dict[int, int] = {}
     for s, b in zip(sizes.tolist(), box.tolist(), strict=True):
@@ -194,5 +247,7 @@ def test_packed_documents(spark):
                 at += n
             assert at <= packing.CAPACITY
     full = sum(want.values()) / packing.CAPACITY
+    one = lambda **kw: len(packing.pack(items, **kw).select("container").distinct().collect())
+    assert one(largest_first=True) <= full + 2 and one(block_containers=6) <= full + 3
     assert len(packing.pack(items).select("container").distinct().collect()) <= full + 2
     assert packing.pack(items.limit(0)).count() == 0
