@@ -2,7 +2,9 @@
 
 A plain window over ``PARTITION BY file`` sends a whole file to one task. Here the group is
 cut into chunks of the order column; a chunk is windowed on its own, chunk summaries (one row
-a chunk) are windowed across the group, and both are joined on (group, chunk).
+a chunk) are windowed across the group, and both are joined on (group, chunk), which the
+chunk's window has partitioned already. Group keys must not be null; rows with a null order
+number form their own chunk, which comes first.
 """
 
 from __future__ import annotations
@@ -10,6 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Chunk of the rows without a number.
+_NO_NUMBER = -(2**62)
+
+
+def _chunked(df: DataFrame, number: str, chunk: int) -> DataFrame:
+    return df.withColumn("__chunk", F.coalesce(F.floor(F.col(number) / chunk), F.lit(_NO_NUMBER)))
+
 
 def carry_forward(
     df: DataFrame, keys: list[str], number: str, order: list[str], events: dict[str, Column], chunk: int = 4096
@@ -17,26 +26,17 @@ def carry_forward(
     """Add per event the last non-null value at or before each row of its group.
 
     ``number`` is the integer column that leads the order and cuts the chunks; ``order`` makes
-    it total. Rows with a null ``number`` form their own chunk, which comes first.
+    it total.
     """
-    cut = df.withColumns({"__chunk": F.floor(F.col(number) / chunk), **{f"__e_{k}": v for k, v in events.items()}})
-    near = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    group = [*keys, "__chunk"]
+    cut = _chunked(df, number, chunk).withColumns({f"__e_{k}": v for k, v in events.items()})
+    near = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumns({k: F.last(f"__e_{k}", ignorenulls=True).over(near) for k in events})
     at = F.struct(*order)
-    ends = cut.groupBy(*keys, "__chunk").agg(
-        *[F.max_by(f"__e_{k}", F.when(F.col(f"__e_{k}").isNotNull(), at)).alias(f"__p_{k}") for k in events]
-    )
-    far = Window.partitionBy(*keys).orderBy(F.col("__chunk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("__chunk").alias("__kc"),
-        *[F.last(f"__p_{k}", ignorenulls=True).over(far).alias(f"__c_{k}") for k in events],
-    )
-    on = F.col("__chunk").eqNullSafe(F.col("__kc"))
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = local.join(ends, on, "left")
-    return joined.select(
+    ends = cut.groupBy(*group).agg(*[F.max_by(f"__e_{k}", F.when(F.col(f"__e_{k}").isNotNull(), at)).alias(f"__p_{k}") for k in events])
+    far = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select(*group, *[F.last(f"__p_{k}", ignorenulls=True).over(far).alias(f"__c_{k}") for k in events])
+    return local.join(handed, group, "left").select(
         *[F.col(c) for c in df.columns], *[F.coalesce(F.col(k), F.col(f"__c_{k}")).alias(k) for k in events]
     )
 
@@ -45,21 +45,13 @@ def previous_row(
     df: DataFrame, keys: list[str], number: str, order: list[str], value: Column, name: str, chunk: int = 256
 ) -> DataFrame:
     """Add ``value`` of the row just before each row of its group, null for the first."""
-    cut = df.withColumns({"__chunk": F.floor(F.col(number) / chunk), "__v": value})
-    near = Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    group = [*keys, "__chunk"]
+    cut = _chunked(df, number, chunk).withColumn("__v", value)
+    near = Window.partitionBy(*group).orderBy(*order)
     local = cut.withColumns({"__lag": F.lag("__v").over(near), "__rn": F.row_number().over(near)})
-    at = F.struct(*order)
-    ends = cut.groupBy(*keys, "__chunk").agg(F.max_by("__v", at).alias("__last"))
-    far = Window.partitionBy(*keys).orderBy(F.col("__chunk").asc_nulls_first())
-    ends = ends.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("__chunk").alias("__kc"),
-        F.lag("__last").over(far).alias("__before"),
-    )
-    on = F.col("__chunk").eqNullSafe(F.col("__kc"))
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return local.join(ends, on, "left").select(
-        *[F.col(c) for c in df.columns],
-        F.when(F.col("__rn") == 1, F.col("__before")).otherwise(F.col("__lag")).alias(name),
+    ends = cut.groupBy(*group).agg(F.max_by("__v", F.struct(*order)).alias("__last"))
+    far = Window.partitionBy(*keys).orderBy("__chunk")
+    handed = ends.select(*group, F.lag("__last").over(far).alias("__before"))
+    return local.join(handed, group, "left").select(
+        *[F.col(c) for c in df.columns], F.when(F.col("__rn") == 1, F.col("__before")).otherwise(F.col("__lag")).alias(name)
     )

@@ -22,8 +22,21 @@ def p1_steps(spark: SparkSession, folder: str) -> DataFrame:
     return drift.migration_steps(drift.changes(table(spark, folder, "xer_table"), table(spark, folder, "revision")))
 
 
+def p1_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """The schema versions of each programme's tables: fingerprint, first export, size, and what the revisions call them."""
+    found = drift.versions(drift.paired_exports(table(spark, folder, "xer_table"), table(spark, folder, "revision")))
+    return found.select("programme_id", "table_name", "version_no", "file_id", "rev_no", "fingerprint", F.size("names").alias("n_fields"), "n_exports", "p6_versions")
+
+
+def p1_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of each programme's consistent tables: final name and type, first and last revision that hold them."""
+    xer = table(spark, folder, "xer_table")
+    paired = drift.paired_exports(xer, table(spark, folder, "revision"))
+    return drift.consistent_schema(drift.lineage(paired, drift.changes(xer, table(spark, folder, "revision"), paired)))
+
+
 def p1_consistent(spark: SparkSession, folder: str) -> DataFrame:
-    """All rows of all exports under their final field names."""
+    """All rows of all exports under their final field names and types."""
     return drift.consistent_rows(table(spark, folder, "xer_table"), table(spark, folder, "revision"))
 
 
@@ -130,7 +143,7 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_steps, p1_consistent, p2_found, p2_rows, p2_scans, p4_found, p4_cascade, p5_found, p5_paths, p5_descendants)
+    for f in (p1_found, p1_steps, p1_versions, p1_fields, p1_consistent, p2_found, p2_rows, p2_scans, p4_found, p4_cascade, p5_found, p5_paths, p5_descendants)
 }
 
 _STATE = """SELECT trim(CAST({key} AS VARCHAR)) AS k, min(loaded_at) AS f, max_by({gone}, loaded_at) AS g{more}
