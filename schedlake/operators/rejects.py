@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from schedlake.functions.dates import is_real_date, is_real_instant
 from schedlake.functions.numbers import blank_trim, is_number
-from schedlake.session import cut
-from schedlake.sources.lines import continuation_text, row_records
+from schedlake.session import store
+from schedlake.sources.lines import carried_lines, continuations, continued_rows, openers, tail_text
 
 #: The key field of each table whose key must be a number.
 KEY_FIELDS = {"TASK": "task_id", "PROJWBS": "wbs_id", "TASKPRED": "task_pred_id"}
@@ -35,67 +35,57 @@ def split_rejects(offsets: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
 # ---------------------------------------------------------------- export lines
 
 
-def _with_cells(lines: DataFrame) -> DataFrame:
-    """Row records with their field list (lower case) and, where they number alike, cells."""
-    rec = row_records(lines).withColumns(
-        {
-            "names": F.split(F.lower("fields"), "\t", -1),
-            "has_nul": F.contains("line", F.lit("\0")) | F.coalesce("extra_nul", F.lit(False)),
-            "n_cells": F.length("line") - F.length(F.translate("line", "\t", "")) + 1 + F.coalesce("extra_tabs", F.lit(0)),
-        }
-    )
-    return rec.withColumn("arity_ok", F.size("names") == F.col("n_cells"))
+def _field_facts() -> dict[str, Column]:
+    """What a field list's text says about its rows: number of fields, places of the fields that must hold numbers or dates, places of key fields."""
+    names = F.split(F.lower("text"), "\t", -1)
+    ends = lambda tail: F.filter(F.transform(names, lambda n, i: F.when(n.endswith(tail), i)), lambda i: i.isNotNull())
+    keys = [F.when(F.array_contains(names, k), F.array_position(names, k).cast("int") - 1).alias(k) for k in KEY_FIELDS.values()]
+    return {"n_fields": F.size(names), "counts_at": ends("_cnt"), "dates_at": ends("_date"), "keys_at": F.struct(*keys)}
 
 
-def _bad_key(table: Column, names: Column, cells: Column) -> Column:
+def _bad_key(cells: Column) -> Column:
     """A key field that is declared and is no number."""
     bad = F.lit(False)
     for name, field in KEY_FIELDS.items():
-        cell = F.get(cells, F.array_position(names, field).cast("int") - 1)
-        bad = bad | ((table == name) & F.array_contains(names, field) & ~is_number(F.coalesce(cell, F.lit(""))))
+        place = F.col(f"keys_at.{field}")
+        bad = bad | ((F.col("table_name") == name) & place.isNotNull() & ~is_number(F.coalesce(F.get(cells, place), F.lit(""))))
     return F.coalesce(bad, F.lit(False))
 
 
-def _bad_value(names: Column, cells: Column) -> Column:
+def _bad_value(cells: Column) -> Column:
     """Some non-blank _cnt cell is no number, or some non-blank _date cell no real date."""
+    full = lambda cell: blank_trim(cell) != ""
+    counts = F.exists("counts_at", lambda i: full(F.get(cells, i)) & ~is_number(F.get(cells, i)))
+    return counts | F.exists("dates_at", lambda i: full(F.get(cells, i)) & ~is_real_date(F.get(cells, i)))
 
-    def wrong(pair: Column) -> Column:
-        name, cell = pair["name"], pair["cell"]
-        return (blank_trim(cell) != "") & (
-            (name.endswith("_cnt") & ~is_number(cell)) | (name.endswith("_date") & ~is_real_date(cell))
-        )
 
-    pairs = F.arrays_zip(names.alias("name"), cells.alias("cell"))
-    return F.exists(pairs, wrong)
+_FACTS = ["n_fields", "counts_at", "dates_at", "keys_at"]
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """All row records with their offsets; cells only for rows of right arity without NUL.
+    """All row records with their offsets; ``cells`` only for rows of right arity without NUL.
 
-    Continuation text is fetched for those rows alone, so a broken row that swallows much of
-    a file is counted but never concatenated.
+    Lines are carried once and stored. Continuation text is fetched for rows that may be
+    loaded alone, so a broken row that swallows much of a file is counted but never
+    concatenated.
     """
-    rec = _with_cells(lines)
+    carried = store(carried_lines(lines, _field_facts()))
+    tails = continuations(carried)
+    rec = openers(carried, _FACTS).join(continued_rows(tails), F.col("line_id") == F.col("row_id"), "left")
+    tabs = F.length("line") - F.length(F.translate("line", "\t", "")) + F.coalesce("extra_tabs", F.lit(0))
+    rec = rec.withColumns({"has_nul": F.contains("line", F.lit("\0")) | F.coalesce("extra_nul", F.lit(False)), "arity_ok": F.col("n_fields") == tabs + 1})
     fit = F.col("fields").isNotNull() & ~F.col("has_nul") & F.coalesce("arity_ok", F.lit(False))
-    tails = continuation_text(lines)
     rec = rec.withColumn("row_id", F.when(fit & F.col("extra_lines").isNotNull(), F.col("line_id")))
     bare = rec.where("row_id IS NULL").withColumn("body", F.when(fit, F.col("line")))
-    joined = rec.where("row_id IS NOT NULL").join(tails, "row_id").withColumn("body", F.concat("line", "tail")).drop("tail")
-    keep = ["line_id", "file_id", "line_no", "table_name", "fields", "has_nul", "arity_ok", "body"]
+    joined = rec.where("row_id IS NOT NULL").join(tail_text(tails), "row_id").withColumn("body", F.concat("line", "tail"))
+    keep = ["line_id", "file_id", "line_no", "table_name", "fields", "has_nul", "arity_ok", F.split("body", "\t", -1).alias("cells"), "counts_at", "dates_at", "keys_at"]
     return bare.select(keep).unionByName(joined.select(keep))
 
 
-def _parsed(recs: DataFrame) -> DataFrame:
-    return recs.withColumns({"names": F.split(F.lower("fields"), "\t", -1), "cells": F.split("body", "\t", -1)})
-
-
 def strict_load(recs: DataFrame) -> DataFrame:
     """``(line_id, file_id, line_no, table_name, fields, cells)`` of the sound records."""
-    names, cells = F.col("names"), F.col("cells")
-    sound = ~_bad_key(F.col("table_name"), names, cells) & ~_bad_value(names, cells)
-    return _parsed(recs.where("body IS NOT NULL")).where(sound).select(
-        "line_id", "file_id", "line_no", "table_name", F.split("fields", "\t", -1).alias("fields"), "cells"
-    )
+    sound = ~_bad_key(F.col("cells")) & ~_bad_value(F.col("cells"))
+    return recs.where("cells IS NOT NULL").where(sound).select("line_id", "file_id", "line_no", "table_name", F.split("fields", "\t", -1).alias("fields"), "cells")
 
 
 def load_rows(lines: DataFrame) -> DataFrame:
@@ -103,21 +93,21 @@ def load_rows(lines: DataFrame) -> DataFrame:
     return strict_load(records(lines))
 
 
-def rejected_rows(lines: DataFrame) -> DataFrame:
+def rejected_rows(lines: DataFrame, recs: DataFrame | None = None) -> DataFrame:
     """``(line_id, reason)`` of the rows the strict load refused.
 
     First reason that holds: no_fields, nul, column_count, bad_key, bad_value. An undeclared
     key field is no reason. Empty input gives an empty result; columns other than line_id,
-    file_id, line_no, line are ignored. The records are materialised once, because the load,
-    the anti-join and the diagnosis all read them.
+    file_id, line_no, line are ignored. The records (``recs``, where the caller has them) are
+    stored once, because the load, the anti-join and the diagnosis all read them.
     """
-    offsets = cut(records(lines))
-    rest = _parsed(split_rejects(offsets, strict_load(offsets), "line_id"))
+    offsets = store(records(lines)) if recs is None else recs
+    rest = split_rejects(offsets, strict_load(offsets), "line_id")
     reason = (
         F.when(F.col("fields").isNull(), "no_fields")
         .when(F.col("has_nul"), "nul")
         .when(~F.col("arity_ok"), "column_count")
-        .when(_bad_key(F.col("table_name"), F.col("names"), F.col("cells")), "bad_key")
+        .when(_bad_key(F.col("cells")), "bad_key")
         .otherwise("bad_value")
     )
     return rest.select("line_id", reason.alias("reason"))
@@ -128,7 +118,8 @@ def rejected_rows(lines: DataFrame) -> DataFrame:
 # Possessive quantifiers keep the match iterative, so quote-heavy texts cannot exhaust the stack.
 _COLUMN = r'(?:"[^"]*+(?:""[^"]*+)*+"|(?!")[^,]*+)'
 _LINE = rf"\A{_COLUMN}(?:,{_COLUMN})*+\z"
-_EACH = rf"(?:\A|,)({_COLUMN})(?=,|\z)"
+#: A column with the comma before it; a line is read with one more comma in front, else an empty first column is no match of its own.
+_EACH = rf",({_COLUMN})(?=,|\z)"
 
 
 def parse_scans(log: DataFrame) -> DataFrame:
@@ -139,13 +130,16 @@ def parse_scans(log: DataFrame) -> DataFrame:
     """
     raw = F.regexp_replace(F.coalesce(F.col("raw"), F.lit("")), r"\r\z", "")
     lines = log.select("log_id", "logged_at", raw.alias("raw")).where(F.col("raw") != ",".join(SCAN_COLUMNS))
-    parts = F.regexp_extract_all("raw", F.lit(_EACH), F.lit(1))
+    parts = F.regexp_extract_all(F.concat(F.lit(","), F.col("raw")), F.lit(_EACH), F.lit(1))
     plain = F.transform(
         parts,
         lambda p: F.when(p.startswith('"'), F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(p),
     )
-    ok = F.col("raw").rlike(_LINE)
-    return lines.select("log_id", "logged_at", ok.alias("quotes_ok"), F.when(ok, plain).alias("columns"))
+    # A line without a quote is split at its commas; only others take the patterns.
+    quoted = F.contains("raw", F.lit('"'))
+    ok = F.when(quoted, F.col("raw").rlike(_LINE)).otherwise(F.lit(True))
+    columns = F.when(~quoted, F.split("raw", ",", -1)).when(F.col("quotes_ok"), plain)
+    return lines.withColumn("quotes_ok", ok).select("log_id", "logged_at", "quotes_ok", columns.alias("columns"))
 
 
 def _over(count: Column, limit: Column) -> Column:
@@ -174,17 +168,22 @@ def _scan_reason(columns: Column, quotes_ok: Column) -> Column:
     )
 
 
+def sound_scans(parsed: DataFrame) -> DataFrame:
+    """The rows of ``parse_scans`` without a fault."""
+    return parsed.where(_scan_reason(F.col("columns"), F.col("quotes_ok")).isNull())
+
+
 def load_scans(log: DataFrame) -> DataFrame:
     """The strict load of scan lines, every column in its type."""
-    sound = parse_scans(log).where(_scan_reason(F.col("columns"), F.col("quotes_ok")).isNull())
     cell = {name: F.get("columns", F.lit(i)) for i, name in enumerate(SCAN_COLUMNS)}
     types = {"file_id": "bigint", "scanned_at": "timestamp_ntz"} | dict.fromkeys(SCAN_COUNTS, "decimal(38,0)") | dict.fromkeys(SCAN_FLAGS, "boolean")
-    return sound.select("log_id", "logged_at", *[cell[n].try_cast(types.get(n, "string")).alias(n) for n in SCAN_COLUMNS])
+    return sound_scans(parse_scans(log)).select("log_id", "logged_at", *[cell[n].try_cast(types.get(n, "string")).alias(n) for n in SCAN_COLUMNS])
 
 
 def rejected_scans(log: DataFrame) -> DataFrame:
-    """``(log_id, reason)`` of refused scans: broken_quote, column_count, bad_key, bad_value."""
-    rest = split_rejects(parse_scans(log), load_scans(log), "log_id")
+    """``(log_id, reason)`` of refused scans: broken_quote, column_count, bad_key, bad_value. Lines are parsed once and stored."""
+    offsets = store(parse_scans(log))
+    rest = split_rejects(offsets, sound_scans(offsets), "log_id")
     return rest.select("log_id", _scan_reason(F.col("columns"), F.col("quotes_ok")).alias("reason"))
 
 

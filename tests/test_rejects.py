@@ -44,12 +44,13 @@ def test_scans(spark):
     rows = {
         1: GOOD, 2: ",".join(rejects.SCAN_COLUMNS), 3: GOOD.replace(",,5", ',"a, ""b""",5'), 4: GOOD.replace(",,5", ',"open,5'), 5: GOOD.replace(",,5", ',"a"b,5'),
         6: GOOD + ",", 7: GOOD.replace("7,2025", "0,2025"), 8: GOOD.replace("01-01T", "02-30T"), 9: GOOD.replace(",0,0,10,", ",11,0,10,"), 10: GOOD.replace("true,,", "True,,"),
-        11: GOOD.replace("a" * 64, "a" * 63), 12: None, 13: '"' * 200_000, 14: GOOD.replace(",10,a", ",99999999999999999999999,a"),
+        11: GOOD.replace("a" * 64, "a" * 63), 15: GOOD[1:], 16: GOOD[1:].replace(",,5", ',"a, ""b""",5'), 17: "," * 12, 18: '""' + GOOD[1:], 12: None, 13: '"' * 200_000, 14: GOOD.replace(",10,a", ",99999999999999999999999,a"),
     }
     df = spark.createDataFrame([(k, datetime(2025, 1, 1), v) for k, v in rows.items()], LOG)
     got = {r["log_id"]: r["reason"] for r in rejects.rejected_scans(df).collect()}
     assert got == {
-        4: "broken_quote", 5: "broken_quote", 6: "column_count", 7: "bad_key", 8: "bad_value", 9: "bad_value", 10: "bad_value", 11: "bad_value", 12: "column_count", 13: "column_count"
+        4: "broken_quote", 5: "broken_quote", 6: "column_count", 7: "bad_key", 8: "bad_value", 9: "bad_value", 10: "bad_value", 11: "bad_value", 12: "column_count", 13: "column_count",
+        15: "bad_key", 16: "bad_key", 17: "bad_key", 18: "bad_key",
     }
     loaded = {r["log_id"]: r for r in rejects.load_scans(df).collect()}
     assert set(loaded) == {1, 3, 14} and loaded[3]["tokenizer_detail"] == 'a, "b"' and loaded[1]["file_id"] == 7
