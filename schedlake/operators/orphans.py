@@ -1,8 +1,10 @@
 """References to records that do not exist: direct orphans, and a fixpoint cascade below them.
 
 Direct orphans come from each reference on its own (missing, deleted, late). Then children of
-orphaned records are orphaned too, indirectly: semi-joins run down the foreign-key graph from
-the newest orphans until a round finds none.
+orphaned records are orphaned too, indirectly: semi-joins run down the foreign-key graph, table
+by table in the order of their dependence, and again as long as a table above gains orphans.
+Links within one table are a tree of unknown depth; the nearest orphan above each record is
+found by pointer doubling, in as many rounds as the depth has binary digits.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schedlake.functions.numbers import blank_trim
-from schedlake.operators.skew import hot_keys, lookup
+from schedlake.operators.skew import lookup
 from schedlake.session import cut, store
 
 
@@ -65,87 +67,137 @@ def record_states(table: Table, fields: list[str]) -> DataFrame:
     )
 
 
-def direct_orphans(tables: dict[str, Table], references: list[Reference]) -> DataFrame:
+def _states(tables: dict[str, Table], references: list[Reference]) -> dict[str, DataFrame]:
+    """``record_states`` of each table in the references, with all its reference fields; stored where it is read more than once."""
+    out = {}
+    for name in dict.fromkeys(n for r in references for n in (r.child, r.parent)):
+        fields = list(dict.fromkeys(r.field for r in references if r.child == name))
+        state = record_states(tables[name], fields)
+        roles = bool(fields) + len({r.child for r in references if r.parent == name})
+        out[name] = store(state) if roles > 1 else state
+    return out
+
+
+def _referring(tables: dict[str, Table], states: dict[str, DataFrame], name: str) -> DataFrame:
+    return states[name] if tables[name].deleted_refers else states[name].where("NOT gone")
+
+
+def direct_orphans(tables: dict[str, Table], references: list[Reference], states: dict[str, DataFrame] | None = None) -> DataFrame:
     """``(table_name, field_name, record_key, reason, period)`` of references that fail themselves.
 
     First reason that holds: missing (no row has the key), deleted (the target's latest row is
     deleted), late (the target was first loaded after the referring record). A null or blank
     key refers to nothing. ``period`` is the month of the referring record's first load.
     """
+    states = _states(tables, references) if states is None else states
     parts = []
-    for child in dict.fromkeys(r.child for r in references):
-        refs = [r for r in references if r.child == child]
-        table = tables[child]
-        state = record_states(table, [r.field for r in refs])
-        if not table.deleted_refers:
-            state = state.where("NOT gone")
-        links = state.select(
-            F.col("key").alias("record_key"),
-            "first_at",
-            F.explode(F.array(*[F.struct(F.lit(r.field).alias("field"), F.lit(r.parent).alias("parent"), F.col(r.field).alias("fk")) for r in refs])).alias("ref"),
-        ).select("record_key", "first_at", "ref.*")
-        for parent in dict.fromkeys(r.parent for r in refs):
-            targets = record_states(tables[parent], []).select(
-                F.col("key").alias("t_key"), F.col("first_at").alias("t_first"), F.col("gone").alias("t_gone")
-            )
-            used = links.where((F.col("parent") == parent) & F.col("fk").isNotNull())
-            joined = lookup(used, "fk", targets, "t_key")
-            reason = (
-                F.when(F.col("t_key").isNull(), "missing")
-                .when(F.col("t_gone"), "deleted")
-                .when(F.col("t_first") > F.col("first_at"), "late")
-            )
-            parts.append(
-                joined.select(
-                    F.lit(child).alias("table_name"), F.col("field").alias("field_name"), "record_key",
-                    reason.alias("reason"), F.date_format("first_at", "yyyy-MM").alias("period"),
-                ).where("reason IS NOT NULL")
-            )
+    for child, parent in dict.fromkeys((r.child, r.parent) for r in references):
+        fields = [r.field for r in references if (r.child, r.parent) == (child, parent)]
+        refs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("fk")) for f in fields])).alias("ref")
+        used = _referring(tables, states, child).select(F.col("key").alias("record_key"), "first_at", refs).select("record_key", "first_at", "ref.*").where("fk IS NOT NULL")
+        targets = states[parent].select(F.col("key").alias("t_key"), F.col("first_at").alias("t_first"), F.col("gone").alias("t_gone"))
+        joined = lookup(used, "fk", targets, "t_key")
+        reason = (
+            F.when(F.col("t_key").isNull(), "missing")
+            .when(F.col("t_gone"), "deleted")
+            .when(F.col("t_first") > F.col("first_at"), "late")
+        )
+        parts.append(
+            joined.select(
+                F.lit(child).alias("table_name"), F.col("field").alias("field_name"), "record_key",
+                reason.alias("reason"), F.date_format("first_at", "yyyy-MM").alias("period"),
+            ).where("reason IS NOT NULL")
+        )
     return reduce(DataFrame.unionByName, parts)
 
 
-def orphan_cascade(tables: dict[str, Table], references: list[Reference], below: list[Reference] | None = None) -> DataFrame:
-    """Direct orphans of ``references`` with level 0, and what hangs below them at levels 1, 2, ...
+def _top_down(references: list[Reference]) -> list[str]:
+    """The tables, parents before children as far as the graph has no loops between tables."""
+    names = list(dict.fromkeys(n for r in references for n in (r.parent, r.child)))
+    out: list[str] = []
+    while rest := [n for n in names if n not in out]:
+        free = [n for n in rest if all(r.parent in out or r.parent == n for r in references if r.child == n)]
+        out += free or rest[:1]
+    return out
+
 
-    ``below`` is the foreign-key graph of the cascade (``references`` by default); it may hold
-    self references. Columns: table_name, field_name, record_key, reason (null below level 0),
-    period, level. A record enters once, at its first level, whatever its number of links.
+def _below_within(links: DataFrame, bad: DataFrame) -> DataFrame:
+    """``bad(record_key, level, field_name)`` and all that hangs below it over ``links(record_key, fk)`` of one table.
+
+    A record's level is the least over its ancestors, one more for each link. After k rounds a
+    record knows its ancestors up to 2^k links away, and where to look on.
     """
-    graph = references if below is None else below
-    direct = cut(direct_orphans(tables, references))
-    result = direct.withColumn("level", F.lit(0))
-    edges = {}
-    for r in graph:
-        state = record_states(tables[r.child], [r.field])
-        if not tables[r.child].deleted_refers:
-            state = state.where("NOT gone")
-        links = store(
-            state.select(F.col("key").alias("record_key"), F.col(r.field).alias("fk"), F.date_format("first_at", "yyyy-MM").alias("period")).where("fk IS NOT NULL")
-        )
-        edges[r] = (links, hot_keys(links, "fk"))  # read in every round, so built once
-    seen = direct.select("table_name", "record_key").distinct()
-    front, level = seen, 0
-    live = [r[0] for r in front.select("table_name").distinct().collect()]
-    while steps := [r for r in graph if r.parent in live]:
-        level += 1
-        hit = []
-        for r in steps:
-            bad = front.where(F.col("table_name") == r.parent).select(F.col("record_key").alias("t_key"))
-            hit.append(
-                lookup(edges[r][0], "fk", bad, "t_key", "inner", edges[r][1]).select(
-                    F.lit(r.child).alias("table_name"), F.lit(r.field).alias("field_name"), "record_key", "period"
-                )
-            )
-        new = reduce(DataFrame.unionByName, hit).groupBy("table_name", "record_key").agg(
-            F.min("field_name").alias("field_name"), F.min("period").alias("period")
-        )
-        new = cut(new.join(seen, ["table_name", "record_key"], "left_anti"))
-        live = [r[0] for r in new.select("table_name").distinct().collect()]  # bounded by the number of tables
-        if not live:
-            return result
-        result = result.unionByName(
-            new.select("table_name", "field_name", "record_key", F.lit(None).cast("string").alias("reason"), "period", F.lit(level).alias("level"))
-        )
-        front = new.select("table_name", "record_key")
-        seen = seen.unionByName(front)
-    return result
+    start = links.select(F.col("record_key").alias("id"), F.col("fk").alias("ptr"), "field_name").join(
+        bad.select(F.col("record_key").alias("b_key"), F.col("level").alias("own"), F.col("field_name").alias("own_field")), F.col("id") == F.col("b_key"), "full"
+    )
+    state = cut(start.select(F.coalesce("id", "b_key").alias("id"), "ptr", F.lit(1).cast("bigint").alias("step"), "field_name", F.col("own").cast("bigint").alias("own"), "own_field", F.col("own").cast("bigint").alias("best")))
+    n, reach = state.count(), 1
+    while reach <= n and state.where("ptr IS NOT NULL").limit(1).count():
+        ahead = state.select(F.col("id").alias("a_id"), F.col("ptr").alias("a_ptr"), F.col("best").alias("a_best"))
+        moved = lookup(state, "ptr", ahead, "a_id").withColumn("best", F.least("best", F.col("a_best") + F.col("step")))
+        state = cut(moved.select("id", F.col("a_ptr").alias("ptr"), (F.col("step") * 2).alias("step"), "field_name", "own", "own_field", "best"))
+        reach *= 2
+    hit = state.where("best IS NOT NULL")
+    own = F.col("own").isNotNull() & (F.col("own") <= F.col("best"))
+    return hit.select(F.col("id").alias("record_key"), F.col("best").cast("int").alias("level"), F.when(own, F.col("own_field")).otherwise(F.col("field_name")).alias("field_name"))
+
+
+class Cascade:
+    """Direct orphans of ``references``, and what hangs below them down the foreign-key graph ``below``.
+
+    ``direct`` has the columns of ``direct_orphans``; nothing else is worked out before ``run``.
+    """
+
+    def __init__(self, tables: dict[str, Table], references: list[Reference], below: list[Reference] | None = None) -> None:
+        self.tables, self.graph = tables, references if below is None else below
+        self.states = _states(tables, list(dict.fromkeys([*references, *(below or [])])))
+        self.direct = direct_orphans(tables, references, self.states)
+
+    def _inherited(self, name: str, reached: dict[str, DataFrame]) -> DataFrame | None:
+        """Level and field of the records of a table that hang directly below orphans of other tables."""
+        hits = []
+        for r in (r for r in self.graph if r.child == name != r.parent and r.parent in reached):
+            bad = reached[r.parent].select(F.col("record_key").alias("t_key"), "level")
+            links = _referring(self.tables, self.states, name).where(F.col(r.field).isNotNull()).select(F.col("key").alias("record_key"), F.col(r.field).alias("fk"))
+            hits.append(lookup(links, "fk", bad, "t_key", "inner").select("record_key", (F.col("level") + 1).alias("level"), F.lit(r.field).alias("field_name")))
+        return reduce(DataFrame.unionByName, hits) if hits else None
+
+    def run(self) -> DataFrame:
+        """Direct orphans at level 0 and inherited ones at levels 1, 2, ...
+
+        Columns: table_name, field_name, record_key, reason (null above level 0), period, level.
+        A direct orphan has a row for each reference that fails; any other record one, at the
+        least number of links to a direct orphan, with the first such field by name.
+        """
+        direct = store(self.direct)
+        reached: dict[str, DataFrame] = {}
+        sizes: dict[str, tuple] = {}
+        order = _top_down(self.graph)
+        stale = set(order)
+        while stale:
+            name = next(n for n in order if n in stale)
+            stale.discard(name)
+            own = direct.where(F.col("table_name") == name).select("record_key", F.lit(0).alias("level"), "field_name")
+            inherited = self._inherited(name, reached)
+            every = own if inherited is None else own.unionByName(inherited)
+            first = every.groupBy("record_key").agg(F.min(F.struct("level", "field_name")).alias("x")).select("record_key", "x.*")
+            for r in (r for r in self.graph if r.child == r.parent == name):
+                links = _referring(self.tables, self.states, name).where(F.col(r.field).isNotNull())
+                first = _below_within(links.select(F.col("key").alias("record_key"), F.col(r.field).alias("fk"), F.lit(r.field).alias("field_name")), first)
+            reached[name] = store(first)
+            size = tuple(reached[name].agg(F.count("*"), F.sum("level")).first())
+            # Levels only fall and records are only added, so equal sums mean that nothing has changed.
+            if size != sizes.get(name, (0, None)):
+                stale |= {r.child for r in self.graph if r.parent == name != r.child}
+            sizes[name] = size
+        out = direct.withColumn("level", F.lit(0))
+        for name, found in reached.items():
+            month = self.states[name].select(F.col("key").alias("m_key"), F.date_format("first_at", "yyyy-MM").alias("period"))
+            more = found.where("level > 0").join(month, F.col("record_key") == F.col("m_key"), "left")
+            out = out.unionByName(more.select(F.lit(name).alias("table_name"), "field_name", "record_key", F.lit(None).cast("string").alias("reason"), "period", "level"))
+        return out
+
+
+def orphan_cascade(tables: dict[str, Table], references: list[Reference], below: list[Reference] | None = None) -> DataFrame:
+    """``Cascade(...).run()``; ``below`` is ``references`` by default and may hold self references."""
+    return Cascade(tables, references, below).run()

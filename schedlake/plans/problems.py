@@ -62,11 +62,17 @@ def p2_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, folder: str) -> dict[str, orphans.Table]:
+    read = lambda name: table(spark, folder, name)
+    # A project's own node heads its tree: what it names as parent lies outside.
+    wbs = read("projwbs").withColumn("parent_wbs_id", F.when(F.coalesce("proj_node_flag", F.lit("")) != "Y", F.col("parent_wbs_id")))
     return {
-        "taskpred": orphans.Table("taskpred", table(spark, folder, "taskpred"), "task_pred_id", deleted_at=None),
-        "task": orphans.Table("task", table(spark, folder, "task"), "task_id", deleted_refers=False),
-        "project": orphans.Table("project", table(spark, folder, "project"), "proj_id"),
-        "calendar": orphans.Table("calendar", table(spark, folder, "calendar"), "clndr_id"),
+        "taskpred": orphans.Table("taskpred", read("taskpred"), "task_pred_id", deleted_at=None),
+        "task": orphans.Table("task", read("task"), "task_id", deleted_refers=False),
+        "projwbs": orphans.Table("projwbs", wbs, "wbs_id", deleted_at=None),
+        "project": orphans.Table("project", read("project"), "proj_id", deleted_refers=False),
+        "calendar": orphans.Table("calendar", read("calendar"), "clndr_id"),
+        "revision": orphans.Table("revision", read("revision"), "id", loaded_at="uploaded_at", deleted_at="removed_at"),
+        "programme": orphans.Table("programme", read("programme"), "id", loaded_at="created_at", deleted_at=None),
     }
 
 
@@ -75,23 +81,34 @@ REFERENCES = [
     orphans.Reference("taskpred", "pred_proj_id", "project"),
     orphans.Reference("task", "clndr_id", "calendar"),
 ]
-#: The foreign keys an orphan's absence runs down. Broken parent links within a tree are problem 5's.
-BELOW = [
+#: The foreign-key graph an orphan's absence runs down.
+GRAPH = [
     *REFERENCES,
     orphans.Reference("taskpred", "task_id", "task"),
     orphans.Reference("task", "proj_id", "project"),
+    orphans.Reference("task", "wbs_id", "projwbs"),
+    orphans.Reference("projwbs", "parent_wbs_id", "projwbs"),
+    orphans.Reference("projwbs", "proj_id", "project"),
+    orphans.Reference("project", "clndr_id", "calendar"),
+    orphans.Reference("revision", "programme_id", "programme"),
+    orphans.Reference("programme", "parent_programme_id", "programme"),
 ]
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Direct orphan references; the cascade below them is in ``p4_cascade``."""
-    found = orphans.orphan_cascade(_tables(spark, folder), REFERENCES).where("level = 0")
+    """Direct orphans of the three references; what hangs below orphans is in ``p4_cascade``."""
+    found = orphans.Cascade(_tables(spark, folder), REFERENCES).direct
     return found.select("table_name", "field_name", F.col("record_key").try_cast("bigint").alias("record_id"), "reason", "period")
 
 
+def p4_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every orphaned record of the whole foreign-key graph: direct (level 0) or inherited, with the number of links to the nearest direct one."""
+    return orphans.orphan_cascade(_tables(spark, folder), GRAPH)
+
+
 def p4_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    """Orphans per table, field, month and level: 0 direct, above 0 inherited from an orphaned record."""
-    found = orphans.orphan_cascade(_tables(spark, folder), BELOW)
+    """``p4_records`` counted per table, field, month, level and reason."""
+    found = p4_records(spark, folder)
     return found.groupBy("table_name", "field_name", "period", "level", F.coalesce("reason", F.lit("inherited")).alias("reason")).agg(
         F.count("*").alias("n_records")
     )
@@ -143,7 +160,7 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_steps, p1_versions, p1_fields, p1_consistent, p2_found, p2_rows, p2_scans, p4_found, p4_cascade, p5_found, p5_paths, p5_descendants)
+    for f in (p1_found, p1_steps, p1_versions, p1_fields, p1_consistent, p2_found, p2_rows, p2_scans, p4_found, p4_records, p4_cascade, p5_found, p5_paths, p5_descendants)
 }
 
 _STATE = """SELECT trim(CAST({key} AS VARCHAR)) AS k, min(loaded_at) AS f, max_by({gone}, loaded_at) AS g{more}
