@@ -26,6 +26,10 @@ _CLOCK = re.compile(r"(\d{1,2}):(\d{2})(?:\s*([AaPp])\.?[Mm]\.?)?")
 _EPOCH = dt.date(1899, 12, 30).toordinal()
 
 
+#: Fixed value: hours of a day where no calendar says.
+FALLBACK_HOURS = 8.0
+
+
 class CalendarError(ValueError):
     """The packed text does not follow the grammar."""
 
@@ -174,6 +178,35 @@ def decoded(calendars: DataFrame) -> DataFrame:
     return calendars.withColumn("d", decode_calendar(F.col("clndr_data"))).select("clndr_id", "d.*")
 
 
+def programme_calendars(tasks: DataFrame, projects: DataFrame, decoded_calendars: DataFrame, key: str = "proj_id") -> DataFrame:
+    """The calendar of each project with tasks, found through its own row, or why there is none.
+
+    Columns: key, clndr_id, state (ok, unavailable, error), reason, week, exceptions,
+    hours_per_day, hours_source, working_days_per_week. A calendar that is absent is
+    unavailable, one that cannot be decoded an error, and no other is put in its place. The
+    day's length is the calendar's where it is ok and all its working days are alike, else the
+    fallback's. ``decoded_calendars`` has clndr_id and what ``decode`` gives; ``projects`` (key,
+    clndr_id) has a project once.
+    """
+    own = tasks.where(F.col(key).isNotNull()).select(key).distinct()
+    named = projects.select(F.col(key).alias("p_key"), F.nullif(F.trim(F.col("clndr_id").cast("string")), F.lit("")).alias("named"))
+    cal = decoded_calendars.select(
+        F.col("clndr_id").cast("string").alias("c_id"), F.col("state").alias("c_state"), F.col("reason").alias("c_reason"), "week", "exceptions", "hours_per_working_day", "working_days_per_week"
+    )
+    both = own.join(named, F.col(key) == F.col("p_key"), "left").join(cal, F.col("named") == F.col("c_id"), "left")
+    ok = F.col("c_state") == "ok"
+    reason = (
+        F.when(F.col("p_key").isNull(), "the project has no row").when(F.col("named").isNull(), "the project names no calendar")
+        .when(F.col("c_id").isNull(), "the named calendar is not there").when(~ok, F.col("c_reason"))
+    )
+    hours = F.when(ok & (F.col("hours_per_working_day") > 0), F.col("hours_per_working_day"))
+    return both.select(
+        key, F.col("named").alias("clndr_id"), F.when(ok, "ok").when(F.col("c_id").isNotNull(), "error").otherwise("unavailable").alias("state"), reason.alias("reason"),
+        F.when(ok, F.col("week")).alias("week"), F.when(ok, F.col("exceptions")).alias("exceptions"), F.coalesce(hours, F.lit(FALLBACK_HOURS)).alias("hours_per_day"),
+        F.when(hours.isNotNull(), "programme_calendar").otherwise("fallback").alias("hours_source"), F.when(ok, F.col("working_days_per_week")).alias("working_days_per_week"),
+    )
+
+
 def working_days(week: Column, exceptions: Column, first: Column, last: Column) -> Column:
     """Working days from ``first`` to ``last``, both ends in; null if a date is null or they are reversed.
 

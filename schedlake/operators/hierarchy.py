@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schedlake.operators.skew import HOT_LEAST, lookup
@@ -236,10 +236,13 @@ def descendants(resolved: DataFrame) -> DataFrame:
 
 
 def latest_rows(df: DataFrame, key: str, stamp: str, *ties: str) -> DataFrame:
-    """Of each key the row of latest ``stamp`` (nulls earliest, ties by the greatest row)."""
-    others = [c for c in df.columns if c not in (stamp, *ties)]
-    best = df.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct(stamp, *ties, *others)).alias("__row"))
-    return best.where("__key IS NOT NULL").select("__row.*").select(*df.columns)
+    """Of each key the row of latest ``stamp`` (nulls earliest; on equal stamps the greatest ``ties``, which settle which of differing rows counts).
+
+    A window limited to one row a key on each side of its shuffle; only the columns that the
+    caller goes on to use are read and shuffled. Rows without a key are left out.
+    """
+    order = Window.partitionBy(key).orderBy(F.desc_nulls_last(stamp), *[F.desc_nulls_last(t) for t in ties])
+    return df.where(F.col(key).isNotNull()).withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
 
 
 def tree_findings(

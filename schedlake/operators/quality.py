@@ -34,14 +34,15 @@ def invalid_date_reason(data_day: Column) -> Column:
     )
 
 
-def flagged_tasks(tasks: DataFrame, links: DataFrame, data_days: DataFrame, key: str = "proj_id", hours_per_day: float = 8.0) -> DataFrame:
+def flagged_tasks(tasks: DataFrame, links: DataFrame, data_days: DataFrame, key: str = "proj_id", hours_per_day: Column | None = None) -> DataFrame:
     """Tasks with one flag a check. ``data_days(key, data_day)`` may lack a group: then check 9 is null.
 
     ``links(succ_id, pred_id)`` decide open ends; a link counts where it names the task.
+    ``hours_per_day`` is a column of ``tasks``, 8 by default.
     """
     preds = links.select(F.col("succ_id").alias("p_id")).where("p_id IS NOT NULL").distinct()
     succs = links.select(F.col("pred_id").alias("s_id")).where("s_id IS NOT NULL").distinct()
-    high = HIGH_DAYS * hours_per_day
+    high = F.coalesce(F.lit(8.0) if hours_per_day is None else hours_per_day, F.lit(8.0)) * HIGH_DAYS
     joined = (
         tasks.join(preds, F.col("task_id") == F.col("p_id"), "left")
         .join(succs, F.col("task_id") == F.col("s_id"), "left")
@@ -110,11 +111,12 @@ def totals(card: DataFrame, key: str = "proj_id") -> DataFrame:
     )
 
 
-def exemplars(flagged: DataFrame, key: str = "proj_id", limit: int = EXEMPLARS) -> DataFrame:
-    """The worst tasks of checks 1, 5, 6, 7, 8 and 9, at most ``limit`` a check, stable in task order.
+def exemplars(flagged: DataFrame, links: DataFrame | None = None, card: DataFrame | None = None, key: str = "proj_id", limit: int = EXEMPLARS) -> DataFrame:
+    """The worst cases of checks 1, 2, 3, 5, 6, 7, 8 and 9, at most ``limit`` a check, stable in task order.
 
-    Top-k per group: the window is limited on each side of its shuffle, so a hot group sends
-    ``limit`` rows a task.
+    Cases of checks 2 and 3 are relationships of ``links`` and stand under their successor; without
+    ``links`` there are none. With ``card`` only failing checks have cases. Top-k per group:
+    the window is limited on each side of its shuffle, so a hot group sends ``limit`` rows a task.
     """
     some = lambda no, test, bad: F.when(test, F.struct(F.lit(no).alias("check_no"), bad.cast("double").alias("badness")))
     cases = F.array(
@@ -125,6 +127,13 @@ def exemplars(flagged: DataFrame, key: str = "proj_id", limit: int = EXEMPLARS)
         some(8, F.col("high_duration"), F.col("target_drtn_hr_cnt")),
         some(9, F.col("invalid").isNotNull(), F.lit(0)),
     )
-    rows = flagged.select(key, "task_id", F.explode(F.array_compact(cases)).alias("c")).select(key, "task_id", "c.*")
-    order = Window.partitionBy(key, "check_no").orderBy(F.desc("badness"), "task_id")
+    none = F.lit(None).cast("bigint")
+    rows = flagged.select(key, "task_id", none.alias("pred_id"), F.explode(F.array_compact(cases)).alias("c")).select(key, "task_id", "pred_id", "c.*")
+    if links is not None:
+        lag = F.col("lag_hr_cnt")
+        ends = F.array(some(2, lag < 0, -lag), some(3, lag > 0, lag))
+        rows = rows.unionByName(links.where(F.col(key).isNotNull()).select(key, F.col("succ_id").alias("task_id"), "pred_id", F.explode(F.array_compact(ends)).alias("c")).select(key, "task_id", "pred_id", "c.*"))
+    if card is not None:
+        rows = rows.join(card.where("state = 'fail'").select(key, "check_no"), [key, "check_no"], "left_semi")
+    order = Window.partitionBy(key, "check_no").orderBy(F.desc("badness"), "task_id", "pred_id")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)

@@ -15,8 +15,8 @@ from schedlake.functions.numbers import percent
 #: Histogram edges in working days; None is an open bound.
 FLOAT_EDGES = (None, -20, 0, 5, 10, 20, 44, 100, 200, None)
 DURATION_EDGES = (0, 1, 5, 10, 20, 44, 100, 200, None)
-#: Months an S-curve may span, points of a card curve, days of high float, hours of a day.
-MONTH_CAP, CARD_POINTS, HIGH_DAYS, FALLBACK_HOURS = 1200, 16, 44, 8
+#: Months an S-curve may span, points of a card curve, days of high float.
+MONTH_CAP, CARD_POINTS, HIGH_DAYS = 1200, 16, 44
 
 
 def task_start(actual: str = "act_start_date", early: str = "early_start_date", target: str = "target_start_date") -> Column:
@@ -72,7 +72,7 @@ def float_band(hours: Column, high_hours: Column | float) -> Column:
     return F.when(hours < 0, "neg").when(hours > high_hours, "high").when(hours.isNotNull(), "ok")
 
 
-def float_mix(df: DataFrame, keys: list[str], hours: str, high_hours: float) -> DataFrame:
+def float_mix(df: DataFrame, keys: list[str], hours: str, high_hours: Column | float) -> DataFrame:
     """Whole percentages of the three float bands that sum to 100 (largest remainder).
 
     Nulls are outside the base; a group without floats has 0 thrice. Leftover points go to the

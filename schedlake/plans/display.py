@@ -57,7 +57,7 @@ ORACLES = {
 SELECT CASE WHEN h < 1 THEN 'new' WHEN h < 48 THEN 'h' WHEN h < 1440 THEN 'd' WHEN h < 17280 THEN 'mo' ELSE 'y' END AS age, count(*) AS n FROM h GROUP BY 1""",
     "c17_elapsed": f"""WITH {T.TASKS_SQL}, {T.DAYS_SQL}, s AS (SELECT proj_id, min({T._START}) AS a, max({T._FINISH}) AS b FROM task_now GROUP BY 1)
 SELECT s.proj_id, CASE WHEN b > a THEN floor(least(greatest(CAST(data_day - a AS DOUBLE) / (b - a), 0), 1) * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE END AS elapsed FROM s JOIN day_now d ON d.proj_id = s.proj_id""",
-    "a26_band_shares": f"""WITH {T.TASKS_SQL}, b AS (SELECT proj_id, CASE WHEN total_float_hr_cnt < 0 THEN 'negative' WHEN total_float_hr_cnt / 8 < 44 THEN 'ok' ELSE 'high' END AS band FROM task_now WHERE total_float_hr_cnt IS NOT NULL),
+    "a26_band_shares": f"""WITH {T.TASKS_SQL}, {T.CAL_SQL}, b AS (SELECT t.proj_id, CASE WHEN total_float_hr_cnt < 0 THEN 'negative' WHEN total_float_hr_cnt / coalesce(h, 8) < 44 THEN 'ok' ELSE 'high' END AS band FROM task_now t LEFT JOIN hpd z ON z.proj_id = t.proj_id WHERE total_float_hr_cnt IS NOT NULL),
   c AS (SELECT proj_id, band, count(*) AS n FROM b GROUP BY 1, 2)
 SELECT proj_id, band, n, floor(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY proj_id) * 1000 + 0.5) / 10 AS share_pct FROM c WHERE proj_id IS NOT NULL""",
 }

@@ -120,14 +120,14 @@ def p4_cascade(spark: SparkSession, folder: str) -> DataFrame:
 def wbs_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """The latest row of each WBS node as (id, parent, proj_node_flag)."""
     src = table(spark, folder, "projwbs").select("wbs_id", "parent_wbs_id", "proj_node_flag", "loaded_at")
-    rows = hierarchy.latest_rows(src, "wbs_id", "loaded_at")
+    rows = hierarchy.latest_rows(src, "wbs_id", "loaded_at", "parent_wbs_id", "proj_node_flag")
     return rows.select(F.col("wbs_id").cast("string").alias("id"), F.col("parent_wbs_id").cast("string").alias("parent"), "proj_node_flag")
 
 
 def programme_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Each programme once as (id, parent, stored_root)."""
     src = table(spark, folder, "programme").select("id", "parent_programme_id", "root_programme_id", "created_at")
-    rows = hierarchy.latest_rows(src, "id", "created_at")
+    rows = hierarchy.latest_rows(src, "id", "created_at", "parent_programme_id", "root_programme_id")
     return rows.select("id", F.col("parent_programme_id").alias("parent"), F.col("root_programme_id").alias("stored_root"))
 
 

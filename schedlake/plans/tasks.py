@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schedlake.functions.dates import day_number, real_day
+from schedlake.functions.numbers import percent
 from schedlake.operators import calendars, cpm, driving, hierarchy, quality, stats
+from schedlake.session import store
 from schedlake.sources.tables import table
 
 # ---------------------------------------------------------------- views
@@ -17,7 +19,7 @@ from schedlake.sources.tables import table
 
 def tasks_now(spark: SparkSession, folder: str) -> DataFrame:
     """The latest row of each task that is not deleted."""
-    return hierarchy.latest_rows(table(spark, folder, "task"), "task_id", "loaded_at").where("deleted_at IS NULL")
+    return hierarchy.latest_rows(table(spark, folder, "task"), "task_id", "loaded_at", "deleted_at").where("deleted_at IS NULL")
 
 
 def links_now(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,12 +34,41 @@ def data_days(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("proj_id", real_day(F.col("last_recalc_date")).alias("data_day")).where("data_day IS NOT NULL")
 
 
+def calendars_now(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest row of each calendar that is not deleted, decoded."""
+    rows = hierarchy.latest_rows(table(spark, folder, "calendar"), "clndr_id", "loaded_at", "deleted_at").where("deleted_at IS NULL")
+    return rows.withColumn("d", calendars.decode_calendar(F.col("clndr_data"))).select("clndr_id", "clndr_name", "d.*")
+
+
+def project_calendars(spark: SparkSession, folder: str) -> DataFrame:
+    """The calendar of each project with tasks, its day's length, or why there is none."""
+    projects = hierarchy.latest_rows(table(spark, folder, "project"), "proj_id", "loaded_at", "deleted_at").where("deleted_at IS NULL")
+    return calendars.programme_calendars(tasks_now(spark, folder), projects, calendars_now(spark, folder))
+
+
+def tasks_in_days(spark: SparkSession, folder: str) -> DataFrame:
+    """``tasks_now`` with the hours of a day of each task's project."""
+    days = project_calendars(spark, folder).select("proj_id", "hours_per_day")
+    return tasks_now(spark, folder).join(days, "proj_id", "left").withColumn("hours_per_day", F.coalesce("hours_per_day", F.lit(calendars.FALLBACK_HOURS)))
+
+
 TASKS_SQL = """task_now AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY loaded_at DESC) AS rn FROM task
     WHERE task_id IS NOT NULL) WHERE rn = 1 AND deleted_at IS NULL)"""
 LINKS_SQL = """link_now AS (SELECT task_pred_id, proj_id, task_id AS succ_id, pred_task_id AS pred_id, pred_type, lag_hr_cnt, pred_proj_id
     FROM (SELECT *, row_number() OVER (PARTITION BY task_pred_id ORDER BY loaded_at DESC) AS rn FROM taskpred WHERE task_pred_id IS NOT NULL) WHERE rn = 1)"""
 DAYS_SQL = """day_now AS (SELECT proj_id, try_cast(left(last_recalc_date, 10) AS DATE) AS data_day
     FROM (SELECT *, row_number() OVER (PARTITION BY proj_id ORDER BY loaded_at DESC) AS rn FROM project) WHERE rn = 1 AND try_cast(left(last_recalc_date, 10) AS DATE) IS NOT NULL)"""
+#: The hours of a day of each project's calendar, where all its working days are alike; 8 without one. Follows TASKS_SQL.
+CAL_SQL = r"""cal_now AS (SELECT CAST(clndr_id AS VARCHAR) AS c, clndr_data, regexp_extract(clndr_data, 'DaysOfWeek\(\)\((.*)\)\(0\|\|Exceptions', 1) AS w
+    FROM (SELECT *, row_number() OVER (PARTITION BY clndr_id ORDER BY loaded_at DESC) AS rn FROM calendar WHERE clndr_id IS NOT NULL) WHERE rn = 1 AND deleted_at IS NULL),
+  cal_bit AS (SELECT c, i AS day, regexp_split_to_array(w, '\(0\|\|[1-7]\(\)\(')[i + 1] AS d FROM cal_now, (SELECT unnest(range(1, 8)) AS i)),
+  cal_day AS (SELECT c, day, [CAST(left(x, 2) AS DOUBLE) + CAST(right(x, 2) AS DOUBLE) / 60 FOR x IN regexp_extract_all(d, 's\|([0-9:]+)', 1)] AS s,
+      [CASE WHEN x = '00:00' THEN 24 ELSE CAST(left(x, 2) AS DOUBLE) + CAST(right(x, 2) AS DOUBLE) / 60 END FOR x IN regexp_extract_all(d, 'f\|([0-9:]+)', 1)] AS f FROM cal_bit),
+  cal_hours AS (SELECT c, day, coalesce(list_sum(f), 0) - coalesce(list_sum(s), 0) AS h FROM cal_day),
+  cal_len AS (SELECT c, CASE WHEN count(DISTINCT h) FILTER (h > 0) = 1 THEN max(h) END AS h, count_if(h > 0) AS n FROM cal_hours GROUP BY 1),
+  proj_now AS (SELECT proj_id, nullif(trim(clndr_id), '') AS named FROM (SELECT *, row_number() OVER (PARTITION BY proj_id ORDER BY loaded_at DESC, deleted_at DESC NULLS LAST) AS rn FROM project) WHERE rn = 1 AND deleted_at IS NULL),
+  hpd AS (SELECT t.proj_id, p.proj_id IS NOT NULL AS has_row, p.named, l.c, l.n, coalesce(l.h, 8) AS h, CASE WHEN l.h IS NULL THEN 'fallback' ELSE 'programme_calendar' END AS source
+    FROM (SELECT DISTINCT proj_id FROM task_now WHERE proj_id IS NOT NULL) t LEFT JOIN proj_now p ON p.proj_id = t.proj_id LEFT JOIN cal_len l ON l.c = p.named)"""
 _START = "try_cast(left(coalesce(act_start_date, early_start_date, target_start_date), 10) AS DATE)"
 _FINISH = "try_cast(left(coalesce(act_end_date, early_end_date, target_end_date), 10) AS DATE)"
 _PCT = "CASE WHEN {d} = 0 THEN 0.0 ELSE floor(CAST({n} AS DOUBLE) / {d} * 1000 + 0.5) / 10 END"
@@ -104,19 +135,19 @@ def a2_logic_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def a13_float_histogram(spark: SparkSession, folder: str) -> DataFrame:
     """Total float in days by fixed-edge bucket; nulls apart."""
-    days = F.col("total_float_hr_cnt") / stats.FALLBACK_HOURS
-    return stats.histogram(tasks_now(spark, folder), ["proj_id"], days, stats.FLOAT_EDGES)
+    days = F.col("total_float_hr_cnt") / F.col("hours_per_day")
+    return stats.histogram(tasks_in_days(spark, folder), ["proj_id"], days, stats.FLOAT_EDGES)
 
 
 def a15_duration_histogram(spark: SparkSession, folder: str) -> DataFrame:
     """Target duration in days by bucket, null as 0."""
-    days = F.coalesce("target_drtn_hr_cnt", F.lit(0.0)) / stats.FALLBACK_HOURS
-    return stats.histogram(tasks_now(spark, folder), ["proj_id"], days, stats.DURATION_EDGES)
+    days = F.coalesce("target_drtn_hr_cnt", F.lit(0.0)) / F.col("hours_per_day")
+    return stats.histogram(tasks_in_days(spark, folder), ["proj_id"], days, stats.DURATION_EDGES)
 
 
 def a16_float_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Three float bands as whole percentages summing to 100."""
-    return stats.float_mix(tasks_now(spark, folder), ["proj_id"], "total_float_hr_cnt", float(stats.HIGH_DAYS * stats.FALLBACK_HOURS))
+    return stats.float_mix(tasks_in_days(spark, folder), ["proj_id"], "total_float_hr_cnt", F.col("hours_per_day") * stats.HIGH_DAYS)
 
 
 def a17_s_curve(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +173,7 @@ def a19_code_types(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _flagged(spark: SparkSession, folder: str) -> DataFrame:
-    flagged = quality.flagged_tasks(tasks_now(spark, folder).where("proj_id IS NOT NULL"), links_now(spark, folder), data_days(spark, folder))
+    flagged = quality.flagged_tasks(tasks_in_days(spark, folder).where("proj_id IS NOT NULL"), links_now(spark, folder), data_days(spark, folder), hours_per_day=F.col("hours_per_day"))
     # No assignment table is stored: a task counts as resourced when its type says so.
     return flagged.withColumn("has_resource", F.coalesce(F.col("task_type") == "TT_Rsrc", F.lit(False)))
 
@@ -158,8 +189,9 @@ def q01_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w7_exemplars(spark: SparkSession, folder: str) -> DataFrame:
-    """At most 50 worst tasks a check."""
-    return quality.exemplars(_flagged(spark, folder))
+    """At most 50 worst cases of each failing check."""
+    flagged, links = store(_flagged(spark, folder)), links_now(spark, folder)
+    return quality.exemplars(flagged, links, quality.scorecard(flagged, links))
 
 
 def u2_open_ends(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,6 +285,25 @@ def j16_working_days(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("task_id", calendars.working_days(F.col("week"), F.col("exceptions"), F.col("d0"), F.col("d1")).alias("working_days"))
 
 
+def j11_project_calendars(spark: SparkSession, folder: str) -> DataFrame:
+    """The calendar each project works to, or why there is none, and the hours of its day with their source."""
+    return project_calendars(spark, folder).select("proj_id", "clndr_id", "state", "reason", "hours_per_day", "hours_source")
+
+
+def c11_project_working_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Each project's window in working days of its own calendar, and the share of activities on that calendar."""
+    cal = project_calendars(spark, folder)
+    t = tasks_now(spark, folder).join(cal.select(F.col("proj_id").alias("c_proj"), F.col("clndr_id").alias("named")), F.col("proj_id") == F.col("c_proj"))
+    on = t.groupBy("proj_id").agg(
+        F.min(real_day(stats.task_start())).alias("d0"), F.max(real_day(stats.task_finish())).alias("d1"), percent(F.count_if(F.trim("clndr_id") == F.col("named")), F.count("*")).alias("share")
+    )
+    ok = F.col("state") == "ok"
+    out = cal.join(on, "proj_id").select(
+        "proj_id", "state", "clndr_id", "working_days_per_week", F.when(ok, calendars.working_days(F.col("week"), F.col("exceptions"), F.col("d0"), F.col("d1"))).alias("days"), F.when(ok, F.col("share")).alias("activity_share_pct")
+    )
+    return out
+
+
 def c8_day_numbers(spark: SparkSession, folder: str) -> DataFrame:
     """Day number, weekday (Sunday 1), spreadsheet serial and month index of early starts."""
     d = real_day(F.col("early_start_date"))
@@ -268,7 +319,7 @@ QUERIES = {
         a1_shape_counts, a2_logic_counts, a3_distinct_calendars, a4_status_mix, a4_type_mix, a4_relationship_mix, a5_window_span, a6_progress,
         a13_float_histogram, a15_duration_histogram, a16_float_mix, a17_s_curve, a18_card_curve, a19_code_types, q00_scorecard, q01_checks, w7_exemplars,
         u2_open_ends, j14_driving_links, g6_seeds, g7_members, g8_path_summary, a21_flag_agreement, g20_cpm, g14_tree_depth, g15_subtree_counts,
-        c6_calendars, j16_working_days, c8_day_numbers,
+        c6_calendars, j16_working_days, j11_project_calendars, c11_project_working_days, c8_day_numbers,
     )
 }
 
@@ -295,15 +346,15 @@ _SEEDS_SQL = """seed AS (SELECT s.proj_id, s.task_id FROM side s JOIN (SELECT pr
 _MEMBERS_SQL = f"""WITH RECURSIVE {_DRIVERS_SQL}, {_SEEDS_SQL},
   edge AS (SELECT DISTINCT s.proj_id, d.succ_id, d.pred_id FROM driving d JOIN side s ON s.task_id = d.succ_id),
   member AS (SELECT proj_id, task_id FROM seed UNION SELECT m.proj_id, e.pred_id FROM member m JOIN edge e ON e.succ_id = m.task_id AND e.proj_id = m.proj_id)"""
-_FLAGGED_SQL = f"""{TASKS_SQL}, {LINKS_SQL}, {DAYS_SQL},
+_FLAGGED_SQL = f"""{TASKS_SQL}, {LINKS_SQL}, {DAYS_SQL}, {CAL_SQL},
   flagged AS (SELECT t.proj_id, t.task_id, t.total_float_hr_cnt AS tf, t.target_drtn_hr_cnt AS dur, d.data_day,
       t.task_id NOT IN (SELECT succ_id FROM link_now WHERE succ_id IS NOT NULL) AS no_pred, t.task_id NOT IN (SELECT pred_id FROM link_now WHERE pred_id IS NOT NULL) AS no_succ,
       coalesce(t.cstr_type IN ('CS_MANDSTART', 'CS_MANDFIN', 'CS_MSO', 'CS_MEO', 'CS_MSOB', 'CS_MEOB'), false) AS hard,
-      coalesce(t.total_float_hr_cnt > 352, false) AS hf, coalesce(t.total_float_hr_cnt < 0, false) AS nf, coalesce(t.target_drtn_hr_cnt > 352, false) AS hd,
+      coalesce(t.total_float_hr_cnt > 44 * z.h, false) AS hf, coalesce(t.total_float_hr_cnt < 0, false) AS nf, coalesce(t.target_drtn_hr_cnt > 44 * z.h, false) AS hd,
       CASE WHEN d.data_day IS NULL THEN false WHEN try_cast(left(act_start_date, 10) AS DATE) > d.data_day OR try_cast(left(act_end_date, 10) AS DATE) > d.data_day THEN true
         WHEN status_code = 'TK_Complete' THEN false WHEN status_code <> 'TK_Active' AND try_cast(left(early_start_date, 10) AS DATE) < d.data_day THEN true
         ELSE coalesce(try_cast(left(early_end_date, 10) AS DATE) < d.data_day, false) END AS invalid, coalesce(task_type = 'TT_Rsrc', false) AS res
-    FROM task_now t LEFT JOIN day_now d ON d.proj_id = t.proj_id WHERE t.proj_id IS NOT NULL)"""
+    FROM task_now t LEFT JOIN day_now d ON d.proj_id = t.proj_id JOIN hpd z ON z.proj_id = t.proj_id WHERE t.proj_id IS NOT NULL)"""
 
 
 def _check(no: int, name: str, count: str, pct: str, state: str) -> str:
@@ -358,10 +409,10 @@ SELECT t.proj_id, count_if(total_float_hr_cnt <= coalesce(c, 0)) AS n_critical,
     "a5_window_span": f"WITH {TASKS_SQL} SELECT proj_id, min({_START}) AS window_start, max({_FINISH}) AS window_finish, CAST(max({_FINISH}) - min({_START}) + 1 AS INTEGER) AS calendar_days FROM task_now GROUP BY 1",
     "a6_progress": f"""WITH {TASKS_SQL} SELECT proj_id, count(*) AS n, count_if(status_code = 'TK_Complete') AS n_complete, {_pct("count_if(status_code = 'TK_Complete')", "count(*)")} AS pct_complete,
   count_if(task_type IN ('TT_Mile', 'TT_FinMile')) AS n_milestones, bool_and(act_start_date IS NULL) AS is_baseline FROM task_now GROUP BY 1""",
-    "a13_float_histogram": f"WITH {TASKS_SQL} SELECT proj_id, {_hist('total_float_hr_cnt / 8', stats.FLOAT_EDGES)} AS bucket, count(*) AS n FROM task_now GROUP BY 1, 2",
-    "a15_duration_histogram": f"WITH {TASKS_SQL} SELECT proj_id, {_hist('coalesce(target_drtn_hr_cnt, 0) / 8', stats.DURATION_EDGES)} AS bucket, count(*) AS n FROM task_now GROUP BY 1, 2",
-    "a16_float_mix": f"""WITH {TASKS_SQL}, b AS (SELECT proj_id, unnest(['neg', 'ok', 'high']) AS band, unnest([1, 2, 3]) AS ord, unnest([count_if(total_float_hr_cnt < 0),
-    count_if(total_float_hr_cnt BETWEEN 0 AND 352), count_if(total_float_hr_cnt > 352)]) AS n, count(total_float_hr_cnt) AS total FROM task_now GROUP BY proj_id),
+    "a13_float_histogram": f"WITH {TASKS_SQL}, {CAL_SQL} SELECT t.proj_id, {_hist('total_float_hr_cnt / coalesce(h, 8)', stats.FLOAT_EDGES)} AS bucket, count(*) AS n FROM task_now t LEFT JOIN hpd z ON z.proj_id = t.proj_id GROUP BY 1, 2",
+    "a15_duration_histogram": f"WITH {TASKS_SQL}, {CAL_SQL} SELECT t.proj_id, {_hist('coalesce(target_drtn_hr_cnt, 0) / coalesce(h, 8)', stats.DURATION_EDGES)} AS bucket, count(*) AS n FROM task_now t LEFT JOIN hpd z ON z.proj_id = t.proj_id GROUP BY 1, 2",
+    "a16_float_mix": f"""WITH {TASKS_SQL}, {CAL_SQL}, u AS (SELECT t.proj_id, total_float_hr_cnt, 44 * coalesce(h, 8) AS high FROM task_now t LEFT JOIN hpd z ON z.proj_id = t.proj_id), b AS (SELECT proj_id, unnest(['neg', 'ok', 'high']) AS band, unnest([1, 2, 3]) AS ord, unnest([count_if(total_float_hr_cnt < 0),
+    count_if(total_float_hr_cnt BETWEEN 0 AND high), count_if(total_float_hr_cnt > high)]) AS n, count(total_float_hr_cnt) AS total FROM u GROUP BY proj_id),
   e AS (SELECT *, CASE WHEN total > 0 THEN n * 100.0::DOUBLE / total ELSE 0 END AS x FROM b),
   f AS (SELECT *, floor(x) AS whole, row_number() OVER (PARTITION BY proj_id ORDER BY x - floor(x) DESC, ord) AS place, CASE WHEN total > 0 THEN 100 - sum(floor(x)) OVER (PARTITION BY proj_id) ELSE 0 END AS spare FROM e),
   g AS (SELECT proj_id, band, CAST(whole + CASE WHEN place <= spare THEN 1 ELSE 0 END AS BIGINT) AS pct FROM f)
@@ -373,11 +424,20 @@ SELECT proj_id, CAST(point AS INTEGER) AS point, CASE WHEN c[-1] > 0 THEN floor(
 SELECT p_brand AS code_type, v AS value_count, {_pct("coalesce(n, 0)", "(SELECT count(*) FROM orders)")} AS assigned_pct FROM d LEFT JOIN u USING (p_brand) ORDER BY assigned_pct DESC, v DESC, p_brand LIMIT 50""",
     "q01_checks": f"{_CHECKS_SQL} SELECT * FROM checks",
     "q00_scorecard": f"{_CHECKS_SQL} SELECT proj_id, count_if(state = 'pass') AS passed, count_if(state <> 'skip') AS applicable, count_if(state = 'skip') AS skipped FROM checks GROUP BY 1",
-    "w7_exemplars": f"""WITH {_FLAGGED_SQL}, c AS (SELECT proj_id, task_id, 1 AS check_no, CASE WHEN no_pred AND no_succ THEN 1.0 ELSE 0 END AS badness FROM flagged WHERE no_pred OR no_succ
-    UNION ALL SELECT proj_id, task_id, 5, 0 FROM flagged WHERE hard UNION ALL SELECT proj_id, task_id, 6, tf FROM flagged WHERE hf UNION ALL SELECT proj_id, task_id, 7, -tf FROM flagged WHERE nf
-    UNION ALL SELECT proj_id, task_id, 8, dur FROM flagged WHERE hd UNION ALL SELECT proj_id, task_id, 9, 0 FROM flagged WHERE invalid),
-  o AS (SELECT *, row_number() OVER (PARTITION BY proj_id, check_no ORDER BY badness DESC, task_id) AS place FROM c)
-SELECT proj_id, task_id, check_no, CAST(badness AS DOUBLE) AS badness, CAST(place AS INTEGER) AS place FROM o WHERE place <= 50""",
+    "w7_exemplars": f"""{_CHECKS_SQL}, c AS (SELECT proj_id, task_id, NULL AS pred_id, 1 AS check_no, CASE WHEN no_pred AND no_succ THEN 1.0 ELSE 0 END AS badness FROM flagged WHERE no_pred OR no_succ
+    UNION ALL SELECT proj_id, succ_id, pred_id, 2, -lag_hr_cnt FROM link_now WHERE lag_hr_cnt < 0 UNION ALL SELECT proj_id, succ_id, pred_id, 3, lag_hr_cnt FROM link_now WHERE lag_hr_cnt > 0
+    UNION ALL SELECT proj_id, task_id, NULL, 5, 0 FROM flagged WHERE hard UNION ALL SELECT proj_id, task_id, NULL, 6, tf FROM flagged WHERE hf UNION ALL SELECT proj_id, task_id, NULL, 7, -tf FROM flagged WHERE nf
+    UNION ALL SELECT proj_id, task_id, NULL, 8, dur FROM flagged WHERE hd UNION ALL SELECT proj_id, task_id, NULL, 9, 0 FROM flagged WHERE invalid),
+  o AS (SELECT c.*, row_number() OVER (PARTITION BY c.proj_id, c.check_no ORDER BY badness DESC, task_id NULLS FIRST, pred_id NULLS FIRST) AS place FROM c JOIN checks k ON k.proj_id = c.proj_id AND k.check_no = c.check_no AND k.state = 'fail')
+SELECT proj_id, task_id, pred_id, check_no, CAST(badness AS DOUBLE) AS badness, CAST(place AS INTEGER) AS place FROM o WHERE place <= 50""",
+    "j11_project_calendars": f"""WITH {TASKS_SQL}, {CAL_SQL} SELECT proj_id, named AS clndr_id, CASE WHEN c IS NULL THEN 'unavailable' ELSE 'ok' END AS state,
+  CASE WHEN NOT has_row THEN 'the project has no row' WHEN named IS NULL THEN 'the project names no calendar' WHEN c IS NULL THEN 'the named calendar is not there' END AS reason, h AS hours_per_day, source AS hours_source FROM hpd""",
+    "c11_project_working_days": f"""WITH {TASKS_SQL}, {CAL_SQL}, x AS (SELECT c, to_days(CAST(d[1] AS INTEGER)) + DATE '1899-12-30' AS on_day, d[2] = '(' AS works FROM (SELECT c, unnest([[regexp_extract(y, 'd\\|([0-9]+)', 1), substr(regexp_extract(y, 'd\\|[0-9]+\\)\\((.)', 1), 1, 1)]
+      FOR y IN regexp_extract_all(regexp_extract(clndr_data, 'Exceptions\\(\\)\\((.*)', 1), 'd\\|[0-9]+\\)\\(.')]) AS d FROM cal_now)),
+  w AS (SELECT t.proj_id, min({_START}) AS a, max({_FINISH}) AS b, {_pct("count_if(trim(clndr_id) = named)", "count(*)")} AS share FROM task_now t JOIN hpd z ON z.proj_id = t.proj_id GROUP BY 1),
+  g AS (SELECT w.proj_id, z.c, CAST(unnest(range(a, b + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM w JOIN hpd z ON z.proj_id = w.proj_id WHERE z.c IS NOT NULL),
+  k AS (SELECT g.proj_id, count_if(coalesce(e.works, h.h > 0)) AS n FROM g JOIN cal_hours h ON h.c = g.c AND h.day = dayofweek(g.day) + 1 LEFT JOIN (SELECT c, on_day, bool_or(works) AS works FROM x GROUP BY 1, 2) e ON e.c = g.c AND e.on_day = g.day GROUP BY 1)
+SELECT z.proj_id, CASE WHEN c IS NULL THEN 'unavailable' ELSE 'ok' END AS state, named AS clndr_id, z.n AS working_days_per_week, k.n AS days, CASE WHEN c IS NOT NULL THEN share END AS activity_share_pct FROM hpd z JOIN w ON w.proj_id = z.proj_id LEFT JOIN k ON k.proj_id = z.proj_id""",
     "u2_open_ends": f"WITH {_FLAGGED_SQL} SELECT proj_id, task_id, CASE WHEN no_pred AND no_succ THEN 'both' WHEN no_pred THEN 'start' ELSE 'finish' END AS open_end FROM flagged WHERE no_pred OR no_succ",
     "j14_driving_links": f"WITH {_DRIVERS_SQL} SELECT * FROM driving",
     "g6_seeds": f"WITH {_DRIVERS_SQL}, {_SEEDS_SQL} SELECT proj_id, task_id FROM seed",
