@@ -4,8 +4,8 @@ Components are found by pointer doubling over the parent links: every node jumps
 ancestor twice as far each round, so a chain of length n takes log2(n) joins. Components of
 up to ``local_limit`` nodes are then co-located and walked by an iterative depth-first
 search with node colours, which yields pre-order spans, paths and back edges. A larger
-component is never put into one task: its roots, depths and loops are those the doubling
-already found, and its paths are doubled the same way.
+component is never put into one task: the same columns come from doubling (sizes of subtrees
+summed upward, places among siblings summed downward).
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from schedlake.session import cut
 LOCAL_LIMIT = 200_000
 #: Nodes a co-located bucket of small components aims at.
 BUCKET_NODES = 50_000
+#: Steps of paths handed on in one frame.
+FRAME_STEPS = 1_000_000
 
 
 def component_roots(nodes: DataFrame, rank: Column | None = None) -> DataFrame:
@@ -101,10 +103,10 @@ def _loops(open_: DataFrame, left: int) -> DataFrame:
 _WALK = "id string, parent string, root string, depth bigint, on_loop boolean, back_edge boolean, path array<string>, enter bigint, leave bigint"
 
 
-def _walk(frame: pd.DataFrame, paths: bool) -> pd.DataFrame:
+def _walk(frame: pd.DataFrame, paths: bool) -> Iterator[pd.DataFrame]:
     """Depth-first search with colours over whole components, in one pass over the frame.
 
-    Paths are built only where wanted: those of a deep tree outgrow it by far.
+    Paths of a deep tree outgrow it by far, so they are built as they are handed on, a bounded number of steps at a time.
     """
     ids = frame["id"].tolist()
     parent = dict(zip(ids, frame["parent"].tolist(), strict=True))
@@ -118,7 +120,6 @@ def _walk(frame: pd.DataFrame, paths: bool) -> pd.DataFrame:
     white, grey, black = 0, 1, 2
     colour = dict.fromkeys(ids, white)
     depth: dict[str, int] = {}
-    path: dict[str, list[str]] = {}
     enter: dict[str, int] = {}
     leave: dict[str, int] = {}
     back: set[str] = set()
@@ -128,8 +129,6 @@ def _walk(frame: pd.DataFrame, paths: bool) -> pd.DataFrame:
         if roots[start] != last_root:
             clock, last_root = 0, roots[start]
         colour[start], depth[start], enter[start] = grey, 0, clock
-        if paths:
-            path[start] = [start]
         clock += 1
         stack = [(start, iter(kids.get(start, ())))]
         while stack:
@@ -140,8 +139,6 @@ def _walk(frame: pd.DataFrame, paths: bool) -> pd.DataFrame:
                 stack.pop()
             elif colour[child] == white:
                 colour[child], depth[child], enter[child] = grey, depth[node] + 1, clock
-                if paths:
-                    path[child] = [*path[node], child]
                 clock += 1
                 stack.append((child, iter(kids.get(child, ()))))
             elif colour[child] == grey:
@@ -155,11 +152,22 @@ def _walk(frame: pd.DataFrame, paths: bool) -> pd.DataFrame:
             node = parent[node]
         loop.add(foot)
     looping = {roots[f] for f in back}
-    out = []
+    columns = [x.split()[0] for x in _WALK.split(", ")]
+    out, steps = [], 0
     for i in ids:
         bad = roots[i] in looping
-        out.append((i, parent[i], roots[i], -1 if bad else depth[i], i in loop, i in back, None if bad else path.get(i), enter[i], leave[i]))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in _WALK.split(", ")])
+        path = None
+        if paths and not bad:
+            path = [i]
+            while path[-1] != roots[i]:
+                path.append(parent[path[-1]])
+            path.reverse()
+            steps += len(path)
+        out.append((i, parent[i], roots[i], -1 if bad else depth[i], i in loop, i in back, path, enter[i], leave[i]))
+        if steps > FRAME_STEPS:
+            yield pd.DataFrame(out, columns=columns)
+            out, steps = [], 0
+    yield pd.DataFrame(out, columns=columns)
 
 
 def _walk_buckets(frames: Iterator[pd.DataFrame], paths: bool) -> Iterator[pd.DataFrame]:
@@ -176,11 +184,11 @@ def _walk_buckets(frames: Iterator[pd.DataFrame], paths: bool) -> Iterator[pd.Da
         last = whole["root"].iloc[-1]
         ready = whole[whole["root"] != last]
         if len(ready):
-            yield _walk(ready, paths)
+            yield from _walk(ready, paths)
         held = [whole[whole["root"] == last]]
         size = len(held[0])
     if size:
-        yield _walk(pd.concat(held, ignore_index=True), paths)
+        yield from _walk(pd.concat(held, ignore_index=True), paths)
 
 
 def _double_paths(giant: DataFrame) -> DataFrame:
@@ -200,13 +208,51 @@ def _double_paths(giant: DataFrame) -> DataFrame:
     return state.select("id", F.col("tail").alias("path"))
 
 
+def _sums_below(nodes: DataFrame) -> DataFrame:
+    """``(id, parent, value, below)`` of ``nodes(id, parent, value)``, a forest: the sum of value over each node's subtree, itself included.
+
+    After k rounds a node holds the sum of all less than 2^k links below it, and hands it to
+    the ancestor 2^k links above.
+    """
+    state = cut(nodes.select("id", "parent", "value", F.col("parent").alias("ptr"), F.col("value").alias("below")))
+    while state.where("ptr IS NOT NULL").limit(1).count():
+        given = state.where("ptr IS NOT NULL").groupBy(F.col("ptr").alias("g_id")).agg(F.sum("below").alias("more"))
+        ahead = state.select(F.col("id").alias("a_id"), F.col("ptr").alias("a_ptr"))
+        moved = lookup(state, "ptr", ahead, "a_id").join(given, F.col("id") == F.col("g_id"), "left")
+        state = cut(moved.select("id", "parent", "value", F.col("a_ptr").alias("ptr"), (F.col("below") + F.coalesce("more", F.lit(0))).alias("below")))
+    return state.drop("ptr")
+
+
+def _double_spans(giant: DataFrame) -> DataFrame:
+    """``(id, enter, leave)`` of giant components, siblings in id order, each loop cut at its smallest node's link."""
+    forest = giant.select("id", F.when(F.col("id") != F.col("root"), F.col("parent")).alias("parent"), F.lit(1).cast("bigint").alias("value"))
+    sizes = _sums_below(forest).select("id", "parent", F.col("below").alias("size"))
+    earlier = Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.when(F.col("parent").isNull(), 0).otherwise(F.coalesce(F.sum("size").over(earlier), F.lit(0)) + 1)
+    state = cut(sizes.where("parent IS NOT NULL").withColumn("enter", place).unionByName(sizes.where("parent IS NULL").withColumn("enter", F.lit(0).cast("bigint"))).withColumn("ptr", F.col("parent")))
+    while state.where("ptr IS NOT NULL").limit(1).count():
+        ahead = state.select(F.col("id").alias("a_id"), F.col("ptr").alias("a_ptr"), F.col("enter").alias("a_enter"))
+        moved = lookup(state, "ptr", ahead, "a_id")
+        state = cut(moved.select("id", "parent", "size", (F.col("enter") + F.coalesce("a_enter", F.lit(0))).alias("enter"), F.col("a_ptr").alias("ptr")))
+    return state.select(F.col("id").alias("s_id"), "enter", (F.col("enter") + F.col("size")).alias("leave"))
+
+
+def subtree_sums(resolved: DataFrame, values: DataFrame) -> DataFrame:
+    """``(id, own, total)`` of ``resolved(id, parent, depth)`` with ``values(v_id, v)``: each node's own value and that of its whole subtree.
+
+    Nodes on or below a loop, which have no depth, count their own value alone. Parents that are not there end a chain.
+    """
+    own = resolved.join(values, F.col("id") == F.col("v_id"), "left").select("id", F.when(F.col("depth") > 0, F.col("parent")).alias("parent"), F.coalesce("v", F.lit(0)).cast("bigint").alias("value"))
+    return _sums_below(own).select("id", F.col("value").alias("own"), F.col("below").alias("total"))
+
+
 def resolve(nodes: DataFrame, rank: Column | None = None, local_limit: int = LOCAL_LIMIT, paths: bool = True) -> DataFrame:
     """Full hierarchy of ``nodes(id string, parent string)``, one row a node.
 
     Columns: id, parent, root, depth, on_loop, back_edge (its link closes a loop in the walk),
     path (root to node, null below or on a loop, and everywhere without ``paths``), enter and leave (pre-order span within the
     root's component: b is a descendant of a iff both share a root and
-    a.enter <= b.enter < a.leave; null in giant components), giant. Rows with a null id are
+    a.enter <= b.enter < a.leave; a loop is entered at its smallest node), giant. Rows with a null id are
     left out; of repeated ids the caller keeps one. An empty table gives an empty result. A
     node naming itself as parent is a loop of one.
     """
@@ -222,9 +268,10 @@ def resolve(nodes: DataFrame, rank: Column | None = None, local_limit: int = LOC
         return walked
     big = marked.where("g_root IS NOT NULL")
     chains = _double_paths(big.where("depth >= 0")) if paths else big.select("id", F.lit(None).cast("array<string>").alias("path"))
-    wide = big.join(chains, "id", "left").select(
+    spans = _double_spans(big)
+    wide = big.join(chains, "id", "left").join(spans, F.col("id") == F.col("s_id")).select(
         "id", "parent", "root", "depth", "on_loop", (F.col("on_loop") & (F.col("id") == F.col("root"))).alias("back_edge"), "path",
-        F.lit(None).cast("bigint").alias("enter"), F.lit(None).cast("bigint").alias("leave"), F.lit(True).alias("giant"),
+        "enter", "leave", F.lit(True).alias("giant"),
     )
     return walked.unionByName(wide)
 
@@ -245,32 +292,28 @@ def latest_rows(df: DataFrame, key: str, stamp: str, *ties: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
 
 
-def tree_findings(
-    nodes: DataFrame, tree: str, numeric: bool = False, excused: Column | None = None, stored_root: bool = False
-) -> DataFrame:
-    """``(tree_name, node_id, root_id, depth, finding)`` of ``nodes(id, parent, ...)``.
+def tree_facts(nodes: DataFrame, numeric: list[str]) -> DataFrame:
+    """``(tree_name, node_id, root_id, depth, finding)`` of several trees at once, ``nodes(tree_name, id, parent, excused, stored_root)``.
 
     First finding that holds: cycle, below_cycle, dangling (own parent named, not in the table,
-    not ``excused``), wrong_root (``stored_root``: column stored_root differs from the root
-    found, null included), ok. ``numeric`` orders ids as numbers.
+    not ``excused``), wrong_root (``stored_root``, a struct where the tree has stored roots,
+    differs from the root found, null included), ok. Ids of the trees in ``numeric`` are
+    ordered as numbers. One walk serves all trees: a node's key is its tree and id.
     """
-    rank = F.col("id").try_cast("bigint") if numeric else None
-    done = resolve(nodes, rank, paths=False).select("id", "root", "depth", "on_loop")
+    key = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("\t", "tree_name", F.col(c).cast("string")))
+    given = nodes.where("id IS NOT NULL").select(key("id").alias("id"), key("parent").alias("parent"))
+    tail = F.expr("substring(id, instr(id, '\t') + 1)")
+    rank = F.when(F.substring_index("id", "\t", 1).isin(numeric), tail.try_cast("bigint"))
+    done = resolve(given, rank, paths=False).select("id", "root", "depth", "on_loop")
     facts = nodes.select(
-        F.col("id").cast("string").alias("n_id"),
-        F.col("parent").cast("string").alias("n_parent"),
-        (F.lit(False) if excused is None else F.coalesce(excused, F.lit(False))).alias("excused"),
-        (F.col("stored_root") if stored_root else F.lit(None).cast("string")).alias("stored"),
+        "tree_name", key("id").alias("n_id"), F.col("id").cast("string").alias("node_id"), F.col("parent").isNotNull().alias("named"), F.coalesce("excused", F.lit(False)).alias("excused"), "stored_root"
     )
-    wrong = ~F.col("stored").eqNullSafe(F.col("root")) if stored_root else F.lit(False)
+    root = F.expr("substring(root, instr(root, '\t') + 1)")
     finding = (
         F.when(F.col("on_loop"), "cycle")
         .when(F.col("depth") < 0, "below_cycle")
-        .when((F.col("depth") == 0) & F.col("n_parent").isNotNull() & ~F.col("excused"), "dangling")
-        .when(wrong, "wrong_root")
+        .when((F.col("depth") == 0) & F.col("named") & ~F.col("excused"), "dangling")
+        .when(F.col("stored_root").isNotNull() & ~F.col("stored_root.id").eqNullSafe(root), "wrong_root")
         .otherwise("ok")
     )
-    return facts.join(done, F.col("n_id") == F.col("id")).select(
-        F.lit(tree).alias("tree_name"), F.col("n_id").alias("node_id"), F.col("root").alias("root_id"),
-        F.col("depth").cast("int").alias("depth"), finding.alias("finding"),
-    )
+    return facts.join(done, F.col("n_id") == F.col("id")).select("tree_name", "node_id", root.alias("root_id"), F.col("depth").cast("int").alias("depth"), finding.alias("finding"))

@@ -133,8 +133,12 @@ def programme_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every node of both trees with root, depth and what is wrong with its links."""
-    wbs = hierarchy.tree_findings(wbs_nodes(spark, folder), "projwbs", numeric=True, excused=F.col("proj_node_flag") == "Y")
-    return wbs.unionByName(hierarchy.tree_findings(programme_nodes(spark, folder), "programme", stored_root=True))
+    wbs, prog = wbs_nodes(spark, folder), programme_nodes(spark, folder)
+    none = F.lit(None).cast("struct<id:string>")
+    both = wbs.select(F.lit("projwbs").alias("tree_name"), "id", "parent", (F.col("proj_node_flag") == "Y").alias("excused"), none.alias("stored_root")).unionByName(
+        prog.select(F.lit("programme").alias("tree_name"), "id", "parent", F.lit(False).alias("excused"), F.struct(F.col("stored_root").alias("id")).alias("stored_root"))
+    )
+    return hierarchy.tree_facts(both, ["projwbs"])
 
 
 def _resolved(spark: SparkSession, folder: str) -> DataFrame:

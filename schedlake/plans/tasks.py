@@ -257,11 +257,9 @@ def g15_subtree_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tasks in each WBS node's own row and whole subtree; nodes on or below loops only their own."""
     rows = hierarchy.latest_rows(table(spark, folder, "projwbs"), "wbs_id", "loaded_at")
     nodes = rows.select(F.col("wbs_id").cast("string").alias("id"), F.col("parent_wbs_id").cast("string").alias("parent"))
-    done = hierarchy.resolve(nodes, F.col("id").try_cast("bigint"))
-    own = tasks_now(spark, folder).where("wbs_id IS NOT NULL").groupBy(F.col("wbs_id").cast("string").alias("w")).agg(F.count("*").alias("n"))
-    counted = done.join(own, F.col("id") == F.col("w"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n_own"), "path")
-    above = counted.select(F.explode(F.coalesce("path", F.array("id"))).alias("a"), "n_own").groupBy("a").agg(F.sum("n_own").alias("n_subtree"))
-    return counted.join(above, F.col("id") == F.col("a")).select(F.col("id").cast("bigint").alias("wbs_id"), "n_own", "n_subtree")
+    done = hierarchy.component_roots(nodes, F.col("id").try_cast("bigint"))
+    own = tasks_now(spark, folder).where("wbs_id IS NOT NULL").groupBy(F.col("wbs_id").cast("string").alias("v_id")).agg(F.count("*").alias("v"))
+    return hierarchy.subtree_sums(done, own).select(F.col("id").cast("bigint").alias("wbs_id"), F.col("own").alias("n_own"), F.col("total").alias("n_subtree"))
 
 
 # ---------------------------------------------------------------- calendars

@@ -29,13 +29,27 @@ def resolved(spark, parent, **kw):
     return {r["id"]: (r["root"], r["depth"], r["on_loop"], tuple(r["path"]) if r["path"] else None) for r in hierarchy.resolve(df, **kw).collect()}
 
 
-def test_both_walks_match_brute_force(spark):
+def test_both_walks_match_brute_force(spark, monkeypatch):
     rnd = random.Random(5)
-    parent = {f"n{i:03d}": rnd.choice([None, "gone", *(f"n{rnd.randrange(120):03d}" for _ in range(12))]) for i in range(120)}
-    parent |= {f"c{i:03d}": f"c{i - 1:03d}" if i else None for i in range(70)} | {"self": "self"}
+    parent = {f"n{i:03d}": rnd.choice([None, "gone", *(f"n{rnd.randrange(60):03d}" for _ in range(12))]) for i in range(60)}
+    parent |= {f"c{i:03d}": f"c{i - 1:03d}" if i else None for i in range(17)} | {"self": "self"}
     want = brute(parent)
+    monkeypatch.setattr(hierarchy, "FRAME_STEPS", 40)
     assert resolved(spark, parent) == want
-    assert resolved(spark, parent, local_limit=5) == want
+    # Spans and back edges too are the same, however large a component one task may hold.
+    df = spark.createDataFrame(list(parent.items()), "id string, parent string")
+    rows = [sorted(map(str, hierarchy.resolve(df, local_limit=n).drop("giant").collect())) for n in (10**6, 5)]
+    assert rows[0] == rows[1]
+
+
+def test_subtree_sums(spark):
+    rnd = random.Random(7)
+    parent = {f"n{i:02d}": rnd.choice([None, "gone", *(f"n{rnd.randrange(max(i, 1)):02d}" for _ in range(6))]) for i in range(1, 60)} | {"n00": None, "x": "y", "y": "x", "z": "x"}
+    done = hierarchy.component_roots(spark.createDataFrame(list(parent.items()), "id string, parent string"))
+    got = {r["id"]: (r["own"], r["total"]) for r in hierarchy.subtree_sums(done, spark.createDataFrame([(i, 1 + k) for k, i in enumerate(parent) if k % 3], "v_id string, v int")).collect()}
+    own = {i: 1 + k if k % 3 else 0 for k, i in enumerate(parent)}
+    paths = {i: p for i, (_, _, _, p) in brute(parent).items()}
+    assert got == {i: (own[i], sum(own[j] for j, p in paths.items() if p and i in p) if paths[i] else own[i]) for i in parent}
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -57,14 +71,13 @@ def test_spans_are_descendants(spark):
 
 def test_findings_and_edges(spark):
     rows = [("1", None, None), ("2", "1", "1"), ("10", "2", "9"), ("3", "4", "3"), ("4", "3", "3"), ("5", "3", None), ("6", "77", "6"), (None, "1", None)]
-    nodes = spark.createDataFrame(rows, "id string, parent string, stored_root string")
-    got = {r["node_id"]: (r["root_id"], r["depth"], r["finding"]) for r in hierarchy.tree_findings(nodes, "t", numeric=True, stored_root=True).collect()}
+    facts = [("t", i, p, False, (r,)) for i, p, r in rows] + [("n", i, p, e, None) for i, p, e in (("9", "10", None), ("10", "9", None), ("6", "77", True), ("2", None, None))]
+    nodes = spark.createDataFrame(facts, "tree_name string, id string, parent string, excused boolean, stored_root struct<id:string>")
+    got = {(r["tree_name"], r["node_id"]): (r["root_id"], r["depth"], r["finding"]) for r in hierarchy.tree_facts(nodes, ["n", "t"]).collect()}
     assert got == {
-        "1": ("1", 0, "wrong_root"), "2": ("1", 1, "ok"), "10": ("1", 2, "wrong_root"), "3": ("3", -1, "cycle"), "4": ("3", -1, "cycle"),
-        "5": ("3", -1, "below_cycle"), "6": ("6", 0, "dangling"),
+        ("t", "1"): ("1", 0, "wrong_root"), ("t", "2"): ("1", 1, "ok"), ("t", "10"): ("1", 2, "wrong_root"), ("t", "3"): ("3", -1, "cycle"), ("t", "4"): ("3", -1, "cycle"),
+        ("t", "5"): ("3", -1, "below_cycle"), ("t", "6"): ("6", 0, "dangling"), ("n", "9"): ("9", -1, "cycle"), ("n", "10"): ("9", -1, "cycle"), ("n", "6"): ("6", 0, "ok"), ("n", "2"): ("2", 0, "ok"),
     }
-    numbers = spark.createDataFrame([("9", "10"), ("10", "9")], "id string, parent string")
-    assert {r["root_id"] for r in hierarchy.tree_findings(numbers, "t", numeric=True).collect()} == {"9"}
     assert hierarchy.resolve(spark.createDataFrame([], "id string, parent string")).count() == 0
 
 
