@@ -63,3 +63,25 @@ def nice_step(top: Column, ticks: int = 5) -> Column:
     power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
     unit = raw / power
     return F.when(top > 0, F.when(unit <= 1, 1).when(unit <= 2, 2).when(unit <= 5, 5).otherwise(10) * power).otherwise(1.0)
+
+
+def percent_text(share: Column) -> Column:
+    """A percentage with one place where it has one."""
+    whole = share == F.floor(share)
+    return F.when(whole, F.concat(share.cast("bigint").cast("string"), F.lit("%"))).when(share.isNotNull(), F.format_string("%.1f%%", F.floor(share * 10 + 0.5) / 10))
+
+
+def plural(n: Column, one: str, many: str) -> Column:
+    """A count with its noun."""
+    return F.concat_ws(" ", format_count(n), F.when(n == 1, one).otherwise(many))
+
+
+def clamp_pct(share: Column) -> Column:
+    """A percentage held within 0 and 100."""
+    return F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0))
+
+
+def interpolate(value: Column, low: float, high: float, start: float, end: float) -> Column:
+    """Where a value lies between two marks, as a place between two others; held at the ends."""
+    share = F.least(F.greatest((value - low) / F.lit(float(high - low)), F.lit(0.0)), F.lit(1.0))
+    return F.lit(float(start)) + F.lit(float(end - start)) * share

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from schedlake.functions.dates import minute_number
+from schedlake.functions.dates import minute_number, real_day
 from schedlake.session import cut
 
 #: Links of a group that one task may hold at once, and rows of small groups in a slot.
@@ -144,6 +144,40 @@ def walk(tasks: DataFrame, links: DataFrame, key: str, local_limit: int = LOCAL_
     return small.unionByName(wide)
 
 
+def path_details(tasks: DataFrame, links: DataFrame, members: DataFrame, data_minutes: DataFrame, key: str) -> DataFrame:
+    """One row a group of tasks about its driving path: how it branches and ends, and whether it is whole.
+
+    n_branches members have several drivers, n_tails none. A tail is grounded if it is active,
+    starts by the data date of its group (``data_minutes(key, minutes)``) or has a complete
+    predecessor. truncated: a member's link names a predecessor that is not there. A path is
+    continuous without loops, truncation and ungrounded tails. Groups without members have
+    zeros and no days.
+    """
+    drivers = driving_links(tasks, links).groupBy(F.col("succ_id").alias("d_id")).agg(F.count_distinct("pred_id").alias("n_drivers"))
+    status = tasks.select(F.col("task_id").alias("p_id"), F.col("status_code").alias("p_status"))
+    ends = links.where("succ_id IS NOT NULL AND pred_id IS NOT NULL").join(status, F.col("pred_id") == F.col("p_id"), "left")
+    ends = ends.groupBy(F.col("succ_id").alias("e_id")).agg(F.bool_or(F.col("p_id").isNull()).alias("open_link"), F.coalesce(F.bool_or(F.col("p_status") == "TK_Complete"), F.lit(False)).alias("after_complete"))
+    side = tasks.select(F.col("task_id").alias("t_id"), F.col(key).alias("t_key"), "status_code", minute_number(F.col("early_start_date")).alias("es"))
+    data = data_minutes.select(F.col(key).alias("dd_key"), "minutes")
+    m = members.select(key, "task_id", "back_links").join(side, F.col("task_id") == F.col("t_id")).join(data, F.col("t_key") == F.col("dd_key"), "left")
+    m = m.join(drivers, F.col("task_id") == F.col("d_id"), "left").join(ends, F.col("task_id") == F.col("e_id"), "left")
+    # A member of another group's task ends this group's path: its links belong to its own group.
+    n = F.when(F.col("t_key") == F.col(key), F.coalesce("n_drivers", F.lit(0))).otherwise(0)
+    grounded = (F.coalesce("status_code", F.lit("")) == "TK_Active") | F.coalesce(F.col("es") <= F.col("minutes"), F.lit(False)) | F.coalesce("after_complete", F.lit(False))
+    walk = m.groupBy(F.col(key).alias("w_key")).agg(
+        F.count("*").alias("n_members"), F.count_if(n > 1).alias("n_branches"), F.count_if(n == 0).alias("n_tails"), F.count_if((n == 0) & ~grounded).alias("n_ungrounded"),
+        F.bool_or(F.coalesce("open_link", F.lit(False))).alias("truncated"), (F.sum("back_links") > 0).alias("has_loop"),
+    )
+    inside = members.select(F.col(key).alias("m_key"), F.col("task_id").alias("m_id"))
+    flagged, member = F.upper(F.trim("driving_path_flag")) == "Y", F.col("m_id").isNotNull()
+    own = tasks.where(F.col(key).isNotNull()).join(inside, (F.col("task_id") == F.col("m_id")) & (F.col(key) == F.col("m_key")), "left").groupBy(key).agg(
+        F.count_if(flagged).alias("n_flagged"), F.count_if(flagged & member).alias("n_agreed"), F.count_if(flagged & (F.col("status_code") != "TK_Complete")).alias("n_flagged_remaining"),
+        (F.datediff(F.max(F.when(member, real_day(F.col("early_end_date")))), F.min(F.when(member, real_day(F.col("early_start_date"))))) + 1).alias("calendar_days"),
+    )
+    out = own.join(walk, F.col(key) == F.col("w_key"), "left").drop("w_key").na.fill(0, ["n_members", "n_branches", "n_tails", "n_ungrounded"]).na.fill(False, ["truncated", "has_loop"])
+    return out.withColumn("path_continuous", ~F.col("has_loop") & ~F.col("truncated") & (F.col("n_ungrounded") == 0) & (F.col("n_members") > 0))
+
+
 def path_summary(tasks: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """One row a group of tasks: state, members, loops, span and share of the remaining work.
 

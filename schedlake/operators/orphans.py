@@ -127,19 +127,19 @@ def _below_within(links: DataFrame, bad: DataFrame) -> DataFrame:
     A record's level is the least over its ancestors, one more for each link. After k rounds a
     record knows its ancestors up to 2^k links away, and where to look on.
     """
-    start = links.select(F.col("record_key").alias("id"), F.col("fk").alias("ptr"), "field_name").join(
-        bad.select(F.col("record_key").alias("b_key"), F.col("level").alias("own"), F.col("field_name").alias("own_field")), F.col("id") == F.col("b_key"), "full"
-    )
-    state = cut(start.select(F.coalesce("id", "b_key").alias("id"), "ptr", F.lit(1).cast("bigint").alias("step"), "field_name", F.col("own").cast("bigint").alias("own"), "own_field", F.col("own").cast("bigint").alias("best")))
+    own = bad.select(F.col("record_key").alias("b_key"), F.col("level").cast("bigint").alias("own"), F.col("field_name").alias("own_field"))
+    start = links.select(F.col("record_key").alias("id"), F.col("fk").alias("ptr"), "field_name").join(own, F.col("id") == F.col("b_key"), "full")
+    none = F.lit(None).cast("bigint")
+    state = cut(start.select(F.coalesce("id", "b_key").alias("id"), "ptr", F.lit(1).cast("bigint").alias("step"), "field_name", "own", "own_field", none.alias("via")))
     n, reach = state.count(), 1
     while reach <= n and state.where("ptr IS NOT NULL").limit(1).count():
-        ahead = state.select(F.col("id").alias("a_id"), F.col("ptr").alias("a_ptr"), F.col("best").alias("a_best"))
-        moved = lookup(state, "ptr", ahead, "a_id").withColumn("best", F.least("best", F.col("a_best") + F.col("step")))
-        state = cut(moved.select("id", F.col("a_ptr").alias("ptr"), (F.col("step") * 2).alias("step"), "field_name", "own", "own_field", "best"))
+        ahead = state.select(F.col("id").alias("a_id"), F.col("ptr").alias("a_ptr"), F.least("own", "via").alias("a_best"))
+        moved = lookup(state, "ptr", ahead, "a_id").withColumn("via", F.least("via", F.col("a_best") + F.col("step")))
+        state = cut(moved.select("id", F.col("a_ptr").alias("ptr"), (F.col("step") * 2).alias("step"), "field_name", "own", "own_field", "via"))
         reach *= 2
-    hit = state.where("best IS NOT NULL")
-    own = F.col("own").isNotNull() & (F.col("own") <= F.col("best"))
-    return hit.select(F.col("id").alias("record_key"), F.col("best").cast("int").alias("level"), F.when(own, F.col("own_field")).otherwise(F.col("field_name")).alias("field_name"))
+    best = F.least("own", "via")
+    fields = F.least(F.when(F.col("own") == best, F.col("own_field")), F.when(F.col("via") == best, F.col("field_name")))
+    return state.where(best.isNotNull()).select(F.col("id").alias("record_key"), best.cast("int").alias("level"), fields.alias("field_name"))
 
 
 class Cascade:

@@ -196,7 +196,63 @@ _INSTANT = "[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]"
 _FIELD = '("[^"]*("{2}[^"]*)*"|[^",][^,]*|)'
 _COUNTS = (3, 8, 9, 10, 13)
 
+_KIND = f"""CASE WHEN v = '' THEN NULL WHEN regexp_full_match(v, '{_NUMBER}') THEN 'number' WHEN v IN ('Y', 'N') THEN 'flag'
+      WHEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} ([01][0-9]|2[0-3]):[0-5][0-9]') AND left(v, 4) <> '0000' AND try_cast(left(v, 10) AS DATE) IS NOT NULL THEN 'stamp' ELSE 'text' END"""
+_STEP_NO = "CASE kind WHEN 'renamed' THEN 1 WHEN 'added' THEN 2 WHEN 'removed' THEN 3 ELSE 4 END"
+_DRIFT_SQL = f"""WITH x AS (SELECT file_id, table_name, fields, cells FROM (SELECT *, row_number() OVER (PARTITION BY file_id, table_name ORDER BY seq_no) AS rn FROM xer_table) WHERE rn = 1),
+  e AS (SELECT r.programme_id, r.rev_no, x.*, lag(x.file_id) OVER (PARTITION BY r.programme_id, table_name ORDER BY r.rev_no, x.file_id) AS old_file,
+      CASE table_name WHEN 'PROJECT' THEN 'proj_id' WHEN 'PROJWBS' THEN 'wbs_id' WHEN 'TASK' THEN 'task_id' WHEN 'TASKPRED' THEN 'task_pred_id' END AS k FROM x JOIN revision r ON r.file_id = x.file_id WHERE r.programme_id IS NOT NULL),
+  f AS (SELECT file_id, table_name, lower(trim(fields[i])) AS name, min(i) AS i FROM e, (SELECT unnest(range(1, 200)) AS i) WHERE i <= len(fields) GROUP BY 1, 2, 3),
+  c AS (SELECT file_id, table_name, unnest(cells) AS a, generate_subscripts(cells, 1) AS pos FROM e),
+  v AS (SELECT c.file_id, c.table_name, f.name, c.pos, trim(coalesce(c.a[f.i], ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS v FROM c JOIN f ON f.file_id = c.file_id AND f.table_name = c.table_name),
+  w AS (SELECT *, {_KIND} AS kind, CASE WHEN v = '' THEN NULL WHEN regexp_full_match(v, '{_NUMBER}') THEN CAST(CAST(v AS DOUBLE) AS VARCHAR) ELSE v END AS said FROM v),
+  n AS (SELECT file_id, table_name, name, kind, count(*) AS n FROM w WHERE kind IS NOT NULL GROUP BY 1, 2, 3, 4),
+  t AS (SELECT file_id, table_name, name, arg_max(kind, (n, CASE kind WHEN 'number' THEN 4 WHEN 'stamp' THEN 3 WHEN 'flag' THEN 2 ELSE 1 END)) AS kind, sum(n) AS n FROM n GROUP BY 1, 2, 3),
+  plus AS (SELECT e.file_id, e.table_name, e.old_file, e.k, f.name FROM e JOIN f ON f.file_id = e.file_id AND f.table_name = e.table_name WHERE old_file IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f g WHERE g.file_id = e.old_file AND g.table_name = e.table_name AND g.name = f.name)),
+  minus AS (SELECT e.file_id, e.table_name, e.old_file, f.name FROM e JOIN f ON f.file_id = e.old_file AND f.table_name = e.table_name WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.file_id = e.file_id AND g.table_name = e.table_name AND g.name = f.name)),
+  keyed AS (SELECT e.file_id, e.table_name, e.old_file, EXISTS (SELECT 1 FROM f WHERE f.file_id = e.file_id AND f.table_name = e.table_name AND name = k) AND EXISTS (SELECT 1 FROM f WHERE f.file_id = e.old_file AND f.table_name = e.table_name AND name = k) AS by_key, k FROM e WHERE old_file IS NOT NULL),
+  rk AS (SELECT q.file_id, q.table_name, q.side, q.src, c.pos, CASE WHEN by_key THEN coalesce((SELECT said FROM w WHERE w.file_id = q.src AND w.table_name = q.table_name AND w.pos = c.pos AND w.name = q.k), '') ELSE CAST(c.pos AS VARCHAR) END AS row_key
+    FROM (SELECT *, file_id AS src, 'new' AS side FROM keyed UNION ALL SELECT *, old_file, 'old' FROM keyed) q JOIN c ON c.file_id = q.src AND c.table_name = q.table_name),
+  one AS (SELECT file_id, table_name, side, src, row_key, min(pos) AS pos FROM rk GROUP BY 1, 2, 3, 4, 5),
+  met AS (SELECT a.file_id, a.table_name, a.src AS new_at, a.pos AS new_pos, b.src AS old_at, b.pos AS old_pos FROM one a JOIN one b ON b.file_id = a.file_id AND b.table_name = a.table_name AND b.row_key = a.row_key AND a.side = 'new' AND b.side = 'old'),
+  score AS (SELECT m.file_id, m.table_name, o.name AS old_name, p.name AS new_name, avg(CASE WHEN x.said = y.said THEN 1.0 ELSE 0 END) AS score FROM met m JOIN plus p ON p.file_id = m.file_id AND p.table_name = m.table_name JOIN minus o ON o.file_id = m.file_id AND o.table_name = m.table_name
+    JOIN w x ON x.file_id = m.new_at AND x.table_name = m.table_name AND x.pos = m.new_pos AND x.name = p.name JOIN w y ON y.file_id = m.old_at AND y.table_name = m.table_name AND y.pos = m.old_pos AND y.name = o.name WHERE x.said IS NOT NULL OR y.said IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING score >= 0.8),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY file_id, table_name, new_name ORDER BY score DESC, levenshtein(old_name, new_name), old_name, new_name) AS by_new, row_number() OVER (PARTITION BY file_id, table_name, old_name ORDER BY score DESC, levenshtein(old_name, new_name), old_name, new_name) AS by_old FROM score),
+  ren AS (SELECT * FROM ranked WHERE by_new = 1 AND by_old = 1),
+  cases AS (SELECT file_id, table_name, 'renamed' AS kind, old_name AS field_name, new_name AS target FROM ren
+    UNION ALL SELECT file_id, table_name, 'added', name, NULL FROM plus p WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.file_id = p.file_id AND r.table_name = p.table_name AND r.new_name = p.name)
+    UNION ALL SELECT file_id, table_name, 'removed', name, NULL FROM minus p WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.file_id = p.file_id AND r.table_name = p.table_name AND r.old_name = p.name)
+    UNION ALL SELECT e.file_id, e.table_name, 'retyped', a.name, a.kind FROM e JOIN t a ON a.file_id = e.file_id AND a.table_name = e.table_name JOIN t b ON b.file_id = e.old_file AND b.table_name = e.table_name AND b.name = a.name
+      WHERE a.kind <> b.kind AND 2 * (a.n - coalesce((SELECT n FROM n WHERE n.file_id = a.file_id AND n.table_name = a.table_name AND n.name = a.name AND n.kind = b.kind), 0)) > a.n)"""
+
+
+def _edge(child: str, field: str, parent: str) -> str:
+    alive = " AND NOT g" if child in ("task", "project") else ""
+    return f"SELECT '{child}' AS ct, '{field}' AS field, k AS ck, strftime(f, '%Y-%m') AS period, '{parent}' AS pt, r.{field} AS pk, f FROM s_{child} WHERE r.{field} IS NOT NULL{alive}"
+
+
+def _state_of(name: str, source: str, key: str, at: str, gone: str, fields: list[str]) -> str:
+    refs = ", ".join(f"'{f}': nullif(trim(CAST({f} AS VARCHAR)), '')" for f in fields) or "'none': 0"
+    return f"s_{name} AS (SELECT trim(CAST({key} AS VARCHAR)) AS k, min({at}) AS f, max_by({gone}, {at}) AS g, max_by({{{refs}}}, {at}) AS r FROM {source} WHERE {key} IS NOT NULL GROUP BY 1)"
+
+
+_KEYS = {"taskpred": ("task_pred_id", "loaded_at", "false"), "task": ("task_id", "loaded_at", "deleted_at IS NOT NULL"), "projwbs": ("wbs_id", "loaded_at", "false"), "project": ("proj_id", "loaded_at", "deleted_at IS NOT NULL"),
+         "calendar": ("clndr_id", "loaded_at", "deleted_at IS NOT NULL"), "revision": ("id", "uploaded_at", "removed_at IS NOT NULL"), "programme": ("id", "created_at", "false")}
+_OWN_WBS = "(SELECT * REPLACE (CASE WHEN coalesce(proj_node_flag, '') <> 'Y' THEN parent_wbs_id END AS parent_wbs_id) FROM projwbs)"
+_CASCADE_SQL = f"""WITH RECURSIVE {", ".join(_state_of(t, _OWN_WBS if t == "projwbs" else t, *_KEYS[t], [r.field for r in GRAPH if r.child == t]) for t in _KEYS)},
+  edge AS ({" UNION ALL ".join(_edge(r.child, r.field, r.parent) for r in GRAPH)}),
+  target AS ({" UNION ALL ".join(f"SELECT '{t}' AS t, k, f, g FROM s_{t}" for t in _KEYS)}),
+  direct AS (SELECT ct, field, ck, period, CASE WHEN x.k IS NULL THEN 'missing' WHEN x.g THEN 'deleted' WHEN x.f > e.f THEN 'late' END AS reason FROM edge e LEFT JOIN target x ON x.t = e.pt AND x.k = e.pk),
+  hang AS (SELECT DISTINCT ct, ck, 0 AS level FROM direct WHERE reason IS NOT NULL UNION SELECT e.ct, e.ck, h.level + 1 FROM hang h JOIN edge e ON e.pt = h.ct AND e.pk = h.ck WHERE h.level < 900),
+  least_ AS (SELECT ct, ck, min(level) AS level FROM hang GROUP BY 1, 2),
+  rec AS (SELECT ct AS table_name, field AS field_name, period, 0 AS level, reason FROM direct WHERE reason IS NOT NULL
+    UNION ALL SELECT ct, field, period, level, 'inherited' FROM (SELECT l.ct, l.ck, l.level, min(e.field) AS field, min(e.period) AS period FROM least_ l JOIN edge e ON e.ct = l.ct AND e.ck = l.ck JOIN least_ u ON u.ct = e.pt AND u.ck = e.pk AND u.level = l.level - 1 WHERE l.level > 0 GROUP BY 1, 2, 3))"""
+
 ORACLES = {
+    "p1_found": f"{_DRIFT_SQL} SELECT file_id, table_name, kind AS change_kind, field_name FROM cases",
+    "p1_steps": f"""{_DRIFT_SQL} SELECT e.programme_id, c.table_name, e.rev_no, c.file_id, {_STEP_NO} AS step_no, CASE kind WHEN 'renamed' THEN 'rename' WHEN 'added' THEN 'default' WHEN 'removed' THEN 'drop' ELSE 'cast' END AS step, field_name, target
+FROM cases c JOIN e ON e.file_id = c.file_id AND e.table_name = c.table_name""",
+    "p4_cascade": f"{_CASCADE_SQL} SELECT table_name, field_name, period, level, reason, count(*) AS n_records FROM rec GROUP BY 1, 2, 3, 4, 5",
     "p2_found": rf"""WITH l AS (SELECT line_id, file_id, line_no, regexp_replace(coalesce(line, ''), '\r$', '') AS line FROM xer_line WHERE file_id IS NOT NULL AND line_no IS NOT NULL),
   m AS (SELECT *, split_part(line, chr(9), 1) AS head, head IN ('ERMHDR', '%T', '%F', '%R', '%E') AS mark FROM l),
   c AS (SELECT *, sum(CAST(mark AS INTEGER)) OVER w AS grp, sum(CASE WHEN head = '%T' THEN 1 ELSE 0 END) OVER w AS tab FROM m WINDOW w AS (PARTITION BY file_id ORDER BY line_no, line_id)),

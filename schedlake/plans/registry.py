@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from schedlake.plans import display, exports, problems, shelf, tasks
+from schedlake.plans import display, exports, intake, problems, shelf, tasks, views
 
-_PARTS = (problems, tasks, shelf, exports, display)
+_PARTS = (problems, tasks, shelf, exports, intake, display, views)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schedlake.functions.dates import day_number, real_day
+from schedlake.functions.dates import day_number, minute_number, real_day
 from schedlake.functions.numbers import percent
 from schedlake.operators import calendars, cpm, driving, hierarchy, quality, stats
 from schedlake.session import store
@@ -34,6 +34,12 @@ def data_days(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("proj_id", real_day(F.col("last_recalc_date")).alias("data_day")).where("data_day IS NOT NULL")
 
 
+def data_minutes(spark: SparkSession, folder: str) -> DataFrame:
+    """(proj_id, minutes) of the data date in the latest row of each project."""
+    rows = hierarchy.latest_rows(table(spark, folder, "project"), "proj_id", "loaded_at")
+    return rows.select("proj_id", minute_number(F.col("last_recalc_date")).alias("minutes")).where("minutes IS NOT NULL")
+
+
 def calendars_now(spark: SparkSession, folder: str) -> DataFrame:
     """The latest row of each calendar that is not deleted, decoded."""
     rows = hierarchy.latest_rows(table(spark, folder, "calendar"), "clndr_id", "loaded_at", "deleted_at").where("deleted_at IS NULL")

@@ -40,27 +40,48 @@ HEADER = {"version": 1, "exported_on": 2, "export_type": 3, "login": 4, "user_na
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(file_id, content, length)`` of export files; a file above the read cap is listed with null content.
+    """``(file_id, content, length, refused)`` of export files, unpacked where they are gzip.
 
-    Spark's file reader passes over files of no bytes.
+    A file that is not read has null content and the reason in ``refused``: oversize above the
+    read cap, byte_cap where it unpacks beyond the byte cap, broken_gzip where it cannot be
+    unpacked to its end. Spark's file reader passes over files of no bytes.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    small = files.where(F.col("length") <= READ_CAP).select(F.col("path").alias("file_id"), "content", "length")
+    # The size filter reaches the reader, so the content of a file above the cap is never loaded.
+    small = unpacked(files.where(F.col("length") <= READ_CAP).select(F.col("path").alias("file_id"), "content"))
     big = files.select("path", "length").where(F.col("length") > READ_CAP)
-    return small.unionByName(big.select(F.col("path").alias("file_id"), F.lit(None).cast("binary").alias("content"), "length"))
+    return small.unionByName(big.select(F.col("path").alias("file_id"), F.lit(None).cast("binary").alias("content"), "length", F.lit("oversize").alias("refused")))
 
 
-def _gunzip(data: bytes | None, cap: int) -> bytes | None:
+def _gunzip(data: bytes | None, cap: int) -> tuple[bytes | None, str | None]:
+    """The unpacked bytes of all members, or why there are none; what follows the last member must be padding."""
     if data is None or data[:2] != b"\x1f\x8b":
-        return data
-    unpack = zlib.decompressobj(wbits=31)
-    out = unpack.decompress(data, cap + 1)
-    return None if len(out) > cap else out
-
-
-def gunzip_capped(content: Column, cap: int = BYTE_CAP) -> Column:
-    """Unpacked bytes where the content is gzip, null where they would exceed the cap; other content passes."""
-    return F.pandas_udf(lambda s: pd.Series([_gunzip(None if b is None else bytes(b), cap) for b in s]), "binary")(content)
+        return data, None
+    parts, size = [], 0
+    while data[:2] == b"\x1f\x8b":
+        unpack = zlib.decompressobj(wbits=31)
+        try:
+            parts.append(unpack.decompress(data, cap + 1 - size))
+        except zlib.error:
+            return None, "broken_gzip"
+        size += len(parts[-1])
+        if size > cap:
+            return None, "byte_cap"
+        if not unpack.eof:
+            return None, "broken_gzip"
+        data = unpack.unused_data
+    return (None, "broken_gzip") if data.strip(b"\0") else (b"".join(parts), None)
+
+
+def unpacked(files: DataFrame, cap: int = BYTE_CAP) -> DataFrame:
+    """``(file_id, content, length, refused)`` of ``files(file_id, content)``: gzip unpacked up to the cap, other content as it is."""
+
+    def run(content: pd.Series) -> pd.DataFrame:
+        got = [_gunzip(None if b is None else bytes(b), cap) for b in content]
+        return pd.DataFrame({"content": pd.Series([c for c, _ in got], dtype=object), "refused": pd.Series([r for _, r in got], dtype=object)})
+
+    out = files.withColumn("u", F.pandas_udf(run, "content binary, refused string")("content"))
+    return out.select("file_id", F.col("u.content").alias("content"), F.octet_length(F.coalesce("u.content", "content")).cast("bigint").alias("length"), F.col("u.refused").alias("refused"))
 
 
 def file_lines(files: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from schedlake.operators import rejects
+from schedlake.session import store
 from schedlake.sources import exports
 
 
@@ -24,16 +25,23 @@ def export_stream(spark: SparkSession, path: str, files_per_trigger: int = 200)
 
 
 def ingest_batch(target: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer: sound rows and scan facts of new files under ``target``, one folder a batch.
+    """A batch writer: scan facts, sound rows, and what was refused, of new files under ``target``, one folder a batch.
 
-    A replayed batch overwrites its own folder, which makes the sink exactly-once.
+    ``refused`` has a row for each file that was not read (with its reason) and each row that
+    was not loaded. A replayed batch overwrites its own folder, which makes the sink
+    exactly-once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        files = batch.where(F.col("length") <= exports.READ_CAP).select(F.col("path").alias("file_id"), "content", "length")
-        exports.scan(files).write.mode("overwrite").parquet(f"{target}/scan/batch={number}")
-        records = rejects.records(exports.file_lines(files))
-        rejects.strict_load(records).write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
+        small = exports.unpacked(batch.where(F.col("length") <= exports.READ_CAP).select(F.col("path").alias("file_id"), "content"))
+        big = batch.where(F.col("length") > exports.READ_CAP).select(F.col("path").alias("file_id"), F.lit("oversize").alias("reason"))
+        put(exports.scan(small.where("refused IS NULL")), "scan")
+        records = store(rejects.records(exports.file_lines(small)))
+        put(rejects.strict_load(records), "rows")
+        none = F.lit(None).cast("string")
+        files = small.where("refused IS NOT NULL").select("file_id", F.col("refused").alias("reason")).unionByName(big).withColumn("line_id", none)
+        put(files.unionByName(rejects.rejected_rows(records, records).join(records.select("line_id", "file_id"), "line_id")), "refused")
 
     return write
 

@@ -1,8 +1,6 @@
 import gzip
 import json
 
-from pyspark.sql import functions as F
-
 from schedlake.operators import documents, rejects
 from schedlake.sources import exports
 from schedlake.streaming import jobs
@@ -22,7 +20,7 @@ def test_files_to_typed_tables(spark, tmp_path):
     write(tmp_path, "b.xer", gzip.compress(BODY.encode("cp1252")))
     write(tmp_path, "c.xer", b"\0" * 9)
     write(tmp_path, "d.xer", b"")
-    files = exports.read_files(spark, str(tmp_path)).withColumn("content", exports.gunzip_capped(F.col("content")))
+    files = exports.read_files(spark, str(tmp_path))
     lines = exports.file_lines(files)
     rows = exports.typed_table(rejects.load_rows(lines), "TASK").collect()
     assert sorted((r["task_id"], r["task_name"], r["target_drtn_hr_cnt"], r["wbs_id"]) for r in rows) == sorted([(7, "café – 5€", 80.0, None), (8, "two\nlines", None, None)] * 2)
@@ -33,9 +31,14 @@ def test_files_to_typed_tables(spark, tmp_path):
     assert facts["a.xer"]["high_byte_count"] == 3 and "d.xer" not in facts
 
 
-def test_gunzip_has_a_cap(spark):
-    df = spark.createDataFrame([(bytearray(gzip.compress(b"x" * 1000)),), (None,), (bytearray(b"plain"),)], "c binary")
-    assert [r[0] for r in df.select(exports.gunzip_capped(F.col("c"), 999)).collect()] == [None, None, bytearray(b"plain")]
+def test_gunzip(spark):
+    pack = lambda *parts: bytearray(b"".join(gzip.compress(p) for p in parts))
+    rows = [("big", pack(b"x" * 1000)), ("null", None), ("plain", bytearray(b"plain")), ("two", pack(b"a" * 500, b"b" * 400)), ("two big", pack(b"a" * 500, b"b" * 500)), ("cut", pack(b"x" * 900)[:-9]), ("pad", pack(b"ok") + b"\0\0"), ("junk", pack(b"ok") + b"junk")]
+    got = {r["file_id"]: (r["content"], r["refused"]) for r in exports.unpacked(spark.createDataFrame(rows, "file_id string, content binary"), 999).collect()}
+    assert got == {
+        "big": (None, "byte_cap"), "null": (None, None), "plain": (bytearray(b"plain"), None), "two": (bytearray(b"a" * 500 + b"b" * 400), None), "two big": (None, "byte_cap"),
+        "cut": (None, "broken_gzip"), "pad": (bytearray(b"ok"), None), "junk": (None, "broken_gzip"),
+    }
 
 
 def test_verdict_order(spark):
@@ -70,11 +73,14 @@ def test_streams(spark, tmp_path):
     source, target = tmp_path / "in", tmp_path / "out"
     source.mkdir()
     write(source, "a.xer", BODY.encode("cp1252"))
+    write(source, "z.xer", gzip.compress(BODY.encode("cp1252"))[:-20])
     for _ in range(2):
         jobs.ingest(spark, str(source), str(target), str(tmp_path / "cp")).awaitTermination()
-    write(source, "b.xer", BODY.encode("cp1252"))
+    write(source, "b.xer", gzip.compress(BODY.encode("cp1252")))
     jobs.ingest(spark, str(source), str(target), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(target / "rows")).count() == 6 and spark.read.parquet(str(target / "scan")).count() == 2
+    refused = {(r["file_id"][-5:], r["reason"], (r["line_id"] or "")[-10:]) for r in spark.read.parquet(str(target / "refused")).collect()}
+    assert refused == {("z.xer", "broken_gzip", ""), ("a.xer", "bad_key", "0000000010"), ("b.xer", "bad_key", "0000000010")}
     spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:10:00' AS ts, 'a' AS event_type, 2D AS value UNION ALL SELECT TIMESTAMP_NTZ '2024-01-01 00:50:00', 'a', 3D").write.parquet(str(tmp_path / "ev"))
     events = jobs.file_stream(spark, str(tmp_path / "ev"), "ts timestamp_ntz, event_type string, value double")
     query = jobs.windowed_counts(events).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
