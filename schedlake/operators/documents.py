@@ -31,22 +31,25 @@ def within_budget(document: Column, lists: Column, issues: Column) -> Column:
     return F.when(F.octet_length(whole) > MAX_BYTES, small).otherwise(whole)
 
 
-def derived(shape: DataFrame, progress: DataFrame, window: DataFrame, quality: DataFrame, worst: DataFrame, key: str = "proj_id") -> DataFrame:
-    """One derived document a group: ``(key, derived_version, document, over_warn)``.
+def derived(groups: dict[str, DataFrame], lists: dict[str, DataFrame], key: str = "proj_id") -> DataFrame:
+    """One derived document a key: ``(key, derived_version, document, over_warn)``.
 
-    Each part is one row a group; ``worst`` has at most 50 rows a check, so its list is bounded.
-    A part a group lacks comes out null and is named in the issues.
+    Each group is one row a key. ``lists`` holds what a document loses first when it exceeds
+    its budget: frames with rows of their own (at most 50 exemplars a check), or with one array
+    column a key. A group a key lacks comes out null and is named in the issues.
     """
-    named = {"shape": shape, "progress": progress, "time": window, "quality": quality}
     joined = None
-    for name, part in named.items():
-        cols = [c for c in part.columns if c != key]
-        one = part.where(F.col(key).isNotNull()).select(key, F.struct(*cols).alias(name))
+    for name, part in groups.items():
+        one = part.where(F.col(key).isNotNull()).select(key, F.struct(*[c for c in part.columns if c != key]).alias(name))
         joined = one if joined is None else joined.join(one, key, "full")
-    lists = worst.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("check_no", "place", "task_id", "badness"))).alias("exemplars"))
-    joined = joined.join(lists, key, "left")
-    gone = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.struct(F.lit(n).alias("stat"), F.lit("error").alias("severity"), F.lit("not available").alias("reason"))) for n in named]))
-    text = within_budget(F.struct(*named), F.col("exemplars"), gone)
+    for name, part in lists.items():
+        cols = [c for c in part.columns if c != key]
+        if len(cols) > 1:
+            first = [c for c in ("check_no", "place") if c in cols]
+            part = part.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*first, *[c for c in cols if c not in first]))).alias(name))
+        joined = joined.join(part.select(key, F.col(part.columns[-1]).alias(name)), key, "left")
+    gone = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.struct(F.lit(n).alias("stat"), F.lit("error").alias("severity"), F.lit("not available").alias("reason"))) for n in groups]))
+    text = within_budget(F.struct(*groups), F.struct(*lists), gone)
     return joined.select(key, F.lit(DERIVED_VERSION).alias("derived_version"), text.alias("document"), (F.octet_length(text) > WARN_BYTES).alias("over_warn"))
 
 

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schedlake.functions import formats
-from schedlake.operators import catalogue as cat
 from schedlake.operators import stats
 from schedlake.plans import tasks as T
-from schedlake.plans.shelf import NOW, programmes
+from schedlake.plans.shelf import NOW
 from schedlake.sources.tables import table
 
 
@@ -35,12 +34,6 @@ def a26_band_shares(spark: SparkSession, folder: str) -> DataFrame:
     return rolled.join(total, "proj_id").select("proj_id", "band", "n", (F.floor(F.col("n") / F.col("total") * 1000 + 0.5) / 10).alias("share_pct"))
 
 
-def a25_relaxed_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Published programmes that each single facet value would leave, most first."""
-    counts = cat.facet_counts(programmes(spark, folder), table(spark, folder, "revision"), cat.ShelfQuery())
-    return counts.where("n > 0").groupBy("facet").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_values"))
-
-
 def x1_formats(spark: SparkSession, folder: str) -> DataFrame:
     """Display forms of revisions' counts."""
     r = table(spark, folder, "revision").where("activity_count IS NOT NULL")
@@ -50,9 +43,12 @@ def x1_formats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (c17_elapsed, c18_age_buckets, a25_relaxed_counts, a26_band_shares, x1_formats)}
+QUERIES = {f.__name__: f for f in (c17_elapsed, c18_age_buckets, a26_band_shares, x1_formats)}
 
 ORACLES = {
+    "x1_formats": """WITH r AS (SELECT id, activity_count AS n, activity_count * 1600 AS b, activity_count / 5.0::DOUBLE AS raw FROM revision WHERE activity_count IS NOT NULL), p AS (SELECT *, CASE WHEN n > 0 THEN power(10.0::DOUBLE, floor(log10(raw))) END AS power FROM r)
+SELECT id, format('{:,}', n) AS count_text, CAST(least(ceil(n / 1000), 10) AS BIGINT) AS track, CASE WHEN b < 1000 THEN b || ' B' WHEN b < 1000000 THEN CAST(floor(b / 1000 + 0.5) AS BIGINT) || ' kB' ELSE format('{:.1f}', floor(b / 100000 + 0.5) / 10) || ' MB' END AS size_text,
+  CASE WHEN n > 0 THEN CASE WHEN raw / power <= 1 THEN 1 WHEN raw / power <= 2 THEN 2 WHEN raw / power <= 5 THEN 5 ELSE 10 END * power ELSE 1 END AS step FROM p""",
     "c18_age_buckets": f"""WITH h AS (SELECT (epoch(TIMESTAMP '{NOW}') - floor(epoch(ts))) / 3600 AS h FROM events)
 SELECT CASE WHEN h < 1 THEN 'new' WHEN h < 48 THEN 'h' WHEN h < 1440 THEN 'd' WHEN h < 17280 THEN 'mo' ELSE 'y' END AS age, count(*) AS n FROM h GROUP BY 1""",
     "c17_elapsed": f"""WITH {T.TASKS_SQL}, {T.DAYS_SQL}, s AS (SELECT proj_id, min({T._START}) AS a, max({T._FINISH}) AS b FROM task_now GROUP BY 1)

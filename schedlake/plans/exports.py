@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from schedlake.functions.text import byte_text, decode_report
 from schedlake.operators import documents, driving, hierarchy, quality, rejects, stats
 from schedlake.plans import tasks as T
+from schedlake.session import store
+from schedlake.plans.problems import ORACLES as PROBLEM_SQL
 from schedlake.sources import exports, lines
 from schedlake.sources.tables import table
 
@@ -79,8 +81,10 @@ def s19_json(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def f19_verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    """The guard ladder over sound scans: verdicts counted."""
-    scans = rejects.load_scans(table(spark, folder, "scan_log")).withColumn("project_count", F.lit(1))
+    """The guard ladder over sound scans: verdicts counted. A file's projects are those its stored tasks name."""
+    scans = rejects.load_scans(table(spark, folder, "scan_log"))
+    projects = table(spark, folder, "task").groupBy(F.col("file_id").alias("t_file")).agg(F.count_distinct("proj_id").alias("n"))
+    scans = scans.join(projects, F.col("file_id") == F.col("t_file"), "left").withColumn("project_count", F.coalesce("n", F.lit(1)))
     return exports.verdict(scans).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
@@ -97,19 +101,42 @@ def k1_activities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def k2_derived(spark: SparkSession, folder: str) -> DataFrame:
-    """The derived document of each project."""
-    t, links = T.tasks_now(spark, folder).where("proj_id IS NOT NULL"), T.links_now(spark, folder)
-    flagged = T._flagged(spark, folder)
-    card = quality.scorecard(flagged, links)
-    return documents.derived(T.a1_shape_counts(spark, folder), stats.progress(t, ["proj_id"]), stats.window_span(t, ["proj_id"]), quality.totals(card), quality.exemplars(flagged))
+    """The derived document of each project, all its groups."""
+    t, links = store(T.tasks_in_days(spark, folder).where("proj_id IS NOT NULL")), store(T.links_now(spark, folder))
+    flagged = store(T._flagged(spark, folder))
+    card = store(quality.scorecard(flagged, links))
+    time = stats.window_span(t, ["proj_id"]).join(T.data_days(spark, folder), "proj_id", "left").join(T.c11_project_working_days(spark, folder).select("proj_id", F.struct("state", "days", "clndr_id", "activity_share_pct").alias("working_days")), "proj_id", "left")
+    walked = store(driving.walk(t, links, "proj_id"))
+    path = driving.path_details(t, links, walked, T.data_minutes(spark, folder), "proj_id")
+    open_ends = flagged.groupBy("proj_id").agg(F.count_if("no_pred").alias("n_no_pred"), F.count_if("no_succ").alias("n_no_succ"))
+    logic = path.join(open_ends, "proj_id", "left").join(T.a2_logic_counts(spark, folder), "proj_id", "left")
+    floats = stats.float_mix(t, ["proj_id"], "total_float_hr_cnt", F.col("hours_per_day") * stats.HIGH_DAYS)
+    curve = store(stats.s_curve(t, ["proj_id"]))
+    line = stats.card_curve(curve, ["proj_id"]).groupBy("proj_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("point", "value"))), lambda p: p["value"]).alias("curve"))
+    bars = lambda days, edges, name: stats.histogram(t, ["proj_id"], days, edges).groupBy("proj_id").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce(F.col("bucket").cast("string"), F.lit("none")), "n"))).alias(name))
+    mix = stats.value_mix(t, ["proj_id"], "task_type", "v").groupBy("proj_id").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("v", F.lit("")), "n"))).alias("types"))
+    spread = mix.join(bars(F.col("total_float_hr_cnt") / F.col("hours_per_day"), stats.FLOAT_EDGES, "float_days"), "proj_id").join(
+        bars(F.coalesce("target_drtn_hr_cnt", F.lit(0.0)) / F.col("hours_per_day"), stats.DURATION_EDGES, "duration_days"), "proj_id"
+    )
+    # At most 1,200 months a project.
+    months = curve.groupBy("proj_id").agg(F.array_sort(F.collect_list(F.struct("month_no", "starts", "finishes", "cumulative"))).alias("s_curve"))
+    groups = {
+        "shape": T.a1_shape_counts(spark, folder), "time": time, "progress": stats.progress(t, ["proj_id"]), "logic": logic, "quality": quality.totals(card), "distributions": spread,
+        "card": floats.join(line, "proj_id", "left"),
+    }
+    return documents.derived(groups, {"exemplars": quality.exemplars(flagged, links, card), "s_curve": months})
 
 
 def k4_facets(spark: SparkSession, folder: str) -> DataFrame:
-    """The facet row of each project: counts, window, progress and scorecard in one row."""
+    """The facet row of each project: counts, version, window, progress and scorecard in one row."""
     t = T.tasks_now(spark, folder).where("proj_id IS NOT NULL")
     card = quality.totals(quality.scorecard(T._flagged(spark, folder), T.links_now(spark, folder)))
-    out = stats.progress(t, ["proj_id"]).join(stats.window_span(t, ["proj_id"]), "proj_id").join(card, "proj_id", "left").join(T.data_days(spark, folder), "proj_id", "left")
-    return out.select("proj_id", F.col("n").alias("activity_count"), "window_start", "window_finish", "data_day", "pct_complete", "is_baseline", "passed", "applicable")
+    project = hierarchy.latest_rows(table(spark, folder, "project"), "proj_id", "loaded_at").select("proj_id", "file_id")
+    version = project.join(table(spark, folder, "revision").select("file_id", "p6_version"), "file_id").select("proj_id", "p6_version")
+    out = stats.progress(t, ["proj_id"]).join(stats.window_span(t, ["proj_id"]), "proj_id").join(card, "proj_id", "left").join(T.data_days(spark, folder), "proj_id", "left").join(version, "proj_id", "left")
+    return out.select(
+        "proj_id", "p6_version", F.col("n").alias("activity_count"), "window_start", "window_finish", "data_day", "pct_complete", "is_baseline", "passed", "applicable", F.lit(documents.DERIVED_VERSION).alias("derived_version")
+    )
 
 
 QUERIES = {
@@ -120,6 +147,7 @@ QUERIES = {
     )
 }
 
+SCAN_SQL = PROBLEM_SQL["p2_scans"]
 _LINES = r"""l AS (SELECT line_id, file_id, line_no, regexp_replace(coalesce(line, ''), '\r$', '') AS line FROM xer_line WHERE file_id IS NOT NULL AND line_no IS NOT NULL),
   m AS (SELECT *, CASE WHEN split_part(line, chr(9), 1) IN ('ERMHDR', '%T', '%F', '%R', '%E') THEN split_part(line, chr(9), 1) END AS marker FROM l)"""
 _RECORDS = rf"""{_LINES},
@@ -131,6 +159,9 @@ _RECORDS = rf"""{_LINES},
   r AS (SELECT * FROM g WHERE marker = '%R')"""
 
 ORACLES = {
+    "f19_verdicts": f"""WITH s AS ({SCAN_SQL}), p AS (SELECT file_id, count(DISTINCT proj_id) AS n FROM task GROUP BY 1),
+  v AS (SELECT CASE WHEN bytes > 125829120 THEN 'oversize' WHEN NOT reaches_end_marker OR nul_byte_count > 0 THEN 'unreadable' WHEN NOT starts_with_ermhdr THEN 'not_xer' WHEN NOT tokenizer_ok THEN 'tokenizer' WHEN activity_count = 0 THEN 'no_activities'
+    WHEN coalesce(p.n, 1) > 1 THEN 'multi_project' WHEN activity_count > 20000 THEN 'activity_cap' WHEN bytes > 62914560 THEN 'byte_cap' ELSE 'accept' END AS verdict FROM s LEFT JOIN p ON p.file_id = s.file_id) SELECT verdict, count(*) AS n FROM v GROUP BY 1""",
     "s3_records": f"WITH {_RECORDS} SELECT file_id, table_name, count(*) AS n_rows, count_if(extra > 0) AS n_joined, count_if(coalesce(len(string_split(fields, chr(9))) <> cells, true)) AS n_bad FROM r GROUP BY 1, 2",
     "s5_issues": f"""WITH {_RECORDS} SELECT file_id, 'joined_row' AS reason, line_no FROM r WHERE extra > 0
 UNION ALL SELECT file_id, 'no_end_record', max(line_no) FROM m GROUP BY 1 HAVING count_if(marker = '%E') = 0""",
@@ -147,6 +178,7 @@ SELECT file_id, count(DISTINCT add_by_name) AS n_planners, min(plan_start_date)
 SELECT proj_id, t.task_id, task_code, task_name, wbs_id, task_type, status_code, target_drtn_hr_cnt, remain_drtn_hr_cnt, total_float_hr_cnt, early_start_date, early_end_date, act_start_date, act_end_date,
   mm.task_id IS NOT NULL AS driving FROM task_now t LEFT JOIN mm ON mm.task_id = t.task_id WHERE proj_id IS NOT NULL""",
     "k4_facets": f"""{T._CHECKS_SQL}, card AS (SELECT proj_id, count_if(state = 'pass') AS passed, count_if(state <> 'skip') AS applicable FROM checks GROUP BY 1)
-SELECT t.proj_id, count(*) AS activity_count, min({T._START}) AS window_start, max({T._FINISH}) AS window_finish, max(d.data_day) AS data_day, {T._pct("count_if(status_code = 'TK_Complete')", "count(*)")} AS pct_complete,
-  bool_and(act_start_date IS NULL) AS is_baseline, max(passed) AS passed, max(applicable) AS applicable FROM task_now t LEFT JOIN day_now d ON d.proj_id = t.proj_id LEFT JOIN card c ON c.proj_id = t.proj_id WHERE t.proj_id IS NOT NULL GROUP BY 1""",
+SELECT t.proj_id, max(p6_version) AS p6_version, 4 AS derived_version, count(*) AS activity_count, min({T._START}) AS window_start, max({T._FINISH}) AS window_finish, max(d.data_day) AS data_day, {T._pct("count_if(status_code = 'TK_Complete')", "count(*)")} AS pct_complete,
+  bool_and(act_start_date IS NULL) AS is_baseline, max(passed) AS passed, max(applicable) AS applicable FROM task_now t LEFT JOIN day_now d ON d.proj_id = t.proj_id LEFT JOIN card c ON c.proj_id = t.proj_id
+  LEFT JOIN (SELECT q.proj_id, r.p6_version FROM (SELECT proj_id, max_by(file_id, loaded_at) AS file_id FROM project GROUP BY 1) q JOIN revision r ON r.file_id = q.file_id) v ON v.proj_id = t.proj_id WHERE t.proj_id IS NOT NULL GROUP BY 1""",
 }

@@ -75,6 +75,9 @@ CAL_SQL = r"""cal_now AS (SELECT CAST(clndr_id AS VARCHAR) AS c, clndr_data, reg
   proj_now AS (SELECT proj_id, nullif(trim(clndr_id), '') AS named FROM (SELECT *, row_number() OVER (PARTITION BY proj_id ORDER BY loaded_at DESC, deleted_at DESC NULLS LAST) AS rn FROM project) WHERE rn = 1 AND deleted_at IS NULL),
   hpd AS (SELECT t.proj_id, p.proj_id IS NOT NULL AS has_row, p.named, l.c, l.n, coalesce(l.h, 8) AS h, CASE WHEN l.h IS NULL THEN 'fallback' ELSE 'programme_calendar' END AS source
     FROM (SELECT DISTINCT proj_id FROM task_now WHERE proj_id IS NOT NULL) t LEFT JOIN proj_now p ON p.proj_id = t.proj_id LEFT JOIN cal_len l ON l.c = p.named)"""
+#: The exceptions of each calendar: on_day and whether it works. Follows CAL_SQL.
+EXCEPTIONS_SQL = r"""exc AS (SELECT c, DATE '1899-12-30' + CAST(regexp_extract(y, 'd\|([0-9]+)', 1) AS INTEGER) AS on_day, max(right(y, 2)) = '((' AS works
+    FROM (SELECT c, unnest(regexp_extract_all(regexp_extract(clndr_data, 'Exceptions\(\)\((.*)', 1), 'd\|[0-9]+\)\(.')) AS y FROM cal_now) GROUP BY ALL)"""
 _START = "try_cast(left(coalesce(act_start_date, early_start_date, target_start_date), 10) AS DATE)"
 _FINISH = "try_cast(left(coalesce(act_end_date, early_end_date, target_end_date), 10) AS DATE)"
 _PCT = "CASE WHEN {d} = 0 THEN 0.0 ELSE floor(CAST({n} AS DOUBLE) / {d} * 1000 + 0.5) / 10 END"
@@ -236,8 +239,9 @@ def a21_flag_agreement(spark: SparkSession, folder: str) -> DataFrame:
     members = driving.walk(tasks, links_now(spark, folder), "proj_id").select(F.col("task_id").alias("m_id")).distinct()
     flagged, member = F.upper(F.trim(F.coalesce("driving_path_flag", F.lit("")))) == "Y", F.col("m_id").isNotNull()
     return tasks.join(members, F.col("task_id") == F.col("m_id"), "left").groupBy("proj_id").agg(
-        F.count_if(flagged & member).alias("n_both"), F.count_if(flagged & ~member).alias("n_only_flag"), F.count_if(~flagged & member).alias("n_only_computed")
-    )
+        F.count_if(flagged & member).alias("n_both"), F.count_if(flagged & ~member).alias("n_only_flag"), F.count_if(~flagged & member).alias("n_only_computed"),
+        F.count_if(flagged & (F.col("status_code") != "TK_Complete")).alias("n_flagged_remaining"), F.count_if(flagged & member & (F.col("status_code") != "TK_Complete")).alias("n_agreed_remaining"),
+    )
 
 
 def g20_cpm(spark: SparkSession, folder: str) -> DataFrame:
@@ -281,8 +285,7 @@ def c6_calendars(spark: SparkSession, folder: str) -> DataFrame:
 
 def j16_working_days(spark: SparkSession, folder: str) -> DataFrame:
     """Working days of each task between its start and finish on its own calendar."""
-    cal = calendars.decoded(hierarchy.latest_rows(table(spark, folder, "calendar"), "clndr_id", "loaded_at"))
-    cal = cal.where("state = 'ok'").select(F.col("clndr_id").cast("string").alias("c_id"), "week", "exceptions")
+    cal = calendars_now(spark, folder).where("state = 'ok'").select(F.col("clndr_id").cast("string").alias("c_id"), "week", "exceptions")
     t = tasks_now(spark, folder).select("task_id", F.trim("clndr_id").alias("clndr"), real_day(stats.task_start()).alias("d0"), real_day(stats.task_finish()).alias("d1"))
     # The decoded calendars' size follows the number of calendars, so the optimizer decides whether to broadcast them.
     joined = t.join(cal, F.col("clndr") == F.col("c_id"))
@@ -436,19 +439,22 @@ SELECT p_brand AS code_type, v AS value_count, {_pct("coalesce(n, 0)", "(SELECT
 SELECT proj_id, task_id, pred_id, check_no, CAST(badness AS DOUBLE) AS badness, CAST(place AS INTEGER) AS place FROM o WHERE place <= 50""",
     "j11_project_calendars": f"""WITH {TASKS_SQL}, {CAL_SQL} SELECT proj_id, named AS clndr_id, CASE WHEN c IS NULL THEN 'unavailable' ELSE 'ok' END AS state,
   CASE WHEN NOT has_row THEN 'the project has no row' WHEN named IS NULL THEN 'the project names no calendar' WHEN c IS NULL THEN 'the named calendar is not there' END AS reason, h AS hours_per_day, source AS hours_source FROM hpd""",
-    "c11_project_working_days": f"""WITH {TASKS_SQL}, {CAL_SQL}, x AS (SELECT c, to_days(CAST(d[1] AS INTEGER)) + DATE '1899-12-30' AS on_day, d[2] = '(' AS works FROM (SELECT c, unnest([[regexp_extract(y, 'd\\|([0-9]+)', 1), substr(regexp_extract(y, 'd\\|[0-9]+\\)\\((.)', 1), 1, 1)]
-      FOR y IN regexp_extract_all(regexp_extract(clndr_data, 'Exceptions\\(\\)\\((.*)', 1), 'd\\|[0-9]+\\)\\(.')]) AS d FROM cal_now)),
+    "j16_working_days": f"""WITH {TASKS_SQL}, {CAL_SQL}, {EXCEPTIONS_SQL}, t AS (SELECT task_id, trim(clndr_id) AS c, {_START} AS a, {_FINISH} AS b FROM task_now WHERE trim(clndr_id) IN (SELECT c FROM cal_now)),
+  g AS (SELECT task_id, c, CAST(unnest(range(a, b + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM t WHERE a <= b),
+  k AS (SELECT task_id, count_if(coalesce(e.works, h.h > 0)) AS n FROM g JOIN cal_hours h ON h.c = g.c AND h.day = dayofweek(g.day) + 1 LEFT JOIN exc e ON e.c = g.c AND e.on_day = g.day GROUP BY 1)
+SELECT t.task_id, k.n AS working_days FROM t LEFT JOIN k ON k.task_id = t.task_id""",
+    "c11_project_working_days": f"""WITH {TASKS_SQL}, {CAL_SQL}, {EXCEPTIONS_SQL},
   w AS (SELECT t.proj_id, min({_START}) AS a, max({_FINISH}) AS b, {_pct("count_if(trim(clndr_id) = named)", "count(*)")} AS share FROM task_now t JOIN hpd z ON z.proj_id = t.proj_id GROUP BY 1),
   g AS (SELECT w.proj_id, z.c, CAST(unnest(range(a, b + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM w JOIN hpd z ON z.proj_id = w.proj_id WHERE z.c IS NOT NULL),
-  k AS (SELECT g.proj_id, count_if(coalesce(e.works, h.h > 0)) AS n FROM g JOIN cal_hours h ON h.c = g.c AND h.day = dayofweek(g.day) + 1 LEFT JOIN (SELECT c, on_day, bool_or(works) AS works FROM x GROUP BY 1, 2) e ON e.c = g.c AND e.on_day = g.day GROUP BY 1)
+  k AS (SELECT g.proj_id, count_if(coalesce(e.works, h.h > 0)) AS n FROM g JOIN cal_hours h ON h.c = g.c AND h.day = dayofweek(g.day) + 1 LEFT JOIN exc e ON e.c = g.c AND e.on_day = g.day GROUP BY 1)
 SELECT z.proj_id, CASE WHEN c IS NULL THEN 'unavailable' ELSE 'ok' END AS state, named AS clndr_id, z.n AS working_days_per_week, k.n AS days, CASE WHEN c IS NOT NULL THEN share END AS activity_share_pct FROM hpd z JOIN w ON w.proj_id = z.proj_id LEFT JOIN k ON k.proj_id = z.proj_id""",
     "u2_open_ends": f"WITH {_FLAGGED_SQL} SELECT proj_id, task_id, CASE WHEN no_pred AND no_succ THEN 'both' WHEN no_pred THEN 'start' ELSE 'finish' END AS open_end FROM flagged WHERE no_pred OR no_succ",
     "j14_driving_links": f"WITH {_DRIVERS_SQL} SELECT * FROM driving",
     "g6_seeds": f"WITH {_DRIVERS_SQL}, {_SEEDS_SQL} SELECT proj_id, task_id FROM seed",
     "g7_members": f"{_MEMBERS_SQL} SELECT proj_id, task_id FROM member",
-    "a21_flag_agreement": f"""{_MEMBERS_SQL}, m AS (SELECT DISTINCT task_id FROM member), x AS (SELECT t.proj_id, upper(trim(coalesce(driving_path_flag, ''))) = 'Y' AS flag, m.task_id IS NOT NULL AS mem
+    "a21_flag_agreement": f"""{_MEMBERS_SQL}, m AS (SELECT DISTINCT task_id FROM member), x AS (SELECT t.proj_id, upper(trim(coalesce(driving_path_flag, ''))) = 'Y' AS flag, m.task_id IS NOT NULL AS mem, status_code <> 'TK_Complete' AS live
     FROM task_now t LEFT JOIN m USING (task_id) WHERE proj_id IS NOT NULL)
-SELECT proj_id, count_if(flag AND mem) AS n_both, count_if(flag AND NOT mem) AS n_only_flag, count_if(mem AND NOT flag) AS n_only_computed FROM x GROUP BY 1""",
+SELECT proj_id, count_if(flag AND mem) AS n_both, count_if(flag AND NOT mem) AS n_only_flag, count_if(mem AND NOT flag) AS n_only_computed, count_if(flag AND live) AS n_flagged_remaining, count_if(flag AND mem AND live) AS n_agreed_remaining FROM x GROUP BY 1""",
     "c8_day_numbers": f"""WITH {TASKS_SQL}, d AS (SELECT task_id, try_cast(left(early_start_date, 10) AS DATE) AS d FROM task_now)
 SELECT task_id, CAST(d - DATE '1970-01-01' AS INTEGER) AS day_no, CAST(dayofweek(d) + 1 AS INTEGER) AS weekday, CAST(d - DATE '1970-01-01' + 25569 AS INTEGER) AS serial, CAST(year(d) * 12 + month(d) - 1 AS INTEGER) AS month_no FROM d WHERE d IS NOT NULL""",
 }

@@ -268,6 +268,8 @@ SELECT id AS programme_id, CAST(min(len(seen) - 1) AS INTEGER) AS distance FROM
     WHERE coalesce(w.proj_node_flag, '') <> 'Y' AND w.proj_id IS NOT NULL AND (q.wbs_id IS NULL OR q.proj_node_flag = 'Y')),
   r AS (SELECT *, row_number() OVER (PARTITION BY proj_id ORDER BY activity_count DESC, wbs_id) AS place, count(*) OVER (PARTITION BY proj_id) > 20 AS truncated FROM f)
 SELECT proj_id, wbs_id, name, activity_count, place, truncated FROM r WHERE place <= 20""",
+    "g14_tree_depth": f"{_WBS_SQL} SELECT proj_id, count(*) AS n_nodes, max(depth) AS max_depth FROM wbs JOIN sums USING (wbs_id) WHERE proj_id IS NOT NULL GROUP BY 1",
+    "g15_subtree_counts": f"{_WBS_SQL} SELECT wbs_id, own AS n_own, total AS n_subtree FROM sums",
     "g16_wbs_tree": f"{_WBS_SQL} SELECT wbs_id, CAST(depth AS INTEGER) AS depth, own AS n_own, total AS n_subtree FROM sums WHERE wbs_id NOT IN (SELECT id FROM bad)",
     "o9_table_sorts": f"""WITH {T.TASKS_SQL}, t AS (SELECT proj_id, task_id, nullif(trim(task_name, ' '), '') AS name, total_float_hr_cnt FROM task_now WHERE proj_id IS NOT NULL),
   s AS ({" UNION ALL ".join(_sorted(c, w) for c in ("name", "total_float_hr_cnt") for w in ("up", "down"))}) SELECT * FROM s WHERE place <= 10""",

@@ -56,9 +56,10 @@ def test_verdict_order(spark):
 def test_documents(spark, tmp_path):
     one = lambda **kw: spark.createDataFrame([("p", *kw.values())], "proj_id string, " + ", ".join(f"{k} int" for k in kw))
     worst = spark.range(40_000).selectExpr("'p' AS proj_id", "1 AS check_no", "CAST(id AS INT) AS place", "id AS task_id", "1D AS badness")
-    small = documents.derived(one(a=1), one(b=2), one(c=3), one(d=4), worst.limit(2)).first()
-    assert json.loads(small["document"])["lists"][0]["task_id"] == 0 and not small["over_warn"]
-    big = documents.derived(one(a=1), one(b=2), one(c=3).limit(0), one(d=4), worst).first()
+    groups = lambda c: {"shape": one(a=1), "progress": one(b=2), "time": c, "quality": one(d=4)}
+    small = documents.derived(groups(one(c=3)), {"exemplars": worst.limit(2)}).first()
+    assert json.loads(small["document"])["lists"]["exemplars"][0]["task_id"] == 0 and not small["over_warn"]
+    big = documents.derived(groups(one(c=3).limit(0)), {"exemplars": worst}).first()
     doc = json.loads(big["document"])
     assert "lists" not in doc and len(doc["issues"]) == 2 and len(big["document"]) < documents.MAX_BYTES
     documents.write_documents(spark.createDataFrame([small]), str(tmp_path / "out"))
