@@ -263,7 +263,9 @@ def resolve(nodes: DataFrame, rank: Column | None = None, local_limit: int = LOC
     has_giant = bool(giants.limit(1).count())
     marked = comps.join(giants, F.col("root") == F.col("g_root"), "left") if has_giant else comps.withColumn("g_root", F.lit(None).cast("string"))
     small = marked.where("g_root IS NULL").select("id", "parent", "root")
-    walked = small.repartition("root").sortWithinPartitions("root").mapInPandas(lambda frames: _walk_buckets(frames, paths), _WALK).withColumn("giant", F.lit(False))
+    # A stated number of partitions is not coalesced: few bytes may be much work for Python.
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walked = small.repartition(parts, "root").sortWithinPartitions("root").mapInPandas(lambda frames: _walk_buckets(frames, paths), _WALK).withColumn("giant", F.lit(False))
     if not has_giant:
         return walked
     big = marked.where("g_root IS NOT NULL")
