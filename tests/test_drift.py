@@ -49,65 +49,78 @@ def test_many_revisions_of_one_programme(spark):
     assert found(spark, rows, 1400) == {(600, "TASK", "renamed", "a")}
 
 
-def consistent(spark, rows, revs=None):
+#: Exports of several programmes, told apart by hundreds of file_id, so that one run serves all tests of the chain.
+CHAINS = {
+    "chained": [
+        (1, 1, "TASK", ["task_id", "a"], [["1", "p"], ["2", "q"]]), (2, 1, "TASK", ["task_id", "b"], [["1", "p"], ["2", "q"]]),
+        (3, 1, "TASK", ["c", "task_id", "extra"], [["p", "1", "7.0"], [" q ", "2", None]]),
+    ],
+    "anew": [
+        (101, 1, "TASK", ["task_id", "a"], [["1", "p"], ["2", "q"]]), (102, 1, "TASK", ["task_id", "b"], [["1", "p"], ["2", "q"]]),
+        (103, 1, "TASK", ["task_id", "b", "a"], [["1", "p", "new"], ["2", "q", "newer"]]), (104, 1, "TASK", ["task_id", "a"], [["1", "x"], ["2", "y"]]),
+        (105, 1, "TASK", ["task_id", "a", "b"], [["1", "x", "back"], ["2", "y", "again"]]),
+    ],
+    "swap": [
+        (200 + f, 1, "TASK", names, [["1", "p", "r"], ["2", "q", "s"]])
+        for f, names in ((1, ["task_id", "a", "b"]), (2, ["task_id", "t", "b"]), (3, ["task_id", "t", "a"]), (4, ["task_id", "b", "a"]))
+    ],
+    "onto": [
+        (301, 1, "TASK", ["task_id", "x"], [["1", "gone"], ["2", "too"]]), (302, 1, "TASK", ["task_id", "z"], [["1", "5"], ["2", "6"]]), (303, 1, "TASK", ["task_id", "x"], [["1", "5"], ["2", "6"]]),
+    ],
+    "cast": [
+        (400 + f, 1, "TASK", ["task_id", "n", "d", "f", "code", "u"], cells)
+        for f, cells in (
+            (1, [["1", "67", "2025-11-09 17:00", "Y", "64", "5"], ["2", "58.50", "2025-01-30 07:30", "N", "77", "6"]]),
+            (2, [["1", "67h", "1762707600", "1", "PR_FS", "5 hrs"], ["2", "58,5", "45687.3125", "0", "PR_SS", "odd one"]]),
+            (3, [["1", "ID-67", "2025-11-09 17:00", "true", "PR_FS", "5"], ["2", "58.5", "", "false", "PR_SS", "7"]]),
+        )
+    ],
+    "again": [
+        (501, 1, "TASK", ["task_id", "a"], [["1", "p"]]), (501, 2, "TASK", ["a", "task_id", "z"], [["q", "2", "w"]]), (501, 1, "TASK", ["task_id", "a"], [["1", "p"]]),
+        (502, 1, "TASK", ["task_id", "a", "z"], [["1", "p", "w"]]),
+    ],
+}
+
+
+@pytest.fixture(scope="module")
+def chained(spark):
+    """Per programme: (file within it, seq_no, row_no) to (record, uncast); a file without a revision stands under None."""
+    rows = [r for part in CHAINS.values() for r in part] + [(999, 1, "TASK", ["Task_ID", "b"], [["7", "80.0"]])]
+    revs = [(f, name, f) for name, part in CHAINS.items() for f in {r[0] for r in part}]
     df = spark.createDataFrame(rows, XER).selectExpr("*", "1 AS row", "2 AS names", "'x' AS content")
-    revs = revisions(spark, max(r[0] for r in rows)) if revs is None else revs
-    return {(r["file_id"], r["seq_no"], r["row_no"]): (r["record"], r["uncast"]) for r in drift.consistent_rows(df, revs).collect()}
+    out = {}
+    for r in drift.consistent_rows(df, spark.createDataFrame(revs, "file_id bigint, programme_id string, rev_no int")).collect():
+        out.setdefault(r["programme_id"], {})[r["file_id"] % 100, r["seq_no"], r["row_no"]] = (r["record"], r["uncast"])
+    return out
 
 
-def test_chained_names_and_consistent_rows(spark):
-    rows = [
-        (1, 1, "TASK", ["task_id", "a"], [["1", "p"], ["2", "q"]]),
-        (2, 1, "TASK", ["task_id", "b"], [["1", "p"], ["2", "q"]]),
-        (3, 1, "TASK", ["c", "task_id", "extra"], [["p", "1", "7.0"], [" q ", "2", None]]),
-    ]
-    out = consistent(spark, rows)
+def test_chained_names_and_consistent_rows(spark, chained):
+    out = chained["chained"]
     assert len(out) == 6 and all(set(r) == {"c", "extra", "task_id"} and not u for r, u in out.values())
-    assert out[1, 1, 1][0] == {"c": "q", "extra": None, "task_id": "2"} and out[3, 1, 0][0]["extra"] == "7" and out[3, 1, 1][0]["c"] == "q"
-    changed = drift.changes(spark.createDataFrame(rows, XER), revisions(spark, 3))
+    assert out[2, 1, 1][0] == {"c": "q", "extra": None, "task_id": "2"} and out[3, 1, 0][0]["extra"] == "7" and out[3, 1, 1][0]["c"] == "q"
+    changed = drift.changes(spark.createDataFrame(CHAINS["chained"], XER), revisions(spark, 3))
     steps = {(r["file_id"], r["step_no"], r["step"], r["field_name"], r["target"]) for r in drift.migration_steps(changed).collect()}
     assert steps == {(2, 1, "rename", "a", "b"), (3, 1, "rename", "b", "c"), (3, 2, "default", "extra", None)}
 
 
-def test_a_name_used_anew_is_another_field(spark):
-    rows = [
-        (1, 1, "TASK", ["task_id", "a"], [["1", "p"], ["2", "q"]]), (2, 1, "TASK", ["task_id", "b"], [["1", "p"], ["2", "q"]]),
-        (3, 1, "TASK", ["task_id", "b", "a"], [["1", "p", "new"], ["2", "q", "newer"]]), (4, 1, "TASK", ["task_id", "a"], [["1", "x"], ["2", "y"]]),
-        (5, 1, "TASK", ["task_id", "a", "b"], [["1", "x", "back"], ["2", "y", "again"]]),
-    ]
-    out = {k: r for k, (r, _) in consistent(spark, rows).items()}
+def test_a_name_used_anew_is_another_field(chained):
+    out = {k: r for k, (r, _) in chained["anew"].items()}
     assert out[1, 1, 0] == {"task_id": "1", "b": "p", "a": None} and out[3, 1, 0] == {"task_id": "1", "b": "p", "a": "new"}
     assert out[4, 1, 0] == {"task_id": "1", "b": None, "a": "x"} and out[5, 1, 1] == {"task_id": "2", "b": "again", "a": "y"}
 
 
-def test_names_that_change_places_step_by_step(spark):
-    cells = lambda a, b: [["1", a[0], b[0]], ["2", a[1], b[1]]]
-    one, two = ("p", "q"), ("r", "s")
-    rows = [
-        (1, 1, "TASK", ["task_id", "a", "b"], cells(one, two)), (2, 1, "TASK", ["task_id", "t", "b"], cells(one, two)), (3, 1, "TASK", ["task_id", "t", "a"], cells(one, two)),
-        (4, 1, "TASK", ["task_id", "b", "a"], cells(one, two)),
-    ]
-    out = {k: r for k, (r, _) in consistent(spark, rows).items()}
+def test_names_that_change_places_step_by_step(chained):
+    out = {k: r for k, (r, _) in chained["swap"].items()}
     assert all(out[f, 1, 0] == {"task_id": "1", "b": "p", "a": "r"} and out[f, 1, 1] == {"task_id": "2", "b": "q", "a": "s"} for f in (1, 2, 3, 4))
 
 
-def test_a_rename_onto_a_dropped_name_keeps_both(spark):
-    rows = [
-        (1, 1, "TASK", ["task_id", "x"], [["1", "gone"], ["2", "too"]]), (2, 1, "TASK", ["task_id", "z"], [["1", "5"], ["2", "6"]]), (3, 1, "TASK", ["task_id", "x"], [["1", "5"], ["2", "6"]]),
-    ]
-    out = {k: r for k, (r, _) in consistent(spark, rows).items()}
+def test_a_rename_onto_a_dropped_name_keeps_both(chained):
+    out = {k: r for k, (r, _) in chained["onto"].items()}
     assert out[2, 1, 0]["x"] == out[3, 1, 0]["x"] == "5" and "gone" in out[1, 1, 0].values() and out[1, 1, 0]["x"] is None
 
 
-def test_values_are_cast_to_the_final_type(spark):
-    rows = [
-        (1, 1, "TASK", ["task_id", "n", "d", "f", "code", "u"], [["1", "67", "2025-11-09 17:00", "Y", "64", "5"], ["2", "58.50", "2025-01-30 07:30", "N", "77", "6"]]),
-        (2, 1, "TASK", ["task_id", "m", "d", "f", "code", "u"], [["1", "67h", "1762707600", "1", "PR_FS", "5 hrs"], ["2", "58,5", "45687.3125", "0", "PR_SS", "odd one"]]),
-        (3, 1, "TASK", ["task_id", "m", "d", "f", "code", "u"], [["1", "ID-67", "2025-11-09 17:00", "true", "PR_FS", "5"], ["2", "58.5", "", "false", "PR_SS", "7"]]),
-    ]
-    rows[1] = (*rows[1][:3], ["task_id", "n", *rows[1][3][2:]], rows[1][4])
-    rows[2] = (*rows[2][:3], ["task_id", "n", *rows[2][3][2:]], rows[2][4])
-    out = consistent(spark, rows)
+def test_values_are_cast_to_the_final_type(chained):
+    out = chained["cast"]
     first = {"task_id": "1", "n": "67", "d": "2025-11-09 17:00", "f": "Y", "u": "5"}
     for f in (1, 2, 3):
         assert {k: v for k, v in out[f, 1, 0][0].items() if k != "code"} == first
@@ -115,15 +128,11 @@ def test_values_are_cast_to_the_final_type(spark):
     assert out[1, 1, 0][0]["code"] == "64" and out[3, 1, 0][0]["code"] == "PR_FS" and not out[1, 1, 0][1]
 
 
-def test_second_declarations_and_files_without_a_revision(spark):
-    rows = [
-        (1, 1, "TASK", ["task_id", "a"], [["1", "p"]]), (1, 2, "TASK", ["a", "task_id", "z"], [["q", "2", "w"]]), (1, 1, "TASK", ["task_id", "a"], [["1", "p"]]),
-        (2, 1, "TASK", ["task_id", "a", "z"], [["1", "p", "w"]]), (9, 1, "TASK", ["Task_ID", "b"], [["7", "80.0"]]),
-    ]
-    out = {k: r for k, (r, _) in consistent(spark, rows, revisions(spark, 2)).items()}
-    assert out == {
-        (1, 1, 0): {"task_id": "1", "a": "p", "z": None}, (1, 2, 0): {"task_id": "2", "a": "q", "z": "w"}, (2, 1, 0): {"task_id": "1", "a": "p", "z": "w"}, (9, 1, 0): {"task_id": "7", "b": "80"},
+def test_second_declarations_and_files_without_a_revision(chained):
+    assert {k: r for k, (r, _) in chained["again"].items()} == {
+        (1, 1, 0): {"task_id": "1", "a": "p", "z": None}, (1, 2, 0): {"task_id": "2", "a": "q", "z": "w"}, (2, 1, 0): {"task_id": "1", "a": "p", "z": "w"},
     }
+    assert chained[None] == {(99, 1, 0): ({"task_id": "7", "b": "80"}, {})}
 
 
 def test_versions_are_runs_of_one_fingerprint(spark):
@@ -140,7 +149,6 @@ def test_nulls_and_empties(spark):
     got = drift.changes(spark.createDataFrame(rows, XER), revisions(spark, 2)).collect()
     assert {(r["file_id"], r["change_kind"], r["field_name"]) for r in got} == {(2, "added", "a"), (2, "added", "")}
     assert drift.changes(spark.createDataFrame([], XER), revisions(spark, 1)).count() == 0
-    assert drift.consistent_rows(spark.createDataFrame([], XER), revisions(spark, 1)).count() == 0
 
 
 def plain_changes(exports):
