@@ -31,8 +31,8 @@ SEED = 5
 LEAST_WORDS, WORDS_AN_EDIT, EDIT = 25, 5, 1.5
 #: What an alignment of that many words scores with that many edits.
 LEAST_SCORE = LEAST_WORDS * (1 - EDIT / WORDS_AN_EDIT)
-#: Words around the seeds that are aligned besides the item's length.
-MARGIN = 64
+#: Words on either side that are aligned besides what the item can fill.
+MARGIN = 16
 #: Words of all items in a block; bounds what is shipped to a task.
 BLOCK_WORDS = 2_000_000
 
@@ -265,6 +265,8 @@ class Scanner:
         # Owners of the k-th key stand from first[k] to first[k + 1].
         self.keys, first = np.unique(every[order], return_index=True)
         self.first = np.append(first, len(every))
+        #: Per item its window keys in order and where they stand, for items that were hit.
+        self.places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __call__(self, text: str) -> list[tuple[int, int, int, int]]:
         """``(item, matched words, first char, char after the last)`` of each leak in the text."""
@@ -292,7 +294,7 @@ class Scanner:
         for part in np.split(order, cuts):
             k = int(who[part[0]])
             own = self.items[k]
-            for a, b in _windows(where[part], len(own) + MARGIN, len(ids)):
+            for a, b in self._windows(k, where[part], key[hit][np.searchsorted(places, where[part])], len(ids)):
                 if self._bound(own, ids[a:b]) < LEAST_SCORE - 1e-9:
                     continue
                 for matched, s, e in passages(own, ids[a:b]):
@@ -300,6 +302,29 @@ class Scanner:
                     out |= {(item, matched, spans[a + s][0], spans[a + e - 1][1]) for item in self.members[k]}
         return sorted(out)
 
+    def _windows(self, k: int, seeds: np.ndarray, keys: np.ndarray, n: int) -> list[tuple[int, int]]:
+        """Stretches of the text that a passage of the item may fill through these seeds, merged where they meet.
+
+        A seed stands at a known place of the item (or at several), so a passage reaches as far
+        as the item does on either side, and further by as many words as may be added to it.
+        """
+        if k not in self.places:
+            mine = window_keys(self.hash[self.items[k]])
+            order = np.argsort(mine, kind="stable")
+            self.places[k] = mine[order], order
+        mine, order = self.places[k]
+        first, last = order[np.searchsorted(mine, keys, "left")], order[np.searchsorted(mine, keys, "right") - 1]
+        rest = len(self.items[k]) - first
+        start = np.maximum(seeds - last - last // WORDS_AN_EDIT - MARGIN, 0)
+        end = np.minimum(seeds + rest + rest // WORDS_AN_EDIT + MARGIN, n)
+        out: list[list[int]] = []
+        for a, b in sorted(zip(start.tolist(), end.tolist(), strict=True)):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(b, out[-1][1])
+            else:
+                out.append([a, b])
+        return [(a, b) for a, b in out]
+
     def _bound(self, item: np.ndarray, text: np.ndarray) -> float:
         """The most an alignment can score: words the item lacks cost ``EDIT`` each."""
         self.mark[item] = True
@@ -308,18 +333,6 @@ class Scanner:
         return float((total - np.minimum.accumulate(total)).max())
 
 
-def _windows(seeds: np.ndarray, reach: int, n: int) -> list[tuple[int, int]]:
-    """Stretches of the text around seeds, merged where they meet."""
-    out: list[list[int]] = []
-    for s in seeds.tolist():
-        a, b = max(s - reach, 0), min(s + SEED + reach, n)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def _sentences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     read = WordReader()
     for frame in frames:
