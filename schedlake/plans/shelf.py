@@ -268,6 +268,8 @@ def _facet(name: str, value: str, *others: str) -> str:
 
 
 ORACLES = {
+    "f21_slugs": f"""WITH {_P}, s AS (SELECT id, rtrim(left(trim(regexp_replace(regexp_replace(strip_accents(lower(title)), '[''’‘"“”]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), 80), '-') AS slug FROM p)
+SELECT id, CASE WHEN coalesce(slug, '') = '' THEN 'programme' ELSE slug END AS slug FROM s""",
     "j1_shelf_page": f"""WITH {_SHELF}, x AS (SELECT * FROM shelf WHERE {_SEC} AND {_SIZ} AND {_PRO}), y AS (SELECT * FROM x ORDER BY vote_count DESC, created_at DESC, programme_id DESC LIMIT 25)
 SELECT programme_id, y.title, y.sector, activity_count, p6_version, y.vote_count, q.title AS parent_title, (SELECT count(*) FROM x) AS total_count FROM y LEFT JOIN p q ON q.id = y.parent_programme_id""",
     "o4_second_page": f"WITH {_SHELF} SELECT programme_id, created_at, (SELECT count(*) FROM shelf) AS total_count FROM shelf ORDER BY created_at DESC, programme_id DESC LIMIT 25 OFFSET 25",

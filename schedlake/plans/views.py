@@ -242,10 +242,12 @@ _DETAILS_SQL = f"""{T._MEMBERS_SQL}, mem AS (SELECT DISTINCT proj_id, task_id FR
     FROM task_now t LEFT JOIN mem m ON m.proj_id = t.proj_id AND m.task_id = t.task_id WHERE t.proj_id IS NOT NULL GROUP BY 1),
   detail AS (SELECT o.proj_id, coalesce(n_members, 0) AS n_members, coalesce(n_branches, 0) AS n_branches, coalesce(n_tails, 0) AS n_tails, coalesce(n_ungrounded, 0) AS n_ungrounded, coalesce(truncated, false) AS truncated,
       o.proj_id IN (SELECT proj_id FROM reach WHERE a = b) AS has_loop, n_flagged, n_agreed, n_flagged_remaining, CAST(b - a + 1 AS INTEGER) AS calendar_days FROM own o LEFT JOIN walk w ON w.proj_id = o.proj_id)"""
-_WBS_SQL = f"""WITH RECURSIVE {T.TASKS_SQL}, wbs AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY wbs_id ORDER BY loaded_at DESC) AS rn FROM projwbs) WHERE rn = 1),
+#: The latest WBS rows, each node's ancestors, and those clear of loops.
+_WBS_PARTS = """wbs AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY wbs_id ORDER BY loaded_at DESC) AS rn FROM projwbs) WHERE rn = 1),
   up AS (SELECT wbs_id AS id, wbs_id AS cur, parent_wbs_id AS parent, [wbs_id] AS seen, false AS looped FROM wbs
     UNION ALL SELECT u.id, s.wbs_id, s.parent_wbs_id, list_append(u.seen, s.wbs_id), list_contains(u.seen, s.wbs_id) FROM up u JOIN wbs s ON s.wbs_id = u.parent WHERE NOT u.looped),
-  bad AS (SELECT DISTINCT id FROM up WHERE looped), clear AS (SELECT * FROM up WHERE id NOT IN (SELECT id FROM bad)),
+  bad AS (SELECT DISTINCT id FROM up WHERE looped), clear AS (SELECT * FROM up WHERE id NOT IN (SELECT id FROM bad))"""
+_WBS_SQL = f"""WITH RECURSIVE {T.TASKS_SQL}, {_WBS_PARTS},
   n AS (SELECT wbs_id, count(*) AS n FROM task_now WHERE wbs_id IS NOT NULL GROUP BY 1),
   sums AS (SELECT w.wbs_id, coalesce(max(o.n), 0) AS own, coalesce(sum(n.n), max(o.n), 0) AS total, (SELECT max(len(seen)) - 1 FROM clear WHERE id = w.wbs_id) AS depth
     FROM wbs w LEFT JOIN n o ON o.wbs_id = w.wbs_id LEFT JOIN clear c ON c.cur = w.wbs_id LEFT JOIN n ON n.wbs_id = c.id GROUP BY 1)"""
@@ -271,6 +273,10 @@ SELECT proj_id, wbs_id, name, activity_count, place, truncated FROM r WHERE plac
     "g14_tree_depth": f"{_WBS_SQL} SELECT proj_id, count(*) AS n_nodes, max(depth) AS max_depth FROM wbs JOIN sums USING (wbs_id) WHERE proj_id IS NOT NULL GROUP BY 1",
     "g15_subtree_counts": f"{_WBS_SQL} SELECT wbs_id, own AS n_own, total AS n_subtree FROM sums",
     "g16_wbs_tree": f"{_WBS_SQL} SELECT wbs_id, CAST(depth AS INTEGER) AS depth, own AS n_own, total AS n_subtree FROM sums WHERE wbs_id NOT IN (SELECT id FROM bad)",
+    "f14_table_filters": f"""{T._MEMBERS_SQL}, {_WBS_PARTS}, top AS (SELECT id, arg_max(cur, len(seen)) AS root FROM clear GROUP BY 1),
+  wanted AS (SELECT w.proj_id, min(w.wbs_id) AS root FROM wbs w JOIN top t ON t.id = w.wbs_id AND t.root = w.wbs_id WHERE w.proj_id IS NOT NULL GROUP BY 1)
+SELECT x.proj_id, x.task_id, x.task_id IN (SELECT task_id FROM member) AS driving FROM task_now x JOIN top t ON t.id = x.wbs_id WHERE x.proj_id IS NOT NULL AND t.root IN (SELECT root FROM wanted) AND x.status_code <> 'TK_Complete'
+  AND (x.task_id NOT IN (SELECT succ_id FROM link_now WHERE succ_id IS NOT NULL) OR x.task_id NOT IN (SELECT pred_id FROM link_now WHERE pred_id IS NOT NULL)) AND contains(lower(concat_ws(' ', task_code, task_name)), 's')""",
     "o9_table_sorts": f"""WITH {T.TASKS_SQL}, t AS (SELECT proj_id, task_id, nullif(trim(task_name, ' '), '') AS name, total_float_hr_cnt FROM task_now WHERE proj_id IS NOT NULL),
   s AS ({" UNION ALL ".join(_sorted(c, w) for c in ("name", "total_float_hr_cnt") for w in ("up", "down"))}) SELECT * FROM s WHERE place <= 10""",
     "o10_window_slice": f"WITH {T.TASKS_SQL}, s AS (SELECT proj_id, row_number() OVER (PARTITION BY proj_id ORDER BY task_id) AS place, task_id FROM task_now WHERE proj_id IS NOT NULL) SELECT * FROM s WHERE place BETWEEN 11 AND 20",
